@@ -36,9 +36,9 @@ from pyspark.sql import functions as F
 from .common import append, cut, id_hash, quoted
 
 LETTERS = re.compile(r"[^\W\d_]+")
-STEMS = (3, 4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 BUCKETS = 1 << 15
-VOTERS = 5
+VOTERS, STRONG = 6, 4
 
 #: Patterns of the pattern voters.
 PATTERNS = [
@@ -57,26 +57,45 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] + "*" for k in STEMS if len(word) > k] + [word]
 
 
-class Lexicons:
-    """Toxic stems dealt into VOTERS lexicons; index: stem -> lexicon."""
+def crc(word: str) -> int:
+    return zlib.crc32(word.encode())
+
 
-    def __init__(self, rows: list[tuple[set[str], int]], floor: float = 3.0, rivals: int = 2):
-        positive, negative = Counter(), Counter()
-        n = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
-        for words, y in rows:
+def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0, most: int = 20_000) -> list[str]:
+    """Stems that the sample's toxic texts have more often, at most ``most``."""
+    positive, negative = Counter(), Counter()
+    n = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
+    seen: set[tuple[int, int]] = set()
+    for words, y in rows:
+        key = (y, min(map(crc, words), default=0))  # a min-hash: copies count once
+        if key not in seen:
+            seen.add(key)
             (positive if y else negative).update({s for w in words for s in stems_of(w)})
-        least = max(3, 0.01 * n[1])
+    found = []
+    for s, c in positive.items():
+        odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((negative[s] + 0.5) / (n[0] + 1))
+        if c >= 4 and odds >= floor and negative[s] <= c / 4:
+            found.append((-odds, s))
+    return [s for _, s in sorted(found)[:most]]
+
+
+class Lexicons:
+    """Toxic stems dealt into lexicons: strong ones into the first STRONG,
+    weaker ones into the rest; index: stem -> lexicon."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]], n: tuple[int, int]):
+        """counts: documents with each stem, clean and toxic, of ``n`` in all."""
         found = []
-        for s, c in positive.items():
-            odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((negative[s] + 0.5) / (n[0] + 1))
-            if c >= least and odds >= floor and negative[s] <= c / 8:
-                found.append((-c, s))
-        kept: dict[str, int] = {}
-        for c, s in sorted(found):  # the most frequent first; what a kept stem covers adds nothing
+        for s, (negative, positive) in counts.items():
+            share = (positive / (n[1] + 1)) / (positive / (n[1] + 1) + (negative + 0.5) / (n[0] + 1))
+            if positive >= max(3, 2e-4 * n[1]) and share >= 0.97 and negative <= 0.05 * positive:
+                found.append((20 * negative - positive, len(s), s))
+        kept: dict[str, bool] = {}
+        for loss, _, s in sorted(found):  # what a kept stem covers adds nothing
             body = s.rstrip("*")
-            if not any(body[:k] + "*" in kept for k in STEMS if k < len(body) or s.endswith("*") and k < len(body)):
-                kept[s] = zlib.crc32(s.encode()) % VOTERS
-        self.index = kept
+            if not any(body[:k] + "*" in kept for k in STEMS if k < len(body)):
+                kept[s] = -loss >= 0.02 * n[1] and -loss >= 8
+        self.index = {s: zlib.crc32(s.encode()) % STRONG if strong else STRONG + zlib.crc32(s.encode()) % (VOTERS - STRONG) for s, strong in kept.items()}
 
     def of(self, word: str) -> int:
         for s in stems_of(word):
@@ -86,9 +105,9 @@ class Lexicons:
 
     def votes(self, text: str, hits: np.ndarray) -> np.ndarray:
         """hits: distinct words of the text in each lexicon."""
-        total = hits.sum()
+        total = hits[:STRONG].sum() + 0.4 * hits[STRONG:].sum()
         out = [1 if h else (-1 if not total else 0) for h in hits]
-        out += [1 if total >= 2 else (-1 if not total else 0), 1 if total >= 4 else (-1 if total < 2 else 0)]
+        out += [1 if total >= 2 else (-1 if not total else 0), 1 if total >= 4 else (-1 if total < 1 else 0)]
         return np.array(out + [1 if p.search(text) else 0 for p in PATTERNS], np.int8)
 
 
@@ -125,6 +144,10 @@ class LabelModel:
         return self.posterior_of(votes[:, self.used].astype(float))
 
 
+def is_feature(stem: str) -> bool:
+    return stem[-1] != "*" or len(stem) == 6
+
+
 def bucket(stem: str) -> int:
     return zlib.crc32(stem.encode()) % BUCKETS
 
@@ -132,15 +155,15 @@ def bucket(stem: str) -> int:
 class Model:
     """The linear classifier; ``known`` maps a word to its lexicon and weight."""
 
-    def __init__(self, texts: list[str], labels: list[int], rounds: int = 60):
+    def __init__(self, lexicons: Lexicons, texts: list[str], rounds: int = 60):
         words = [words_of(t) for t in texts]
-        self.lexicons = Lexicons(list(zip(words, labels, strict=True)))
+        self.lexicons = lexicons
         self.cache: dict[str, tuple[int, float]] = {}
         hits = np.array([self.hits(w) for w in words])
         votes = np.array([self.lexicons.votes(t, h) for t, h in zip(texts, hits, strict=True)])
         self.label_model = LabelModel(votes)
         posterior = self.label_model.posterior(votes)
-        cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if len(s) >= 5] or [0]) for ws in words]
+        cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if is_feature(s)] or [0]) for ws in words]
         row = np.repeat(np.arange(len(texts)), [len(c) for c in cells])
         col = np.concatenate(cells)
         size = 1 / np.sqrt(np.array([len(c) for c in cells]))[row]
@@ -171,15 +194,16 @@ class Model:
 
     @staticmethod
     def dense(hits: np.ndarray, votes: np.ndarray) -> np.ndarray:
-        total = hits.sum(1, keepdims=True)
-        return np.hstack([np.ones_like(total), np.log1p(total), np.minimum(total, 1), votes]).astype(float)
+        strong, weak = hits[:, :STRONG].sum(1, keepdims=True), hits[:, STRONG:].sum(1, keepdims=True)
+        parts = [np.ones_like(strong), np.log1p(strong), np.minimum(strong, 1), np.log1p(weak), np.minimum(weak, 1)]
+        return np.hstack([*parts, votes]).astype(float)
 
     def known(self, word: str) -> tuple[int, tuple[int, ...]]:
         got = self.cache.get(word)
         if got is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            cells = tuple(bucket(s) for s in stems_of(word) if len(s) >= 5)
+            cells = tuple(bucket(s) for s in stems_of(word) if is_feature(s))
             got = self.cache[word] = (self.lexicons.of(word), cells)
         return got
 
@@ -200,7 +224,9 @@ class Model:
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, learn, most_rows: int
 ) -> Model | None:
-    wanted = (
+    """Candidate stems and the classifier come from a sample of ``most_rows``
+    labelled rows; the stems' counts from all labelled rows of the fold."""
+    wanted = cut(
         labels.where(quoted(label_col).isNotNull() & quoted(id_col).isNotNull())
         .groupBy(quoted(id_col).alias("_i"))
         .agg(F.max(quoted(label_col)).alias("_y"))
@@ -209,18 +235,38 @@ def fit(
     if not total:
         return None
     share = int(min(1.0, most_rows / total) * (1 << 30))
-    wanted = cut(wanted.where(F.pmod(F.xxhash64("_i", F.lit("toxicity")), F.lit(1 << 30)) < share))
+    some = wanted.where(F.pmod(F.xxhash64("_i", F.lit("toxicity")), F.lit(1 << 30)) < share)
+    texts = docs.where(learn & quoted(text_col).isNotNull()).select(
+        quoted(id_col).alias("_i"), quoted(text_col).alias("_t")
+    )
     rows = (
-        docs.where(learn & quoted(text_col).isNotNull())
-        .select(quoted(id_col).alias("_i"), F.substring(quoted(text_col), 1, 20_000).alias("_t"))
-        .join(F.broadcast(wanted), "_i")
-        .limit(2 * most_rows)
-        .collect()
+        texts.join(some, "_i").select("_i", F.substring("_t", 1, 20_000).alias("_t"), "_y").limit(2 * most_rows).collect()
     )
     if not rows:
         return None
     rows.sort(key=lambda r: (str(r["_i"]), r["_t"]))
-    return Model([r["_t"] for r in rows], [int(r["_y"]) for r in rows])
+    stems = candidates([(words_of(r["_t"]), int(r["_y"] > 0)) for r in rows])
+    wanted_stems = set(stems)
+
+    def kernel():
+        def run(ys, ts):
+            counts: dict[str, list[int]] = {}
+            n = [0, 0]
+            for y, t in zip(ys.to_pylist(), ts.to_pylist(), strict=True):
+                y = int(y > 0)
+                n[y] += 1
+                for s in wanted_stems.intersection(s for w in words_of(t) for s in stems_of(w)):
+                    counts.setdefault(s, [0, 0])[y] += 1
+            out = [{"s": s, "c0": c[0], "c1": c[1]} for s, c in [("", n), *counts.items()]]
+            return ([out] + [[]] * (len(ts) - 1),)
+
+        return run
+
+    found = append(texts.join(wanted, "_i"), ["_y", "_t"], "c array<struct<s:string,c0:long,c1:long>>", kernel, [])
+    counted = found.select(F.inline("c")).groupBy("s").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).collect()
+    counts = {r["s"]: (r["c0"], r["c1"]) for r in counted}
+    n = counts.pop("")
+    return Model(Lexicons(counts, n), [r["_t"] for r in rows])
 
 
 def score(
