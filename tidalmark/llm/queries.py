@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, licenses, mixing, simjoin, tokencount, toxicity
+from . import ann, decontam, htmlwrap, langid, licenses, mixing, simjoin, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -77,3 +77,9 @@ ORACLE_SQL["op2_ngram_join"] = simjoin.ORACLE_SQL
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score."""
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    return htmlwrap.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
