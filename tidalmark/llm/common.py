@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bits of the maps that drop rows before a join which then decides.
+MAP_BITS = 1 << 22
+
+
+def spot(column: Column) -> Column:
+    """A value's place in a bit map."""
+    return F.pmod(F.xxhash64(column), F.lit(MAP_BITS)).cast("int")
+
+
+def bit_map(df: DataFrame, column: str):
+    """A broadcast bit map, of a fixed size, of the values of a column: a row
+    whose bit is not set has no partner in ``df``."""
+    bits = np.zeros(MAP_BITS, bool)
+    bits[np.array([r["b"] for r in df.select(spot(quoted(column)).alias("b")).distinct().collect()], int)] = True
+    return df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+
 def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

@@ -44,11 +44,10 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, cut, quoted, raw
+from .common import append, bit_map, cut, quoted, raw, spot
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
-BITS = 1 << 22
 
 
 class Hashes(dict):
@@ -196,14 +195,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
     A bit map of fixed size drops most other rows before the shuffle; the
     join decides.
     """
-    spots = wanted.select(F.pmod(F.xxhash64("id"), F.lit(BITS)).cast("int").alias("b")).distinct()
-    bits = np.zeros(BITS, bool)
-    bits[np.array([r["b"] for r in spots.collect()], int)] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    shared = bit_map(wanted, "id")
     src = docs.select(
         quoted(id_col).alias("id"),
         quoted(text_col).alias("text"),
-        F.pmod(F.xxhash64(quoted(id_col)), F.lit(BITS)).cast("int").alias("spot"),
+        spot(quoted(id_col)).alias("spot"),
     ).where(F.col("id").isNotNull())
     kind = src.schema["id"].dataType.simpleString()
 

@@ -28,24 +28,26 @@ import math
 import re
 import zlib
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, cut, id_hash, quoted
+from .common import append, bit_map, cut, id_hash, quoted, spot
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7, 8)
 BUCKETS = 1 << 15
 VOTERS, STRONG = 6, 4
 
-#: Patterns of the pattern voters.
+UPPER = re.compile(r"[A-Z]{4}")
+#: Patterns of the pattern voters, and words of which a text must
+#: have one for the pattern to be tried.
+SHOUTS = re.compile(r"\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b){2,}")
 PATTERNS = [
-    re.compile(r"!{3,}|\?{3,}"),
-    re.compile(r"\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b){2,}"),
-    re.compile(r"\b(?:you|your|du|dein|tu|ton|eres|tus?)\s+(?:\w+\s+){0,2}\w*(?:idiot|moron|loser|scum)", re.I),
-    re.compile(r"\b(?:shut up|go away|get lost|hate you|kill yourself)\b", re.I),
+    (re.compile(r"\b(?:you|your|du|dein|tu|ton|eres|tus?)\s+(?:\w+\s+){0,2}(?:idiot|moron|loser|scum)", re.I), {"idiot", "moron", "loser", "scum"}),
+    (re.compile(r"\b(?:shut up|go away|get lost|hate you|kill yourself)\b", re.I), {"shut", "away", "lost", "hate", "kill"}),
 ]
 
 
@@ -103,12 +105,14 @@ class Lexicons:
                 return self.index[s]
         return -1
 
-    def votes(self, text: str, hits: np.ndarray) -> np.ndarray:
+    def votes(self, text: str, words: set[str], hits: np.ndarray) -> np.ndarray:
         """hits: distinct words of the text in each lexicon."""
         total = hits[:STRONG].sum() + 0.4 * hits[STRONG:].sum()
         out = [1 if h else (-1 if not total else 0) for h in hits]
         out += [1 if total >= 2 else (-1 if not total else 0), 1 if total >= 4 else (-1 if total < 1 else 0)]
-        return np.array(out + [1 if p.search(text) else 0 for p in PATTERNS], np.int8)
+        out.append(1 if "!!!" in text or "???" in text else 0)
+        out.append(1 if UPPER.search(text) and SHOUTS.search(text) else 0)
+        return np.array(out + [1 if w & words and p.search(text) else 0 for p, w in PATTERNS], np.int8)
 
 
 class LabelModel:
@@ -160,7 +164,7 @@ class Model:
         self.lexicons = lexicons
         self.cache: dict[str, tuple[int, float]] = {}
         hits = np.array([self.hits(w) for w in words])
-        votes = np.array([self.lexicons.votes(t, h) for t, h in zip(texts, hits, strict=True)])
+        votes = np.array([self.lexicons.votes(t, w, h) for t, w, h in zip(texts, words, hits, strict=True)])
         self.label_model = LabelModel(votes)
         posterior = self.label_model.posterior(votes)
         cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if is_feature(s)] or [0]) for ws in words]
@@ -199,24 +203,22 @@ class Model:
         return np.hstack([*parts, votes]).astype(float)
 
     def known(self, word: str) -> tuple[int, tuple[int, ...]]:
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            cells = tuple(bucket(s) for s in stems_of(word) if is_feature(s))
-            got = self.cache[word] = (self.lexicons.of(word), cells)
+        if len(self.cache) > 300_000:
+            self.cache.clear()
+        got = self.cache[word] = (self.lexicons.of(word), tuple(bucket(s) for s in stems_of(word) if is_feature(s)))
         return got
 
     def score(self, text: str) -> float:
         words = words_of(text)
-        hits, cells = np.zeros((1, VOTERS), int), set()
-        for w in words:
-            k, own = self.known(w)
+        get, known = self.cache.get, self.known
+        found = [get(w) or known(w) for w in words]
+        hits = np.zeros((1, VOTERS), int)
+        for k, _ in found:
             if k >= 0:
                 hits[0, k] += 1
-            cells.update(own)
+        cells = set(chain.from_iterable([c for _, c in found]))
         z = float(self.w[np.fromiter(cells, int, len(cells))].sum() / math.sqrt(len(cells))) if cells else 0.0
-        votes = self.lexicons.votes(text, hits[0])
+        votes = self.lexicons.votes(text, words, hits[0])
         z += float((self.dense(hits, votes[None]) @ self.u)[0])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -235,38 +237,50 @@ def fit(
     if not total:
         return None
     share = int(min(1.0, most_rows / total) * (1 << 30))
-    some = wanted.where(F.pmod(F.xxhash64("_i", F.lit("toxicity")), F.lit(1 << 30)) < share)
+    some = wanted.where(F.pmod(F.xxhash64("_i", F.lit("toxicity")), F.lit(1 << 30)) < share).limit(2 * most_rows)
     texts = docs.where(learn & quoted(text_col).isNotNull()).select(
-        quoted(id_col).alias("_i"), quoted(text_col).alias("_t")
+        quoted(id_col).alias("_i"), quoted(text_col).alias("_t"), spot(quoted(id_col)).alias("_s")
     )
     rows = (
-        texts.join(some, "_i").select("_i", F.substring("_t", 1, 20_000).alias("_t"), "_y").limit(2 * most_rows).collect()
+        texts.join(F.broadcast(some), "_i").select("_i", F.substring("_t", 1, 20_000).alias("_t"), "_y").limit(2 * most_rows).collect()
     )
     if not rows:
         return None
     rows.sort(key=lambda r: (str(r["_i"]), r["_t"]))
     stems = candidates([(words_of(r["_t"]), int(r["_y"] > 0)) for r in rows])
-    wanted_stems = set(stems)
+    number = {s: k for k, s in enumerate(stems)}
+    shared = bit_map(wanted, "_i")
 
     def kernel():
-        def run(ys, ts):
-            counts: dict[str, list[int]] = {}
-            n = [0, 0]
-            for y, t in zip(ys.to_pylist(), ts.to_pylist(), strict=True):
-                y = int(y > 0)
-                n[y] += 1
-                for s in wanted_stems.intersection(s for w in words_of(t) for s in stems_of(w)):
-                    counts.setdefault(s, [0, 0])[y] += 1
-            out = [{"s": s, "c0": c[0], "c1": c[1]} for s, c in [("", n), *counts.items()]]
-            return ([out] + [[]] * (len(ts) - 1),)
+        have, memo = np.unpackbits(shared.value), {}
+
+        def of(word: str) -> tuple[int, ...]:
+            if len(memo) > 300_000:
+                memo.clear()
+            got = memo[word] = tuple(number[s] for s in stems_of(word) if s in number)
+            return got
+
+        def run(spots, ts):
+            out, get = [], memo.get
+            for ok, t in zip(have[spots.to_numpy()], ts.to_pylist(), strict=True):
+                found = [of(w) if (k := get(w)) is None else k for w in words_of(t)] if ok else []
+                out.append(sorted({-1}.union(*found)) if ok else [])
+            return (out,)
 
         return run
 
-    found = append(texts.join(wanted, "_i"), ["_y", "_t"], "c array<struct<s:string,c0:long,c1:long>>", kernel, [])
-    counted = found.select(F.inline("c")).groupBy("s").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1")).collect()
+    # Only labelled rows have a hit, or the -1 that counts the row itself; texts are not shuffled.
+    found = append(texts, ["_s", "_t"], "c array<int>", kernel, ["_i"]).where(F.size("c") > 0)
+    counted = (
+        found.join(wanted, "_i")
+        .select(F.explode("c").alias("s"), (F.col("_y") > 0).cast("long").alias("y"))
+        .groupBy("s")
+        .agg((F.count("*") - F.sum("y")).alias("c0"), F.sum("y").alias("c1"))
+        .collect()
+    )
     counts = {r["s"]: (r["c0"], r["c1"]) for r in counted}
-    n = counts.pop("")
-    return Model(Lexicons(counts, n), [r["_t"] for r in rows])
+    n = counts.pop(-1)
+    return Model(Lexicons({stems[k]: c for k, c in counts.items()}, n), [r["_t"] for r in rows])
 
 
 def score(
