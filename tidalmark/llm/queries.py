@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, htmlwrap, langid, licenses, mixing, simjoin, tokencount, toxicity
+from . import ann, decontam, htmlwrap, langid, licenses, lm, mixing, simjoin, tokencount, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,3 +83,9 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars."""
     return htmlwrap.main_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+@query
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return lm.score(table(spark, sf_dir, "documents"))
