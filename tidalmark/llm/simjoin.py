@@ -337,11 +337,22 @@ def join(
 
 
 def first_of_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component;
-    rows with a null id stay."""
-    found = join(docs, id_col, **options)
-    others = found.where(F.col("component_id") != quoted(id_col)).select(quoted(id_col)).distinct()
-    return docs.join(others, id_col, "left_anti").select(*[quoted(c) for c in docs.columns])
+    """``docs`` with one document, that of the smallest id, of each component.
+
+    Rows that repeat an id are one document, of which the row with the smallest
+    text stays.  Rows with a null id stay.
+    """
+    text_col = options.get("text_col", "text")
+    found = join(docs, id_col, **options).select(quoted(id_col).alias("_k"), "component_id").where("_k IS NOT NULL")
+    by_id = cut(found.groupBy("_k").agg(F.min(F.col("component_id") != F.col("_k")).alias("other"), F.count("*").alias("n")))
+    cols = [quoted(c) for c in docs.columns]
+    left = docs.join(by_id.where("other OR n > 1").select("_k"), quoted(id_col) == F.col("_k"), "left_anti").select(*cols)
+    again = by_id.where("NOT other AND n > 1").select("_k")
+    if again.isEmpty():
+        return left
+    order = Window.partitionBy(quoted(id_col)).orderBy(quoted(text_col))
+    once = docs.join(again, quoted(id_col) == F.col("_k"), "left_semi").withColumn("_n", F.row_number().over(order))
+    return left.unionByName(once.where("_n = 1").select(*cols))
 
 
 ORACLE_SQL = r"""
