@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,16 +20,28 @@ WORD_TABLE = bytes(
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a checkpoint in the shared folder.
+    """Cut the lineage of ``df`` with a table in the shared folder.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only where none is set (local tests) is a temporary one chosen.
+    only where none is set (local tests) is a temporary one chosen.  A written
+    table survives lost executors, and its true size is known to later joins
+    (a checkpoint keeps the estimate of the plan it was made by, which grows
+    beyond all bounds in iterations).  Spark's file system removes the tables
+    when the driver ends.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="ckpt"))
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", "") or _folder()
+    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@functools.cache
+def _folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="tables")
 
 
 #: Bits of the maps that drop rows before a join which then decides.

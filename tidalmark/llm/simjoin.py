@@ -290,7 +290,6 @@ def join(
     def fits(a: str, b: str):
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
 
-    links = None
     for k in range(rounds):
         tagged = live.join(labels.select("id", "label"), "id")
         buckets = tagged.groupBy("sig").agg(
@@ -308,7 +307,6 @@ def join(
         found = cut(verified(met, docs, id_col, text_col, n, percent))
         if found.isEmpty():
             break
-        links = found if links is None else links.union(found)
         labels = relabelled(labels, found)
     tagged = live.join(labels.select("id", "label"), "id")
     mixed_buckets = tagged.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
