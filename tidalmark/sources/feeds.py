@@ -103,7 +103,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("side"),
     )
     rows = li.groupBy(F.col("l_orderkey").alias("seq")).agg(F.sort_array(F.collect_list(item)).alias("items"))
-    return rows.select("seq", *[F.transform("items", lambda x, c=c: x[c]).alias(c) for c in ("price", "size", "side")])
+    return rows.select("seq", *[F.col("items")[c].alias(c) for c in ("price", "size", "side")])
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
