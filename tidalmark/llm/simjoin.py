@@ -6,7 +6,7 @@ the whole sequence as one).  Two documents link when
 ``bound(|A|, |B|)`` shingles.
 
 *Size bands.*  A pair is found in the band of its smaller set; a set is indexed
-in its own band and in the one below if a partner may be there.
+in its own band and in those below where a partner may be.
 
 *Segments.*  In a band whose sets differ by ``H`` at most, shingles are hashed
 into ``m`` segments.  Each segment's subset is a signature; by the pigeonhole
@@ -126,7 +126,7 @@ class Bands:
         """Bands in which a set of this size is indexed."""
         self.upto(size)
         k = next(i for i, b in enumerate(self.made) if b[1] >= size)
-        return [k - 1, k] if k and self.partner(self.made[k - 1][1]) >= size else [k]
+        return [j for j in range(k + 1) if j == k or self.partner(self.made[j][1]) >= size]
 
 
 def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
