@@ -120,6 +120,13 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         yield batch.slice(at, rows)
 
 
+def stretch(text: Column, key: Column, most: int) -> Column:
+    """A seeded stretch of at most ``most`` bytes, anywhere in the whole text."""
+    body = text.cast("binary")
+    first = F.pmod(F.xxhash64(key, F.lit("stretch")), F.greatest(F.lit(1), F.length(body) - most + 1)) + 1
+    return F.substring(body, first.cast("int"), F.lit(most))
+
+
 def raw(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]

@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, id_hash, quoted
+from .common import append, id_hash, quoted, stretch
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 16
 WIDEST, N = max(WIDTHS), len(WIDTHS) * FILTERS
@@ -126,7 +126,7 @@ def train(rows: list[tuple[bytes, str]], train_windows: int = 8000, steps: int =
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_lang: int, most_bytes: int) -> list:
     """At most about ``per_lang`` labelled rows of each language, and of each
-    text a stretch of ``most_bytes`` bytes."""
+    text a seeded stretch of ``most_bytes`` bytes."""
     rows = docs.where(learn & quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
     counts = {r["l"]: r["n"] for r in rows.groupBy(quoted(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -136,7 +136,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, pe
     for lang, n in counts.items():
         share = F.when(quoted(lang_col) == lang, int(min(1.0, per_lang / n) * (1 << 30))).otherwise(share)
     got = rows.where(h < share).select(
-        F.substring(quoted(text_col).cast("binary"), 1, most_bytes).alias("t"), quoted(lang_col).alias("l"), quoted(id_col).cast("string").alias("i")
+        stretch(quoted(text_col), quoted(id_col), most_bytes).alias("t"), quoted(lang_col).alias("l"), quoted(id_col).cast("string").alias("i")
     ).limit(per_lang * len(counts) * 2)
     return sorted((bytes(r["t"]), r["l"], zlib.crc32((r["i"] or "").encode())) for r in got.collect())
 

@@ -55,6 +55,12 @@ def words_of(text: str) -> set[str]:
     return set(LETTERS.findall(text.lower()))
 
 
+def marks_of(text: str, words: set[str]) -> list[int]:
+    """Votes of the pattern voters."""
+    out = [1 if "!!!" in text or "???" in text else 0, 1 if UPPER.search(text) and SHOUTS.search(text) else 0]
+    return out + [1 if w & words and p.search(text) else 0 for p, w in PATTERNS]
+
+
 def stems_of(word: str) -> list[str]:
     return [word[:k] + "*" for k in STEMS if len(word) > k] + [word]
 
@@ -105,14 +111,12 @@ class Lexicons:
                 return self.index[s]
         return -1
 
-    def votes(self, text: str, words: set[str], hits: np.ndarray) -> np.ndarray:
+    def votes(self, marks: list[int], hits: np.ndarray) -> np.ndarray:
         """hits: distinct words of the text in each lexicon."""
         total = hits[:STRONG].sum() + 0.4 * hits[STRONG:].sum()
         out = [1 if h else (-1 if not total else 0) for h in hits]
         out += [1 if total >= 2 else (-1 if not total else 0), 1 if total >= 4 else (-1 if total < 1 else 0)]
-        out.append(1 if "!!!" in text or "???" in text else 0)
-        out.append(1 if UPPER.search(text) and SHOUTS.search(text) else 0)
-        return np.array(out + [1 if w & words and p.search(text) else 0 for p, w in PATTERNS], np.int8)
+        return np.array([*out, *marks], np.int8)
 
 
 class LabelModel:
@@ -159,24 +163,23 @@ def bucket(stem: str) -> int:
 class Model:
     """The linear classifier; ``known`` maps a word to its lexicon and weight."""
 
-    def __init__(self, lexicons: Lexicons, texts: list[str], rounds: int = 60):
-        words = [words_of(t) for t in texts]
+    def __init__(self, lexicons: Lexicons, words: list[set[str]], marks: list[list[int]], rounds: int = 60):
         self.lexicons = lexicons
         self.cache: dict[str, tuple[int, float]] = {}
         hits = np.array([self.hits(w) for w in words])
-        votes = np.array([self.lexicons.votes(t, w, h) for t, w, h in zip(texts, words, hits, strict=True)])
+        votes = np.array([self.lexicons.votes(m, h) for m, h in zip(marks, hits, strict=True)])
         self.label_model = LabelModel(votes)
         posterior = self.label_model.posterior(votes)
         cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if is_feature(s)] or [0]) for ws in words]
-        row = np.repeat(np.arange(len(texts)), [len(c) for c in cells])
+        row = np.repeat(np.arange(len(words)), [len(c) for c in cells])
         col = np.concatenate(cells)
         size = 1 / np.sqrt(np.array([len(c) for c in cells]))[row]
         dense = self.dense(hits, votes)
         self.w, self.u = np.zeros(BUCKETS), np.zeros(dense.shape[1])
         gw, gu = np.full(BUCKETS, 1e-2), np.full(dense.shape[1], 1e-2)
         for _ in range(rounds):  # full-batch AdaGrad
-            z = np.bincount(row, self.w[col] * size, len(texts)) + dense @ self.u
-            d = (1 / (1 + np.exp(-z)) - posterior) / len(texts)
+            z = np.bincount(row, self.w[col] * size, len(words)) + dense @ self.u
+            d = (1 / (1 + np.exp(-z)) - posterior) / len(words)
             dw = np.bincount(col, d[row] * size, BUCKETS) + 1e-5 * self.w
             du = dense.T @ d + 1e-5 * self.u
             gw += dw * dw
@@ -218,7 +221,7 @@ class Model:
                 hits[0, k] += 1
         cells = set(chain.from_iterable([c for _, c in found]))
         z = float(self.w[np.fromiter(cells, int, len(cells))].sum() / math.sqrt(len(cells))) if cells else 0.0
-        votes = self.lexicons.votes(text, words, hits[0])
+        votes = self.lexicons.votes(marks_of(text, words), hits[0])
         z += float((self.dense(hits, votes[None]) @ self.u)[0])
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -241,13 +244,21 @@ def fit(
     texts = docs.where(learn & quoted(text_col).isNotNull()).select(
         quoted(id_col).alias("_i"), quoted(text_col).alias("_t"), spot(quoted(id_col)).alias("_s")
     )
-    rows = (
-        texts.join(F.broadcast(some), "_i").select("_i", F.substring("_t", 1, 20_000).alias("_t"), "_y").limit(2 * most_rows).collect()
-    )
+
+    def read():
+        def run(ts):
+            words = [words_of(t) for t in ts.to_pylist()]
+            return [sorted(w) for w in words], [marks_of(t, w) for t, w in zip(ts.to_pylist(), words, strict=True)]
+
+        return run
+
+    sampled = texts.join(F.broadcast(some), "_i").select("_i", "_t", "_y")
+    rows = append(sampled, ["_t"], "_w array<string>, _m array<int>", read, ["_i", "_y"]).limit(2 * most_rows).collect()
     if not rows:
         return None
-    rows.sort(key=lambda r: (str(r["_i"]), r["_t"]))
-    stems = candidates([(words_of(r["_t"]), int(r["_y"] > 0)) for r in rows])
+    rows.sort(key=lambda r: (str(r["_i"]), r["_w"]))
+    words = [set(r["_w"]) for r in rows]
+    stems = candidates([(w, int(r["_y"] > 0)) for w, r in zip(words, rows, strict=True)])
     number = {s: k for k, s in enumerate(stems)}
     shared = bit_map(wanted, "_i")
 
@@ -280,7 +291,7 @@ def fit(
     )
     counts = {r["s"]: (r["c0"], r["c1"]) for r in counted}
     n = counts.pop(-1)
-    return Model(Lexicons({stems[k]: c for k, c in counts.items()}, n), [r["_t"] for r in rows])
+    return Model(Lexicons({stems[k]: c for k, c in counts.items()}, n), words, [r["_m"] for r in rows])
 
 
 def score(
@@ -298,8 +309,8 @@ def score(
     """``docs`` with held_out, score and predicted.
 
     Learns from labels of rows whose crc32(id) mod ``folds`` is not ``held``.
-    At most ``most_rows`` labelled rows, and of each 20,000 characters, are
-    used to fit; every whole text is scored.
+    About ``most_rows`` labelled rows (their whole texts) are used to fit; every
+    whole text is scored.
     """
     model = fit(docs, labels, id_col, text_col, label_col, id_hash(id_col, folds) != held, most_rows)
 
