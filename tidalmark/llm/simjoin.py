@@ -23,8 +23,9 @@ get one label.  What remains in buckets with several labels is paired across
 labels and verified in full: no pair inside a linked group is ever made, and no
 link between groups is lost.
 
-Sets are verified as 64-bit hashes of shingles; a set's class is a 128-bit
-digest.
+Sets are verified as 64-bit hashes of shingles, kept once for those that share
+a signature; a parity sketch of each, a lower bound of the difference, comes
+first.  A set's class is a 128-bit digest.
 
 Nulls: a null or empty text has no shingle and links with nothing.  A row with
 a null id has its n_shingles, takes part in no link, and its component is null.
@@ -157,40 +158,44 @@ def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, n_shingles and class digest of each row."""
+def described(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id, n_shingles, class digest and signatures of each row."""
 
     def kernel():
-        memo = Hashes()
+        memo, bands = Hashes(), Bands(percent)
 
         def run(texts):
             sets = [shingles(t, n, memo) for t in raw(texts)]
-            return [len(s) for s in sets], [digest(s) if len(s) else None for s in sets]
+            return (
+                [len(s) for s in sets],
+                [digest(s) if len(s) else None for s in sets],
+                [signatures(s, bands).view(np.int64) for s in sets],
+            )
 
         return run
 
     src = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    return append(src, ["text"], "n_shingles long, class binary", kernel, ["id"])
+    return append(src, ["text"], "n_shingles long, class binary, sigs array<long>", kernel, ["id"])
 
 
-def indexed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, size and signatures of each row that may link with an unequal set."""
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in a power of two of cells, at least
+    twice as many cells as shingles."""
+    cells = 1 << max(6, (2 * len(found)).bit_length())
+    return np.packbits(np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
 
-    def kernel():
-        memo, bands = Hashes(), Bands(percent)
 
-        def run(texts):
-            sets = [shingles(t, n, memo) for t in raw(texts)]
-            return [len(s) for s in sets], [signatures(s, bands).view(np.int64) for s in sets]
-
-        return run
-
-    src = docs.where(quoted(id_col).isNotNull()).select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    return append(src, ["text"], "size long, sigs array<long>", kernel, ["id"])
+def apart(x: bytes, y: bytes) -> int:
+    """So many shingles at least are in only one of two sets, by their
+    sketches: each odd cell of the difference holds one."""
+    size = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size), axis=0) for s in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id and packed set of the rows whose id is in ``wanted`` (distinct ids).
+    """id, size, sketch and packed set of the rows whose id is in ``wanted``
+    (distinct ids).
 
     A bit map of fixed size drops most other rows before the shuffle; the
     join decides.
@@ -207,21 +212,32 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
         memo, have = Hashes(), np.unpackbits(shared.value)
         for batch in batches:
             part = batch.filter(pa.array(have[batch.column(2).to_numpy()] > 0))
-            sets = [shingles(t, n, memo).tobytes() for t in raw(part.column(1))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+            sets = [shingles(t, n, memo) for t in raw(part.column(1))]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([sketch(s) for s in sets], pa.binary()),
+                    pa.array([s.tobytes() for s in sets], pa.binary()),
+                ],
+                ["id", "size", "sketch", "set"],
+            )
 
-    return src.mapInArrow(run, f"id {kind}, set binary").join(wanted, "id", "left_semi")
+    return src.mapInArrow(run, f"id {kind}, size long, sketch binary, set binary").join(wanted, "id", "left_semi")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose documents link."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets_of(docs, wanted, id_col, text_col, n)
-    left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose documents link: sketches, a few bytes in a
+    hundred of the sets, first drop pairs that differ too much for certain."""
 
-    def kernel():
+    def near():
+        def run(na, nb, xa, xb):
+            sides = zip(na.to_pylist(), nb.to_pylist(), xa.to_pylist(), xb.to_pylist(), strict=True)
+            return ([apart(x, y) <= bound(m, k, percent) for m, k, x, y in sides],)
+
+        return run
+
+    def linked():
         def run(a, b):
             out = []
             for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
@@ -232,8 +248,15 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: i
 
         return run
 
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
-    return append(joined, ["sa", "sb"], "linked boolean", kernel, ["a", "b"]).where("linked").select("a", "b").distinct()
+    def judged(pairs: DataFrame, columns: dict[str, str], kernel) -> DataFrame:
+        left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{k}a") for c, k in columns.items()])
+        right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"{k}b") for c, k in columns.items()])
+        inputs = [f"{k}{side}" for k in columns.values() for side in "ab"]
+        joined = pairs.join(left, "a").join(right, "b")
+        return append(joined, inputs, "ok boolean", kernel, ["a", "b"]).where("ok").select("a", "b").distinct()
+
+    close = cut(judged(cut(pairs), {"size": "n", "sketch": "x"}, near))
+    return judged(close, {"set": "s"}, linked)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -275,17 +298,18 @@ def join(
     rounds: int = 4,
 ) -> DataFrame:
     """id, n_shingles and component_id of each row of ``docs``."""
-    rows = cut(described(docs, id_col, text_col, n))
+    rows = cut(described(docs, id_col, text_col, n, percent))
     classes = cut(
         rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
     )
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    signed = indexed(docs, id_col, text_col, n, percent).join(reps, "id", "left_semi")
-    exploded = signed.select(F.explode("sigs").alias("sig"), "id", "size")
+    signed = rows.where("id IS NOT NULL").join(reps, "id", "left_semi")
+    exploded = signed.select(F.explode("sigs").alias("sig"), "id", F.col("n_shingles").alias("size"))
     live = cut(
         exploded.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").select("sig", "id", "size")
     )
     labels = cut(live.groupBy("id").agg(F.max("size").alias("size")).select("id", "size", F.col("id").alias("label")))
+    sets = cut(sets_of(docs, labels.select("id"), id_col, text_col, n))
 
     def fits(a: str, b: str):
         return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
@@ -304,7 +328,7 @@ def join(
             .agg(F.min("hub").alias("hub"))
             .select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
         )
-        found = cut(verified(met, docs, id_col, text_col, n, percent))
+        found = cut(verified(met, sets, percent))
         if found.isEmpty():
             break
         labels = relabelled(labels, found)
@@ -319,7 +343,7 @@ def join(
         .select("a", "b")
         .distinct()
     )
-    labels = relabelled(labels, cut(verified(pairs, docs, id_col, text_col, n, percent)))
+    labels = relabelled(labels, cut(verified(pairs, sets, percent)))
     # A label is some class's representative; the component's id is the smallest.
     small = labels.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = (
