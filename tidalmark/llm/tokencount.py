@@ -79,11 +79,11 @@ def pretokens(text: str, path: str) -> tuple[Counter, int]:
     return counts, len(parts) - 1
 
 
-def head_table(docs: DataFrame, text_col: str, path: str, head: int, sample_docs: int) -> dict[str, int]:
+def head_table(docs: DataFrame, id_col: str, text_col: str, path: str, head: int, sample_docs: int) -> dict[str, int]:
     """Pieces of the most frequent pre-tokens of about ``sample_docs`` texts."""
     total = docs.count()
     share = int(min(1.0, sample_docs / max(1, total)) * (1 << 30))
-    some = docs.where(F.pmod(F.xxhash64(quoted(text_col)), F.lit(1 << 30)) < share)
+    some = docs.where(F.pmod(F.xxhash64(quoted(id_col), quoted(text_col)), F.lit(1 << 30)) < share)
 
     def kernel():
         def run(texts):
@@ -119,7 +119,7 @@ def count(
 ) -> DataFrame:
     """id, n_bytes, n_tokens for each row of ``docs``."""
     path = path or default_vocabulary()
-    shared = docs.sparkSession.sparkContext.broadcast(head_table(docs, text_col, path, head, sample_docs))
+    shared = docs.sparkSession.sparkContext.broadcast(head_table(docs, id_col, text_col, path, head, sample_docs))
     src = docs.select(
         F.monotonically_increasing_id().alias("rid"), quoted(id_col).alias("id"), quoted(text_col).alias("text")
     )
