@@ -71,14 +71,21 @@ def crc(word: str) -> int:
 
 def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0, most: int = 20_000) -> list[str]:
     """Stems that the sample's toxic texts have more often, at most ``most``."""
-    positive, negative = Counter(), Counter()
     n = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
-    seen: set[tuple[int, int]] = set()
-    for words, y in rows:
-        key = (y, min(map(crc, words), default=0))  # a min-hash: copies count once
-        if key not in seen:
-            seen.add(key)
-            (positive if y else negative).update({s for w in words for s in stems_of(w)})
+    once: dict[tuple[int, int], set[str]] = {}
+    for words, y in rows:  # by a min-hash: copies count once
+        once.setdefault((y, min(map(crc, words), default=0)), words)
+    positive, negative = Counter(), Counter()
+    for (y, _), words in once.items():
+        if y:
+            positive.update({s for w in words for s in stems_of(w)})
+    often: dict[str, tuple[str, ...]] = {}
+    for (y, _), words in once.items():
+        if not y:  # only stems that may be found are counted
+            for w in words:
+                if w not in often:
+                    often[w] = tuple(s for s in stems_of(w) if positive.get(s, 0) >= 4)
+            negative.update(set(chain.from_iterable(map(often.__getitem__, words))))
     found = []
     for s, c in positive.items():
         odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((negative[s] + 0.5) / (n[0] + 1))
@@ -170,8 +177,8 @@ class Model:
         votes = np.array([self.lexicons.votes(m, h) for m, h in zip(marks, hits, strict=True)])
         self.label_model = LabelModel(votes)
         posterior = self.label_model.posterior(votes)
-        cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if is_feature(s)] or [0]) for ws in words]
-        row = np.repeat(np.arange(len(words)), [len(c) for c in cells])
+        cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if is_feature(s)] or [0]).astype(np.int32) for ws in words]
+        row = np.repeat(np.arange(len(words), dtype=np.int32), [len(c) for c in cells])
         col = np.concatenate(cells)
         size = 1 / np.sqrt(np.array([len(c) for c in cells]))[row]
         dense = self.dense(hits, votes)
@@ -253,12 +260,18 @@ def fit(
         return run
 
     sampled = texts.join(F.broadcast(some), "_i").select("_i", "_t", "_y")
-    rows = append(sampled, ["_t"], "_w array<string>, _m array<int>", read, ["_i", "_y"]).limit(2 * most_rows).collect()
-    if not rows:
+    rows = append(sampled, ["_t"], "_w array<string>, _m array<int>", read, ["_i", "_y"]).limit(2 * most_rows).toArrow()
+    if not rows.num_rows:
         return None
-    rows.sort(key=lambda r: (str(r["_i"]), r["_w"]))
-    words = [set(r["_w"]) for r in rows]
-    stems = candidates([(w, int(r["_y"] > 0)) for w, r in zip(words, rows, strict=True)])
+    one: dict[str, str] = {}  # equal words are one object
+    read_rows = sorted(
+        zip(rows["_i"].to_pylist(), ([one.setdefault(w, w) for w in r.as_py()] for r in rows["_w"]), rows["_m"].to_pylist(), rows["_y"].to_pylist(), strict=True),
+        key=lambda r: (str(r[0]), r[1]),
+    )
+    del rows, one
+    words, marks = [set(r[1]) for r in read_rows], [r[2] for r in read_rows]
+    stems = candidates(list(zip(words, [int(r[3] > 0) for r in read_rows], strict=True)))
+    del read_rows
     number = {s: k for k, s in enumerate(stems)}
     shared = bit_map(wanted, "_i")
 
@@ -291,7 +304,7 @@ def fit(
     )
     counts = {r["s"]: (r["c0"], r["c1"]) for r in counted}
     n = counts.pop(-1)
-    return Model(Lexicons({stems[k]: c for k, c in counts.items()}, n), words, [r["_m"] for r in rows])
+    return Model(Lexicons({stems[k]: c for k, c in counts.items()}, n), words, marks)
 
 
 def score(
