@@ -71,6 +71,13 @@ def test_lm_scores(docs, none):
     assert lm.score(none, steps=5).count() == 0
 
 
+def test_lm_scores_do_not_depend_on_the_head(docs):
+    few, all_ = ({r["doc_id"]: r for r in lm.score(docs.where("doc_id <> 58").select("doc_id", "text"), steps=20, head=h).collect()} for h in (3, 120_000))
+    assert few.keys() == all_.keys()
+    for d, r in few.items():
+        assert r["score"] == pytest.approx(all_[d]["score"], abs=1e-6) and r["base_score"] == pytest.approx(all_[d]["base_score"], abs=1e-6)
+
+
 def test_attention_is_a_distribution_and_causal():
     import numpy as np
 
