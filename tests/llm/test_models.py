@@ -78,6 +78,17 @@ def test_lm_scores_do_not_depend_on_the_head(docs):
         assert r["score"] == pytest.approx(all_[d]["score"], abs=1e-6) and r["base_score"] == pytest.approx(all_[d]["base_score"], abs=1e-6)
 
 
+def test_lm_share_is_fitted_on_other_documents(spark, monkeypatch):
+    rows = [(i, "") for i in range(400)] + [(400 + i, words(i, 30)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted, trained = [], []
+    monkeypatch.setattr(lm.Mixture, "fit", lambda self, docs, ids, seen: fitted.extend(x.tobytes() for x in ids))
+    monkeypatch.setattr(lm.Attention, "train", lambda self, docs, *_: trained.extend(x.tobytes() for x in docs))
+    lm.score(df)
+    assert len(trained) > 400 and 40 < len(fitted) < 300 and not set(fitted) & set(trained)
+    assert all(len(x) > 2 for x in fitted)
+
+
 def test_attention_is_a_distribution_and_causal():
     import numpy as np
 
