@@ -56,6 +56,15 @@ def test_toxicity(spark, none):
     assert {x["score"] for x in toxicity.score(df, lab.limit(0)).collect()} == {0.0}
 
 
+def test_toxic_stems_of_texts_that_share_a_word(spark):
+    # One word with the smallest crc32 of all stands in every text.
+    low = "anly"
+    rows = [({low, "grumbolt", f"t{'abcdefgh'[i]}zz"}, 1) for i in range(8)] + [({low, f"c{'abcdefgh'[i]}zz"}, 0) for i in range(8)]
+    assert {zlib.crc32(w.encode()) >= zlib.crc32(low.encode()) for words, _ in rows for w in words} == {True}
+    assert "grumbolt" in toxicity.candidates(rows)
+    assert toxicity.candidates([rows[0]] * 8 + rows[8:]) == []  # copies count once
+
+
 def test_lm_scores(docs, none):
     got = lm.score(docs.select("doc_id", "text", "score"), steps=20).collect()
     learn = [r for r in docs.collect() if zlib.crc32(("" if r["doc_id"] is None else str(r["doc_id"])).encode()) % 10]

@@ -28,6 +28,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
@@ -65,16 +66,16 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] + "*" for k in STEMS if len(word) > k] + [word]
 
 
-def crc(word: str) -> int:
-    return zlib.crc32(word.encode())
+def digest(words: set[str]) -> bytes:
+    return blake2b("\n".join(sorted(words)).encode(), digest_size=16).digest()
 
 
 def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0, most: int = 20_000) -> list[str]:
     """Stems that the sample's toxic texts have more often, at most ``most``."""
-    n = [sum(1 for _, y in rows if not y), sum(1 for _, y in rows if y)]
-    once: dict[tuple[int, int], set[str]] = {}
-    for words, y in rows:  # by a min-hash: copies count once
-        once.setdefault((y, min(map(crc, words), default=0)), words)
+    once: dict[tuple[int, bytes], set[str]] = {}
+    for words, y in rows:  # texts of the same words count once
+        once.setdefault((y, digest(words)), words)
+    n = [sum(1 for y, _ in once if not y), sum(1 for y, _ in once if y)]
     positive, negative = Counter(), Counter()
     for (y, _), words in once.items():
         if y:
