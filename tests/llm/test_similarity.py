@@ -109,3 +109,22 @@ def test_nearest(spark):
     assert hit >= 0.9 * 5 * len(by)
     assert ann.search(df.where("vec_id < 0")).count() == 0
     assert ann.search(df.where("vec_id IN (0, 1, 2)")).count() == 2
+
+
+def test_bit_map_reaches_the_driver_in_few_rows(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidalmark.llm import common
+
+    ids = spark.range(300_000).withColumn("id", F.when(F.col("id") > 0, F.col("id")))
+    spots = ids.select(common.spot(F.col("id")).alias("b")).distinct().toArrow()["b"].to_numpy()
+    sizes = []
+    frame = type(ids)
+    for name in ("collect", "toArrow"):
+        real = getattr(frame, name)
+        monkeypatch.setattr(frame, name, lambda self, real=real: sizes.append(len(out := real(self))) or out)
+    bits = np.unpackbits(common.bit_map(ids, "id").value)
+    assert len(bits) == common.MAP_BITS and np.array_equal(np.flatnonzero(bits), np.sort(spots))
+    assert 0 < sum(sizes) <= common.MAP_BITS // 64 // common.MAP_WORDS
+    assert not common.bit_map(ids.limit(0), "id").value.any()

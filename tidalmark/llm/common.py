@@ -45,7 +45,7 @@ def _folder() -> str:
 
 
 #: Bits of the maps that drop rows before a join which then decides.
-MAP_BITS = 1 << 22
+MAP_BITS, MAP_WORDS = 1 << 22, 16
 
 
 def spot(column: Column) -> Column:
@@ -55,10 +55,20 @@ def spot(column: Column) -> Column:
 
 def bit_map(df: DataFrame, column: str):
     """A broadcast bit map, of a fixed size, of the values of a column: a row
-    whose bit is not set has no partner in ``df``."""
-    bits = np.zeros(MAP_BITS, bool)
-    bits[np.array([r["b"] for r in df.select(spot(quoted(column)).alias("b")).distinct().collect()], int)] = True
-    return df.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    whose bit is not set has no partner in ``df``.
+
+    Executors merge the bits of each 64-bit word, then those of MAP_WORDS words
+    to one row, so the driver gets 1 row for each MAP_WORDS words at most and
+    less than a MB in all, of any ``df``.
+    """
+    bit = F.expr("shiftleft(1L, b % 64)")
+    words = df.select(spot(quoted(column)).alias("b")).groupBy(F.expr("b div 64").cast("int").alias("w")).agg(F.bit_or(bit).alias("m"))
+    parts = [F.max(F.when(F.col("w") % MAP_WORDS == k, F.col("m"))).alias(f"m{k}") for k in range(MAP_WORDS)]
+    rows = words.groupBy(F.expr(f"w div {MAP_WORDS}").cast("int").alias("r")).agg(*parts).na.fill(0).toArrow()
+    found = np.zeros((MAP_BITS // 64 // MAP_WORDS, MAP_WORDS), "<i8")
+    for k in range(MAP_WORDS):
+        found[rows["r"].to_numpy(), k] = rows[f"m{k}"].to_numpy()
+    return df.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(found.view(np.uint8).ravel(), bitorder="little")))
 
 
 def quoted(name: str) -> Column:
