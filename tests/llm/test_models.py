@@ -135,6 +135,13 @@ def test_html(spark):
     assert htmlwrap.main_text(df.where("page_id < 0")).count() == 0
 
 
+def test_html_fixed_slots_and_names_around_the_main_part(spark):
+    page = '<html><body class="no-sidebar header-fixed"><div class="page modal"><article><p>Text {i}</p><div class="zz"><p>Same everywhere</p></div></article></div></body></html>'
+    rows = [(i, f"http://c.example/{i}", page.format(i=i)) for i in range(5)]
+    got = htmlwrap.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"Text {i}" for i in range(5)}
+
+
 def test_wrapper_is_union_free():
     a = htmlwrap.shape_of(htmlwrap.stream("<ul><li>a</li><li>b</li></ul><p>x</p>")[0])
     b = htmlwrap.shape_of(htmlwrap.stream("<ul><li>a</li></ul><h2>t</h2><p>x</p>")[0])

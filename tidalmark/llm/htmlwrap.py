@@ -11,7 +11,11 @@ Every slot of the wrapper knows its path of open tags.  Slots in menus, headers,
 footers, sidebars, notices, adverts, forms and comments are dropped; of the rest
 those inside an article (or main part) are kept.  A host without such a part
 keeps the slots of the container that holds most of the text in its pages,
-without texts that are the same on every page.
+without texts that are the same on every page.  Inside an article too, a slot
+that most pages of the host have with one and the same text is left out.
+
+The wrapper's expression describes the host; pages are not matched against it,
+and what is optional or repeated decides nothing.
 
 Two passes read the pages: the first counts shapes and texts by host, where
 equal shapes are summed before the shuffle, so a host of any size costs as much
@@ -271,8 +275,13 @@ class Path:
 
 
 def dropped(path: str) -> bool:
-    for part in path.split("/"):
-        name, _, role = part.partition(" ")
+    """Names that drop a slot; those of the page and of what holds its main
+    part say nothing."""
+    parts = [part.partition(" ") for part in path.split("/")]
+    inner = next((k for k, p in enumerate(parts) if p[0] in MAIN), 0)
+    for k, (name, _, role) in enumerate(parts):
+        if k < inner and name not in DROPPED or name in ("html", "body"):
+            continue
         if name in DROPPED or role and DROPPED_ROLE.search(role) and not (name in MAIN and MAIN_ROLE.search(role)):
             return True
     return False
@@ -286,12 +295,12 @@ def rules(host_rows: pd.DataFrame) -> tuple[str, dict[str, str]]:
     """The host's expression, and for each slot path KEEP or DROP.
 
     ``host_rows`` has shape, path, chars, fixed (the text is the same on every
-    page), one row a shape and path.
+    page), common (and on most pages of the host), one row a shape and path.
     """
     shapes = [json.loads(s) for s in sorted(set(host_rows["shape"]), key=lambda s: (len(s), s))]
     wrapper = Wrapper(shapes)
     slots = wrapper.slots()
-    by_path = host_rows.groupby("path").agg({"chars": "sum", "fixed": "min"})
+    by_path = host_rows.groupby("path").agg({"chars": "sum", "fixed": "min", "common": "min"})
     for path in by_path.index:
         slots.setdefault(path, 0.0)
     left = [p for p in slots if not dropped(p)]
@@ -311,6 +320,8 @@ def rules(host_rows: pd.DataFrame) -> tuple[str, dict[str, str]]:
                 break
             root = f"{root}/{best}".lstrip("/")
         inside = [p for p in moving if p == root or p.startswith(f"{root}/") or not root]
+    else:
+        inside = [p for p in inside if not (p in by_path.index and by_path.loc[p, "common"])] or inside
     keep = set(inside)
     return wrapper.expression(), {p: KEEP if p in keep else DROP for p in slots}
 
@@ -384,7 +395,8 @@ def inferred(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         across = rows.groupby("path").agg({"lo": "min", "hi": "max", "n": "sum"})
         fixed = (across["lo"] == across["hi"]) & (across["n"] >= 3)
-        rows = rows.assign(fixed=rows["path"].map(fixed))
+        common = fixed & (2 * across["n"] > across["n"].max())
+        rows = rows.assign(fixed=rows["path"].map(fixed), common=rows["path"].map(common))
         expression, keep = rules(rows)
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "expression": [expression], "rules": [json.dumps(keep)]})
 
