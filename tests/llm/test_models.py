@@ -102,18 +102,66 @@ def test_attention_is_a_distribution_and_causal():
     import numpy as np
 
     r = np.random.default_rng(0)
-    model = lm.Attention(np.log(r.dirichlet(np.ones(lm.IDS), lm.IDS)).astype(np.float32), r.permutation(lm.IDS))
+    starts = np.arange(lm.IDS) < 3 * lm.SIZE
+    place = np.concatenate([r.permutation(3 * lm.SIZE), 3 * lm.SIZE + r.permutation(lm.IDS - 3 * lm.SIZE)])
+    model = lm.Attention(np.log(r.dirichlet(np.ones(lm.IDS), lm.IDS)).astype(np.float32), place, starts)
     model.p["m"] += r.normal(0, 0.3, model.p["m"].shape).astype(np.float32)
     model.p["c"] += r.normal(0, 0.3, model.p["c"].shape).astype(np.float32)
     model.ready()
     start = r.integers(0, lm.IDS, 37).astype(np.uint16)
-    one = model.log_ids([start])
-    total = sum(math.exp(model.log_ids([np.append(start[:20], np.uint16(k))])[-1]) for k in range(lm.IDS))
-    assert total == pytest.approx(1, abs=1e-3)
+    one, opens = model.log_ids([start])
+    each = [math.exp(model.log_ids([np.append(start[:20], np.uint16(k))])[0][-1]) for k in range(lm.IDS)]
+    assert sum(each) == pytest.approx(1, abs=1e-3)
+    assert sum(p for p, s in zip(each, starts, strict=True) if s) == pytest.approx(math.exp(opens[20]), abs=1e-4)
     later = start.copy()
     later[30:] = 5
-    assert np.allclose(model.log_ids([later])[:30], one[:30], atol=1e-5)
-    assert np.allclose(model.log_ids([start[:9], start])[9:], one, atol=1e-5)
+    assert np.allclose(model.log_ids([later])[0][:30], one[:30], atol=1e-5)
+    assert np.allclose(model.log_ids([start[:9], start])[0][9:], one, atol=1e-5)
+
+
+def test_word_chances_add_up_to_one_at_most():
+    """Over all known words and the end, after a text and at its start."""
+    import numpy as np
+
+    known = sorted({w.encode() for w in words(5, 400).split()} | {b"caf\xc3\xa9,", b"x\xe3\x80\x80y"})
+    path = lm.default_vocabulary()
+    ids, sizes = lm.encoded(path, known)
+    assert sizes.tolist() == [len(lm.tokenizer(path).encode_ordinary(" " + w.decode())) for w in known]
+    subwords = lm.Subwords(path, dict(Counter(ids.tolist())))
+    flat, sizes = subwords.encode(known)
+    ends = np.cumsum(sizes) - 1
+    first, last, pairs = np.zeros(lm.IDS), np.zeros(lm.IDS), np.zeros((lm.IDS, lm.IDS))
+    np.add.at(first, flat[ends - sizes + 1], 1)
+    np.add.at(last, flat[ends], 1)
+    for a, b, k in zip(flat, flat[1:], range(len(flat)), strict=False):
+        pairs[a, b] += k not in ends
+    assert subwords.starts[flat[ends - sizes + 1]].all() and subwords.starts.sum() % lm.SIZE == 0
+    total = len(known) + 40
+    terms = {w: math.log10(1 / total) for w in known} | {b"": math.log10(40 / total)}
+    seen = lm.Seen(subwords, terms, {})
+    texts = [b" ".join(known[k : k + 10]) for k in range(0, len(known), 10)]
+    _, docs = seen.documents(texts)
+    model = lm.Attention(lm.prior_of(first, last, pairs, len(known), 40), lm.classes_of(docs, first, subwords.starts), subwords.starts)
+    model.train(docs, 150, 32)
+    mixture = lm.Mixture(model, terms)
+    for before in ([], known[:3]):
+        masses = np.zeros(3)
+        for w in [*known, None]:
+            one, two = mixture.parts(*seen.documents([b" ".join([*before, *([w] if w else [])])]), seen)
+            k = len(before)
+            masses += 10 ** np.array([one[k], two[k], mixture.mixed(one, two)[k]])
+        assert masses[0] <= 1.001 and masses[1] == pytest.approx(1) and 0.3 < masses[2] <= 1.001
+
+
+def test_rejections_keep_every_column(spark):
+    rows = [(i, words(i, 40), "en", 1, "r", "h") for i in range(60)] + [(i, "1 2 3", "en", 1, "r", "h") for i in (60, 61, 61)] + [(70, None, None, 1, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int, _row string, held_out string")
+    left = langid.reject(df)
+    assert left.schema == df.schema and sorted(r["doc_id"] for r in left.collect()) == list(range(60))
+    labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    left = toxicity.reject(df, labels)
+    assert left.schema == df.schema and left.count() == 64
+    assert langid.reject(df.where("doc_id < 0")).count() == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T {i}</title><style>p{{x}}</style><script>var t="</p><article>";</script></head><body>
