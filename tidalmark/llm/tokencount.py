@@ -8,7 +8,8 @@ counts them by document.  The pieces of a pre-token are counted once:
   documents on the driver, and broadcast (a table of at most ``head`` rows,
   which only saves shuffling and never changes a result);
 * those of every other pre-token where a shuffle by pre-token brings its
-  (document, frequency) rows together.
+  (document, frequency) rows together, in ``SALTS`` tasks at most, so that one
+  pre-token of many documents does not fill a single task.
 
 The sums by document follow; no ids are made for documents.
 
@@ -38,6 +39,7 @@ SPLIT = regex.compile(PATTERN)
 OTHER = regex.compile("[^\u0000-\u0557\u2000-\u206f]")
 OVER = 1024
 MEMO = 400_000
+SALTS = 4
 _memo: dict[str, dict[str, int]] = {}
 _tokenizers: dict[str, object] = {}
 
@@ -171,7 +173,9 @@ def count(
             )
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = src.mapInArrow(split, out).repartition(parts, F.coalesce(F.xxhash64("piece"), F.xxhash64("rid")))
+    # A document's own row goes by its rid, and a pre-token of many documents to SALTS tasks, each of which counts its pieces once.
+    place = F.when(F.col("piece").isNull(), F.xxhash64("rid")).otherwise(F.xxhash64("piece", F.pmod("rid", F.lit(SALTS))))
+    dealt = src.mapInArrow(split, out).repartition(parts, place)
     return (
         dealt.mapInArrow(summed, out.rsplit(",", 1)[0])
         .groupBy("rid")
