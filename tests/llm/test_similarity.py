@@ -54,8 +54,31 @@ def test_join_loses_no_link(spark, docs, n, percent):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     rows += [(None if d is None else d + 1000, t) for d, t in noisy()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = simjoin.join(df, n=n, percent=percent).collect()
-    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == brute(rows, n, percent)
+    want = brute(rows, n, percent)
+    for options in ({}, {"hubs": 1, "small": 1, "cells": 64})[: 2 if n == 4 else 1]:  # then most pairs come by their rarest shingles
+        got = simjoin.join(df, n=n, percent=percent, **options).collect()
+        assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == want
+
+
+def test_rarest_shingles_meet_for_every_linked_pair(spark):
+    """For any order of shingles; and parities never reject a linked pair."""
+    r = np.random.default_rng(3)
+    for percent in (60, 80, 85):
+        for _ in range(200):
+            both, more, less = r.integers(1, 60), r.integers(0, 12), r.integers(0, 12)
+            found = np.unique(r.integers(0, 1 << 63, both + more + less, dtype=np.uint64))
+            a, b = found[: both + more], np.concatenate([found[:both], found[both + more :]])
+            if 100 * both < percent * (both + more + less):
+                continue
+            if len(a) > len(b):
+                a, b = b, a
+            rank = {x: k for k, x in enumerate(r.permutation(found).tolist())}
+            small, large = (sorted(x.tolist(), key=rank.get) for x in (a, b))
+            own = len(a) - simjoin.overlap(len(a), len(a), percent) + 1
+            other = len(b) - simjoin.overlap(len(b), -(-len(b) * percent // 100), percent) + 1
+            assert set(small[:own]) & set(large[:other])
+            odd = np.bitwise_count((simjoin.parities(np.sort(a)) ^ simjoin.parities(np.sort(b))).view(np.uint64)).sum()
+            assert odd * (100 + percent) <= (len(a) + len(b)) * (100 - percent)
 
 
 def test_signatures_meet_for_every_linked_pair():

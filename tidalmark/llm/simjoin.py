@@ -16,16 +16,23 @@ empty ones adds the one-deletion neighbourhoods of its first segments, each of
 which stands for two.  ``slack``, or one-deletion neighbourhoods throughout, is
 chosen for each band by the expected number of signatures.
 
-*Links.*  Equal sets are one class, whose smallest id stands for it.  In rounds,
-each class meets one other class of its buckets (a seeded one, the same for
-most of a group), exact verification on whole sets follows, and linked classes
-get one label.  What remains in buckets with several labels is paired across
-labels and verified in full: no pair inside a linked group is ever made, and no
-link between groups is lost.
-
-Sets are verified as 64-bit hashes of shingles, kept once for those that share
-a signature; a parity sketch of each, a lower bound of the difference, comes
-first.  A set's class is a 128-bit digest.
+*Links.*  Equal sets are one class, whose smallest id stands for it.  Each class
+first meets the ``hubs`` best connected classes of its buckets (the number of
+others in all of a class's buckets says how well it is connected, and a group's
+original comes first); exact verification on whole sets follows, and linked
+classes get one label.  Buckets that still hold several labels are finished in
+one of two exact ways.  Up to ``small`` classes are paired across labels.  In a
+larger bucket two linked sets must also share one of their rarest shingles: by
+any fixed order of shingles the first ``|A| - overlap + 1`` of either set meet,
+and in an order that puts shingles of many sets last, sets that only share a
+passage, or are copies of one text too far apart, mostly do not; parities
+of the sets, carried along, drop most of the rest inside the join.  So no pair inside a
+linked group is made, no group is paired out, and no link is lost.
+
+Sets are verified as 64-bit hashes of shingles (two shingles of a pair fall
+together with a chance of 1 in 1e13 even in sets of a thousand), kept once for
+those that share a signature; a parity sketch of each, a lower bound of the
+difference, comes first.  A set's class is a 128-bit digest.
 
 Nulls: a null or empty text has no shingle and links with nothing.  A row with
 a null id has its n_shingles, takes part in no link, and its component is null.
@@ -36,19 +43,21 @@ smallest id count as one.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
 from hashlib import blake2b
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, bit_map, cut, quoted, raw, spot
+from .common import append, bit_map, cut, quoted, raw, spot, unused
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
+PARITIES = 8
 
 
 class Hashes(dict):
@@ -69,7 +78,7 @@ def shingles(text: bytes, n: int, memo: Hashes) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-    if len(memo) > 400_000:
+    if len(memo) > 200_000:
         memo.clear()
     k = min(n, len(w))
     h = np.full(len(w) - k + 1, k, np.uint64)
@@ -90,7 +99,7 @@ def bound(a: int, b: int, percent: int) -> int:
 class Bands:
     """Size bands up to any size, made as needed."""
 
-    def __init__(self, percent: int, ratio: float = 1.4):
+    def __init__(self, percent: int, ratio: float = 1.6):
         self.percent, self.ratio = percent, ratio
         self.made: list[tuple[int, int, int, int, bool]] = []
 
@@ -158,24 +167,35 @@ def signatures(found: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.empty(0, np.uint64)
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, n_shingles, class digest and signatures of each row."""
+def described(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """id, n_shingles and class digest of each row."""
 
     def kernel():
-        memo, bands = Hashes(), Bands(percent)
+        memo = Hashes()
 
         def run(texts):
             sets = [shingles(t, n, memo) for t in raw(texts)]
-            return (
-                [len(s) for s in sets],
-                [digest(s) if len(s) else None for s in sets],
-                [signatures(s, bands).view(np.int64) for s in sets],
-            )
+            return [len(s) for s in sets], [digest(s) if len(s) else None for s in sets]
 
         return run
 
     src = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"))
-    return append(src, ["text"], "n_shingles long, class binary, sigs array<long>", kernel, ["id"])
+    return append(src, ["text"], "n_shingles long, class binary", kernel, ["id"])
+
+
+def signed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id and signatures of each row.
+
+    Texts are read once more for them: to keep the signatures of all rows beside
+    their digests would take more disk than the reading takes time.
+    """
+
+    def kernel():
+        memo, bands = Hashes(), Bands(percent)
+        return lambda texts: ([signatures(shingles(t, n, memo), bands).view(np.int64) for t in raw(texts)],)
+
+    src = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    return append(src, ["text"], "sigs array<long>", kernel, ["id"])
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -185,6 +205,18 @@ def sketch(found: np.ndarray) -> bytes:
     return np.packbits(np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).tobytes()
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The same over 64 * PARITIES cells, as so many 64-bit numbers."""
+    bits = np.bincount((found & np.uint64(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(bits).view(np.int64)
+
+
+def differ(a: str, b: str) -> Column:
+    """So many shingles at least are in only one of two sets, by their parities."""
+    bits = [F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PARITIES)]
+    return reduce(Column.__add__, bits)
+
+
 def apart(x: bytes, y: bytes) -> int:
     """So many shingles at least are in only one of two sets, by their
     sketches: each odd cell of the difference holds one."""
@@ -194,7 +226,7 @@ def apart(x: bytes, y: bytes) -> int:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id, size, sketch and packed set of the rows whose id is in ``wanted``
+    """id, size, sketch, parities and packed set of the rows whose id is in ``wanted``
     (distinct ids).
 
     A bit map of fixed size drops most other rows before the shuffle; the
@@ -218,12 +250,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
                     part.column(0),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
+                    pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                     pa.array([s.tobytes() for s in sets], pa.binary()),
                 ],
-                ["id", "size", "sketch", "set"],
+                ["id", "size", "sketch", "parity", "set"],
             )
 
-    return src.mapInArrow(run, f"id {kind}, size long, sketch binary, set binary").join(wanted, "id", "left_semi")
+    return src.mapInArrow(run, f"id {kind}, size long, sketch binary, parity array<long>, set binary").join(wanted, "id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -289,61 +322,127 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.join(roots, "label", "left").select("id", "size", F.coalesce("root", "label").alias("label")))
 
 
+def overlap(a: int, b: int, percent: int) -> int:
+    """Shingles that linked sets of these sizes share at least."""
+    return -(-percent * (a + b) // (100 + percent))
+
+
+def cells_of(sets: DataFrame, cells: int) -> np.ndarray:
+    """How many shingles of ``sets`` fall into each of ``cells`` cells; tasks
+    sum first, so the driver gets ``cells`` numbers at most."""
+
+    def run(batches):
+        counts = np.zeros(cells, np.int64)
+        for batch in batches:
+            for s in batch.column(0).to_pylist():
+                counts += np.bincount((np.frombuffer(s, np.uint64) % np.uint64(cells)).astype(np.int64), minlength=cells)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], ["cell", "n"])
+
+    rows = sets.select("set").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(cells, np.int64)
+    out[rows["cell"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def rarest(sets: DataFrame, percent: int, cells: int) -> DataFrame:
+    """token, place and the other columns but the set, for the shingles of each
+    set of which a linked set has one: first those of the emptiest cells."""
+    shared = sets.sparkSession.sparkContext.broadcast(cells_of(sets, cells))
+
+    def kernel():
+        often = shared.value
+
+        def run(packed):
+            out = []
+            for s in packed.to_pylist():
+                found = np.frombuffer(s, np.uint64)
+                order = np.lexsort((found, often[(found % np.uint64(cells)).astype(np.int64)]))
+                a = len(found)
+                first = a - overlap(a, -(-a * percent // 100), percent) + 1
+                out.append(found[order[:first]].view(np.int64))
+            return (out,)
+
+        return run
+
+    made = append(sets, ["set"], "tokens array<long>", kernel, [c for c in sets.columns if c not in ("set", "sketch")])
+    return made.select("id", "size", "label", "parity", F.posexplode("tokens").alias("place", "token"))
+
+
+def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
+    """Pairs (a, b): each id with the best connected ids of its buckets."""
+    near = F.struct((-F.col("others")).alias("o"), "id", "size").alias("hub")
+    best = live.groupBy("sig").agg(F.min(near).alias("hub"))
+    fits = (F.col("size") * 100 >= F.col("hub.size") * percent) & (F.col("hub.size") * 100 >= F.col("size") * percent)
+    return (
+        live.join(best, "sig")
+        .where((F.col("id") != F.col("hub.id")) & fits)
+        .groupBy("id")
+        .agg(F.slice(F.array_sort(F.collect_set("hub")), 1, hubs).alias("hubs"))
+        .select(F.col("id").alias("a"), F.explode("hubs.id").alias("b"))
+    )
+
+
+def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, small: int, cells: int) -> DataFrame:
+    """Pairs (a, b) across labels that may link."""
+    tagged = live.select("sig", "id", "size").join(labels.select("id", "label"), "id")
+    several = (
+        tagged.groupBy("sig")
+        .agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"))
+        .where("l0 <> l1")
+        .select("sig", "n")
+    )
+    rest = cut(tagged.join(several, "sig"))
+    crowded = rest.where(F.col("n") > small).groupBy("id").agg(F.first("label").alias("label"))
+
+    def ends(rows: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame]:
+        sides = [rows.select(key, *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "label", "parity", *more)]) for k in "ab"]
+        return sides[0], sides[1]
+
+    first = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("id_a") < F.col("id_b")))
+    near = differ("parity_a", "parity_b") * (100 + percent) <= (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    fits = F.col("size_a") * 100 >= F.col("size_b") * percent
+    open_pair = first & (F.col("label_a") != F.col("label_b")) & fits & near
+    one, two = ends(rest.where(F.col("n") <= small).join(sets.select("id", "parity"), "id"), "sig")
+    few = one.join(two, "sig").where(open_pair)
+    one, two = ends(cut(rarest(sets.join(crowded, "id"), percent, cells)), "token", "place")
+    # The smaller set of a pair needs fewer of its shingles: its partner is no smaller.
+    own = F.col("size_a") - F.ceil(F.lit(2 * percent) * F.col("size_a") / (100 + percent)) + 1
+    many = one.where(F.col("place_a") < own).join(two, "token").where(open_pair)
+    return few.select("id_a", "id_b").union(many.select("id_a", "id_b")).distinct().toDF("a", "b")
+
+
 def join(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     n: int = 4,
     percent: int = 85,
-    rounds: int = 4,
+    hubs: int = 3,
+    small: int = 8,
+    cells: int = 1 << 18,
 ) -> DataFrame:
     """id, n_shingles and component_id of each row of ``docs``."""
-    rows = cut(described(docs, id_col, text_col, n, percent))
+    rows = cut(described(docs, id_col, text_col, n))
     classes = cut(
-        rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"))
+        rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"))
     )
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    signed = rows.where("id IS NOT NULL").join(reps, "id", "left_semi")
-    exploded = signed.select(F.explode("sigs").alias("sig"), "id", F.col("n_shingles").alias("size"))
-    live = cut(
-        exploded.withColumn("c", F.count("*").over(Window.partitionBy("sig"))).where("c > 1").select("sig", "id", "size")
-    )
-    labels = cut(live.groupBy("id").agg(F.max("size").alias("size")).select("id", "size", F.col("id").alias("label")))
+    alone = signed(docs, id_col, text_col, n, percent).join(reps, "id", "left_semi").select(F.explode("sigs").alias("sig"), "id")
+    # Neighbours in order, not a count, tell shared signatures: no group is held.
+    order = Window.partitionBy("sig").orderBy("id")
+    met = alone.withColumn("x", F.lag("id").over(order)).withColumn("y", F.lead("id").over(order))
+    live = cut(met.where("x IS NOT NULL OR y IS NOT NULL").select("sig", "id"))
+    several = live.join(live.groupBy("sig").agg(F.count("*").alias("c")), "sig")
+    others = several.groupBy("id").agg(F.sum("c").alias("others"))
+    sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
+    labels = cut(others.join(sizes, "id").select("id", "size", F.col("id").alias("label"), "others"))
+    live = live.join(labels.select("id", "size", "others"), "id")
     sets = cut(sets_of(docs, labels.select("id"), id_col, text_col, n))
-
-    def fits(a: str, b: str):
-        return (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
-
-    for k in range(rounds):
-        tagged = live.join(labels.select("id", "label"), "id")
-        buckets = tagged.groupBy("sig").agg(
-            F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "size", "label")).alias("hub"),
-            F.min("label").alias("l0"),
-            F.max("label").alias("l1"),
-        ).where("l0 <> l1")
-        met = (
-            tagged.join(buckets, "sig")
-            .where((F.col("label") != F.col("hub.label")) & fits("size", "hub.size"))
-            .groupBy("id")
-            .agg(F.min("hub").alias("hub"))
-            .select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-        )
-        found = cut(verified(met, sets, percent))
-        if found.isEmpty():
-            break
-        labels = relabelled(labels, found)
-    tagged = live.join(labels.select("id", "label"), "id")
-    mixed_buckets = tagged.groupBy("sig").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-    rest = cut(tagged.join(mixed_buckets.select("sig"), "sig"))
-    other = rest.select("sig", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"))
-    pairs = (
-        rest.select("sig", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"))
-        .join(other, "sig")
-        .where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & fits("sa", "sb"))
-        .select("a", "b")
-        .distinct()
-    )
-    labels = relabelled(labels, cut(verified(pairs, sets, percent)))
+    found = verified(connected(live, percent, hubs), sets, percent)
+    labels = relabelled(labels.select("id", "size", "label"), cut(found))
+    left = remaining(live, labels, sets, percent, small, cells)
+    labels = relabelled(labels, cut(verified(left, sets, percent)))
     # A label is some class's representative; the component's id is the smallest.
     small = labels.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = (
@@ -365,16 +464,18 @@ def first_of_group(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFr
     text stays.  Rows with a null id stay.
     """
     text_col = options.get("text_col", "text")
-    found = join(docs, id_col, **options).select(quoted(id_col).alias("_k"), "component_id").where("_k IS NOT NULL")
-    by_id = cut(found.groupBy("_k").agg(F.min(F.col("component_id") != F.col("_k")).alias("other"), F.count("*").alias("n")))
+    key, place = unused(docs, "key"), unused(docs, "place")
+    found = join(docs, id_col, **options).select(quoted(id_col).alias(key), "component_id").where(quoted(key).isNotNull())
+    by_id = cut(found.groupBy(key).agg(F.min(F.col("component_id") != F.col(key)).alias("other"), F.count("*").alias("n")))
     cols = [quoted(c) for c in docs.columns]
-    left = docs.join(by_id.where("other OR n > 1").select("_k"), quoted(id_col) == F.col("_k"), "left_anti").select(*cols)
-    again = by_id.where("NOT other AND n > 1").select("_k")
+    gone = by_id.where("other OR n > 1").select(key)
+    left = docs.join(gone, quoted(id_col) == F.col(key), "left_anti").select(*cols)
+    again = by_id.where("NOT other AND n > 1").select(key)
     if again.isEmpty():
         return left
     order = Window.partitionBy(quoted(id_col)).orderBy(quoted(text_col))
-    once = docs.join(again, quoted(id_col) == F.col("_k"), "left_semi").withColumn("_n", F.row_number().over(order))
-    return left.unionByName(once.where("_n = 1").select(*cols))
+    once = docs.join(again, quoted(id_col) == F.col(key), "left_semi").withColumn(place, F.row_number().over(order))
+    return left.unionByName(once.where(F.col(place) == 1).select(*cols))
 
 
 ORACLE_SQL = r"""
