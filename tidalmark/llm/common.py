@@ -23,14 +23,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a table in the shared folder.
 
     The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only where none is set (local tests) is a temporary one chosen.  A written
+    where none is set a temporary one is chosen in local mode, and a cluster
+    is refused, as its executors share no such folder.  A written
     table survives lost executors, and its true size is known to later joins
     (a checkpoint keeps the estimate of the plan it was made by, which grows
     beyond all bounds in iterations).  Spark's file system removes the tables
     when the driver ends.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or _folder()
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.conf.get("spark.master", "").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _folder()
     path = f"{folder}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
@@ -75,6 +80,27 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Bytes of rows that go to a Python worker at once (both sides hold a batch).
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bound the session's Arrow batches by bytes: a batch of so many rows of
+    long texts or sets would take as much memory as they happen to need."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "-1").rstrip("bB") or -1) <= BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_hash(id_col: str, mod: int) -> Column:
     """crc32 of the id's text, modulo ``mod``; a null id counts as empty text."""
     text = F.coalesce(quoted(id_col).cast("string"), F.lit(""))
@@ -112,10 +138,30 @@ def append(
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(cols.index(c)) for c in keep], *arrays], [*keep, *added.names]
                 )
+        pa.default_memory_pool().release_unused()
 
+    small_batches(df)
     return src.mapInArrow(run, out)
 
 
+def where(df: DataFrame, inputs: list[str], kernel: Callable[[], Callable[..., list]]) -> DataFrame:
+    """The rows for which an Arrow kernel over the columns ``inputs`` says True.
+
+    Every column is sent once and comes back as it is, whatever its name.
+    """
+    at = [df.columns.index(c) for c in inputs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = kernel()
+        for batch in batches:
+            for part in slices(batch, at[-1]):
+                yield part.filter(pa.array(f(*[part.column(i) for i in at]), pa.bool_()))
+        pa.default_memory_pool().release_unused()
+
+    small_batches(df)
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -130,13 +176,6 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         yield batch.slice(at, rows)
 
 
-def stretch(text: Column, key: Column, most: int) -> Column:
-    """A seeded stretch of at most ``most`` bytes, anywhere in the whole text."""
-    body = text.cast("binary")
-    first = F.pmod(F.xxhash64(key, F.lit("stretch")), F.greatest(F.lit(1), F.length(body) - most + 1)) + 1
-    return F.substring(body, first.cast("int"), F.lit(most))
-
-
 def raw(texts: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of each text; null is empty."""
     return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]

@@ -3,9 +3,9 @@
 Bytes are embedded, filters of widths 2, 3 and 4 slide over windows of
 ``WINDOW`` bytes, each filter's maximum in the window is kept, and a softmax
 over the languages reads those maxima.  It is trained in numpy with Adam, on
-the driver, on a bounded sample: at most ``per_lang`` labelled documents of each
-language (by hash of the id), and ``train_windows`` windows of them.  Scoring
-cuts the whole text of every document into consecutive windows and averages the
+the driver, on a bounded sample: about ``per_lang`` labelled documents of each
+language (by hash of the id; their whole texts), from whose windows each of 500
+steps draws 64.  Scoring cuts the whole text of every document into consecutive windows and averages the
 windows' log-probabilities by their number of bytes.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0.  Without
@@ -23,7 +23,7 @@ from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, id_hash, quoted, stretch
+from .common import append, id_hash, quoted, where
 
 WINDOW, EMBED, WIDTHS, FILTERS = 192, 8, (2, 3, 4), 16
 WIDEST, N = max(WIDTHS), len(WIDTHS) * FILTERS
@@ -104,15 +104,14 @@ class Net:
             self.p[k] -= (rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
 
 
-def train(rows: list[tuple[bytes, str]], train_windows: int = 8000, steps: int = 500, batch: int = 64) -> Net:
+def train(rows: list[tuple[bytes, str]], steps: int = 500, batch: int = 64) -> Net:
     langs = sorted({lang for _, lang in rows}, key=str.encode)
     net, r = Net(langs), np.random.default_rng(1)
     number = {lang: k for k, lang in enumerate(langs)}
     x, owner, length = windows([t for t, _ in rows])
     y = np.array([number[lang] for _, lang in rows])[owner]
     order = r.permutation(np.flatnonzero(length > 0))
-    per = max(1, train_windows // len(langs))
-    groups = [g for k in range(len(langs)) if len(g := order[y[order] == k][:per])]
+    groups = [g for k in range(len(langs)) if len(g := order[y[order] == k])]
     m: dict = {}
     v: dict = {}
     for t in range(1, steps + 1):
@@ -124,9 +123,8 @@ def train(rows: list[tuple[bytes, str]], train_windows: int = 8000, steps: int =
     return net
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_lang: int, most_bytes: int) -> list:
-    """At most about ``per_lang`` labelled rows of each language, and of each
-    text a seeded stretch of ``most_bytes`` bytes."""
+def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, per_lang: int) -> list:
+    """At most about ``per_lang`` labelled rows of each language, whole texts."""
     rows = docs.where(learn & quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
     counts = {r["l"]: r["n"] for r in rows.groupBy(quoted(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -136,58 +134,71 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn, pe
     for lang, n in counts.items():
         share = F.when(quoted(lang_col) == lang, int(min(1.0, per_lang / n) * (1 << 30))).otherwise(share)
     got = rows.where(h < share).select(
-        stretch(quoted(text_col), quoted(id_col), most_bytes).alias("t"), quoted(lang_col).alias("l"), quoted(id_col).cast("string").alias("i")
+        quoted(text_col).cast("binary").alias("t"), quoted(lang_col).alias("l"), quoted(id_col).cast("string").alias("i")
     ).limit(per_lang * len(counts) * 2)
     return sorted((bytes(r["t"]), r["l"], zlib.crc32((r["i"] or "").encode())) for r in got.collect())
 
 
-def predict(
+def judge(net: Net | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each text."""
+    names, scores = [UND] * len(texts), [0.0] * len(texts)
+    have = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    if net is None or not have:
+        return names, scores
+    x, owner, length = windows([texts[i].encode() for i in have])
+    total = np.zeros((len(have), len(net.langs)))
+    for at in range(0, len(x), 256):
+        part = slice(at, at + 256)
+        np.add.at(total, owner[part], net.log_probs(x[part]) * length[part, None])
+    total /= np.bincount(owner, length, len(have))[:, None]
+    q = np.exp(total - total.max(1, keepdims=True))
+    q /= q.sum(1, keepdims=True)
+    for i, best, p in zip(have, q.argmax(1), q.max(1), strict=True):
+        names[i], scores[i] = net.langs[best], float(p)
+    return names, scores
+
+
+def learned(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     per_lang: int = 600,
-    most_bytes: int = 4096,
+    folds: int = 3,
+    held: int = 1,
+) -> Net | None:
+    """The network of the rows whose crc32(id) mod ``folds`` is not ``held``."""
+    rows = sample(docs, id_col, text_col, lang_col, id_hash(id_col, folds) != held, per_lang)
+    return train([(t, lang) for t, lang, _ in rows]) if rows else None
+
+
+def predict(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
     folds: int = 3,
     held: int = 1,
     keep: list[str] | None = None,
+    **options,
 ) -> DataFrame:
-    """``docs`` with held_out, lang_pred and score.
+    """``docs`` with held_out, lang_pred and score; columns of these names are replaced."""
+    net = learned(docs, id_col, text_col, folds=folds, held=held, **options)
+    held_docs = docs.withColumn("held_out", id_hash(id_col, folds) == held)
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "held_out"]
+    return append(
+        held_docs, [text_col], "lang_pred string, score double", lambda: lambda texts: judge(net, texts.to_pylist()), [*keep, "held_out"]
+    )
 
-    Learns from rows whose crc32(id) mod ``folds`` is not ``held``.
-    """
-    rows = sample(docs, id_col, text_col, lang_col, id_hash(id_col, folds) != held, per_lang, most_bytes)
-    net = train([(t, lang) for t, lang, _ in rows]) if rows else None
+
+def reject(docs: DataFrame, least: float = 0.3, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without those whose language is ``und`` or scored under ``least``."""
+    net = learned(docs, text_col=text_col, **options)
 
     def kernel():
         def run(texts):
-            held_texts = texts.to_pylist()
-            names, scores = [UND] * len(texts), [0.0] * len(texts)
-            have = [i for i, t in enumerate(held_texts) if t and LETTER.search(t)]
-            if net is None or not have:
-                return names, scores
-            x, owner, length = windows([held_texts[i].encode() for i in have])
-            total = np.zeros((len(have), len(net.langs)))
-            for at in range(0, len(x), 256):
-                part = slice(at, at + 256)
-                np.add.at(total, owner[part], net.log_probs(x[part]) * length[part, None])
-            total /= np.bincount(owner, length, len(have))[:, None]
-            q = np.exp(total - total.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            for i, best, p in zip(have, q.argmax(1), q.max(1), strict=True):
-                names[i], scores[i] = net.langs[best], float(p)
-            return names, scores
+            names, scores = judge(net, texts.to_pylist())
+            return [n != UND and s >= least for n, s in zip(names, scores, strict=True)]
 
         return run
 
-    held_docs = docs.withColumn("held_out", id_hash(id_col, folds) == held)
-    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() != "held_out"]
-    return append(held_docs, [text_col], "lang_pred string, score double", kernel, [*keep, "held_out"])
-
-
-def reject(docs: DataFrame, least: float = 0.3, **options) -> DataFrame:
-    """``docs`` without those whose language is ``und`` or scored under ``least``."""
-    judged = predict(
-        docs.select("*", F.struct(*[quoted(c) for c in docs.columns]).alias("_row")), keep=["_row"], **options
-    )
-    return judged.where((F.col("lang_pred") != UND) & (F.col("score") >= least)).select("_row.*")
+    return where(docs, [text_col], kernel)

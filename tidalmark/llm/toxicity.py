@@ -35,12 +35,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, bit_map, cut, id_hash, quoted, spot
+from .common import append, bit_map, cut, id_hash, quoted, spot, where
 
 LETTERS = re.compile(r"[^\W\d_]+")
 STEMS = (3, 4, 5, 6, 7, 8)
 BUCKETS = 1 << 15
 VOTERS, STRONG = 6, 4
+THRESHOLD = 0.3
 
 UPPER = re.compile(r"[A-Z]{4}")
 #: Patterns of the pattern voters, and words of which a text must
@@ -70,8 +71,8 @@ def digest(words: set[str]) -> bytes:
     return blake2b("\n".join(sorted(words)).encode(), digest_size=16).digest()
 
 
-def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0, most: int = 20_000) -> list[str]:
-    """Stems that the sample's toxic texts have more often, at most ``most``."""
+def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0) -> list[str]:
+    """Stems that the sample's toxic texts have more often."""
     once: dict[tuple[int, bytes], set[str]] = {}
     for words, y in rows:  # texts of the same words count once
         once.setdefault((y, digest(words)), words)
@@ -92,7 +93,7 @@ def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0, most: int =
         odds = math.log((c + 0.5) / (n[1] + 1)) - math.log((negative[s] + 0.5) / (n[0] + 1))
         if c >= 4 and odds >= floor and negative[s] <= c / 4:
             found.append((-odds, s))
-    return [s for _, s in sorted(found)[:most]]
+    return [s for _, s in sorted(found)]
 
 
 class Lexicons:
@@ -315,12 +316,12 @@ def score(
     text_col: str = "text",
     label_col: str = "toxic",
     most_rows: int = 6000,
-    threshold: float = 0.3,
+    threshold: float = THRESHOLD,
     folds: int = 4,
     held: int = 2,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with held_out, score and predicted.
+    """``docs`` with held_out, score and predicted; columns of these names are replaced.
 
     Learns from labels of rows whose crc32(id) mod ``folds`` is not ``held``.
     About ``most_rows`` labelled rows (their whole texts) are used to fit; every
@@ -340,7 +341,21 @@ def score(
     return append(held_docs, [text_col], "score double, predicted int", kernel, [*keep, "held_out"])
 
 
-def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def reject(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_col: str = "toxic",
+    most_rows: int = 6000,
+    threshold: float = THRESHOLD,
+    folds: int = 4,
+    held: int = 2,
+) -> DataFrame:
     """``docs`` without those predicted toxic."""
-    judged = score(docs.select("*", F.struct(*[quoted(c) for c in docs.columns]).alias("_row")), labels, keep=["_row"], **options)
-    return judged.where(F.col("predicted") == 0).select("_row.*")
+    model = fit(docs, labels, id_col, text_col, label_col, id_hash(id_col, folds) != held, most_rows)
+
+    def kernel():
+        return lambda texts: [model is None or model.score(t or "") < threshold for t in texts.to_pylist()]
+
+    return where(docs, [text_col], kernel)
