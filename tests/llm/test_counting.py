@@ -39,6 +39,19 @@ def test_mixing_reruns_agree(docs):
     assert one == two
 
 
+def test_mixing_and_cleaning_keep_clashing_columns(spark):
+    rows = [(i, f"word {i} " * 9, "a", 7, 8, 9, "s") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int, n_hit int, _size int, _source string")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "size", "source_size", "target", "taken"]
+    assert {(r["n_words"], r["_size"], r["_source"]) for r in got.collect()} == {(7, 9, "s")}
+    items = spark.createDataFrame([(1, "word 3 word 3 word 3"), (None, "word 5"), (2, None)], "item_id long, text string")
+    for how, left in (("documents", 18), ("spans", 20)):
+        out = decontam.clean(df, items, remove=how)
+        assert out.columns == df.columns and out.count() == left
+        assert {(r["n_words"], r["n_hit"]) for r in out.collect()} == {(7, 8)}
+
+
 def test_mixing_empty(none):
     assert mixing.mix(none).count() == 0
 

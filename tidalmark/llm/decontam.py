@@ -183,16 +183,20 @@ def judged(scanned: DataFrame, share: int = 20) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated documents (``remove='documents'``), or
-    with the hit words cut out of every text (``remove='spans'``)."""
-    text_col = options.get("text_col", "text")
-    scanned = judged(scan(docs, benchmark, **options))
+    with the hit words cut out of every text (``remove='spans'``).
+
+    Columns go by number meanwhile, so that none is mistaken for an added one.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    plain, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+    scanned = judged(scan(plain, benchmark, text_col=text, **options))
     if remove == "documents":
-        return scanned.where(~F.col("contaminated")).select(*[quoted(c) for c in docs.columns])
-    return append(scanned, ["hit_spans", text_col], f"`{text_col}` string", lambda: _without, docs.columns).select(
-        *[quoted(c) for c in docs.columns]
-    )
+        left = scanned.where(~F.col("contaminated")).select(*names)
+    else:
+        left = append(scanned, ["hit_spans", text], f"{text} string", lambda: _without, names).select(*names)
+    return left.toDF(*docs.columns)
 
 
 def _without(spans: pa.Array, texts: pa.Array):

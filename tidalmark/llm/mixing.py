@@ -106,7 +106,7 @@ def mix(
     new = {"size", "source_size", "target", "taken"}
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     sized = docs.select(
-        *[quoted(c) for c in keep],
+        *[quoted(c).alias(f"k{i}") for i, c in enumerate(keep)],  # no name of a caller meets an own one
         quoted(source_col).alias("_source"),
         quoted(id_col).alias("_id"),
         size_of(quoted(text_col)).alias("_size"),
@@ -137,7 +137,7 @@ def mix(
             ),
         ),
     )
-    cols = [*[quoted(c) for c in keep], F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long")]
+    cols = [*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long")]
     return rest.select(*cols).unionByName(at_end.select(*cols))
 
 
