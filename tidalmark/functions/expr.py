@@ -59,8 +59,10 @@ def ffill(x: Column | str, w: WindowSpec) -> Column:
     return F.last(col(x), ignorenulls=True).over(so_far(w))
 
 
-def bfill(x: Column | str, w: WindowSpec) -> Column:
-    return F.first(col(x), ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+def bfill(x: Column | str, *keys: str, by: tuple[str, ...] = ("ts", "seq")) -> Column:
+    """The next non-null value: the last one so far in reversed order, as a
+    frame that reaches to the end would be read anew for every row."""
+    return ffill(x, Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by]))
 
 
 def skew(x: Column | str, frame: WindowSpec, n: int) -> Column:

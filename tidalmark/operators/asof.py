@@ -33,18 +33,18 @@ def asof_join(
         first = F.col("_b_right_ts").isNotNull() & (F.col("right_ts").isNull() | (gap(ts, "_b_right_ts") <= gap("right_ts", ts)))
         return both.select(*left.columns, *[F.when(first, F.col(f"_b_{c}")).otherwise(F.col(c)).alias(c) for c in [*values, "right_ts"]])
     backward = direction == "backward"
+    # Forward is backward in reversed order: a frame that only grows is read once.
     # At equal times the right row comes first where it may match, else after.
-    place = (0 if exact else 2) if backward else (2 if exact else 0)
+    place = 0 if exact else 2
     row = F.struct(*[F.col(c) for c in left.columns])
     tagged = left.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_k"), F.col(left_seq).alias("_s"), row.alias("_row"), F.lit(None).alias("_found"))
     found = F.struct(*[F.col(c) for c in values], F.col(ts).alias("right_ts"))
     other = right.select(*keys, F.col(ts).alias("_t"), F.lit(place).alias("_k"), F.col(right_seq).alias("_s"), F.lit(None).alias("_row"), found.alias("_found"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_k", "_s")
-    frame = order.rowsBetween(Window.unboundedPreceding, 0) if backward else order.rowsBetween(0, Window.unboundedFollowing)
-    pick = F.last if backward else F.first
+    cols = [F.asc(c) if backward or c == "_k" else F.desc(c) for c in ("_t", "_k", "_s")]
+    frame = Window.partitionBy(*keys).orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0)
     out = (
         tagged.unionByName(other)
-        .withColumn("_found", pick("_found", ignorenulls=True).over(frame))
+        .withColumn("_found", F.last("_found", ignorenulls=True).over(frame))
         .where(F.col("_row").isNotNull())
         .select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in [*values, "right_ts"]])
     )

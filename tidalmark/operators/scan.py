@@ -9,47 +9,108 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+class Roll:
+    """``how`` (sum, mean, std, median or a quantile) of the last ``n`` values of
+    a column, the row's own among them unless ``past``; null under ``least`` values."""
+
+    def __init__(self, name: str, how: str | float, column: str, n: int, least: int = 1, past: bool = False):
+        self.name, self.how, self.column, self.n, self.least, self.past = name, how, column, n, least, past
+
+    def of(self, x: np.ndarray, rows: int, most: int = 2048) -> np.ndarray:
+        """For the last ``rows`` places of ``x``, NaN where there is no value."""
+        end = len(x) - 1 if self.past else len(x)
+        x = np.concatenate([np.full(self.n, np.nan), x[:end]])
+        windows = sliding_window_view(x, self.n)[-rows:]
+        return np.concatenate([self._part(windows[at : at + most]) for at in range(0, rows, most)])
+
+    def _part(self, w: np.ndarray) -> np.ndarray:
+        gone = np.isnan(w)
+        count = self.n - gone.sum(1)
+        out = np.full(len(w), np.nan)
+        ok = count >= max(1, self.least)
+        if self.how in ("sum", "mean", "std"):
+            filled = np.where(gone, 0.0, w)
+            total = filled.sum(1)
+            if self.how == "sum":
+                out[ok] = total[ok]
+            else:
+                mean = total / np.maximum(count, 1)
+                if self.how == "std":
+                    filled = np.where(gone, 0.0, w - mean[:, None])
+                    mean = np.sqrt((filled * filled).sum(1) / np.maximum(count, 1))
+                out[ok] = mean[ok]
+            return out
+        share = 0.5 if self.how == "median" else self.how
+        full = ok & (count == self.n)
+        if full.any():
+            out[full] = np.quantile(w[full], share, axis=1)
+        for i in np.flatnonzero(ok & ~full):
+            out[i] = np.quantile(w[i][~gone[i]], share)
+        return out
+
+
 def scan(
     df: DataFrame,
-    inputs: list[str],
-    schema: str,
-    start: Callable[[], object],
-    step: Callable[..., tuple],
+    inputs: list[str] = (),
+    schema: str = "",
+    start: Callable[[], object] | None = None,
+    step: Callable[..., tuple] | None = None,
     keys: tuple[str, ...] = ("symbol",),
     order: tuple[str, ...] = ("ts", "seq"),
+    rolls: list[Roll] = (),
 ) -> DataFrame:
-    """``df`` with the columns of ``schema``.
+    """``df`` with the columns of ``schema`` and those of ``rolls``.
 
     ``step(state, *values)`` gets a row's ``inputs`` and returns the row's new
     values; it changes the state (made by ``start()`` for each key) in place.
+    Rolls are computed for a batch at once, with as many rows before it as the
+    longest needs; a window of rows in Spark's own frames is summed anew for
+    every row, which costs more than the pass.
     """
-    added = T.StructType.fromDDL(schema)
+    added = T.StructType.fromDDL(schema) if schema else T.StructType()
+    rolled = T.StructType([T.StructField(r.name, T.DoubleType()) for r in rolls])
     kept = df.columns
     kinds = [to_arrow_type(f.dataType) for f in added]
     at_keys, at_inputs = [kept.index(k) for k in keys], [kept.index(c) for c in inputs]
+    at_rolls = {r.column: kept.index(r.column) for r in rolls}
+    reach = max([r.n for r in rolls], default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = object(), None
+        key, state, before = object(), None, {}
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in at_inputs]
-            out = []
-            for k, *values in zip(zip(*[batch.column(i).to_pylist() for i in at_keys], strict=True), *columns, strict=True):
-                if k != key:
-                    key, state = k, start()
-                out.append(step(state, *values))
+            names = list(zip(*[batch.column(i).to_pylist() for i in at_keys], strict=True))
+            values = list(zip(*[batch.column(i).to_pylist() for i in at_inputs], strict=True))
+            numbers = {c: batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for c, i in at_rolls.items()}
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            out, windows = [], [[] for _ in rolls]
+            for first, last in zip(cuts, cuts[1:], strict=False):
+                if first == last:
+                    continue
+                if names[first] != key:
+                    key, before = names[first], {c: np.empty(0) for c in at_rolls}
+                    state = start() if start else None
+                if step:
+                    out += [step(state, *v) for v in values[first:last]]
+                whole = {c: np.concatenate([before[c], x[first:last]]) for c, x in numbers.items()}
+                for r, parts in zip(rolls, windows, strict=True):
+                    parts.append(r.of(whole[r.column], last - first))
+                before = {c: x[-reach:] for c, x in whole.items()}
             made = list(zip(*out, strict=True)) if out else [[] for _ in kinds]
             arrays = [pa.array(v, t) for v, t in zip(made, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*kept, *added.names])
+            arrays += [pa.array(np.concatenate(p) if p else [], pa.float64(), from_pandas=True) for p in windows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], [*kept, *added.names, *rolled.names])
 
     dealt = df.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields]))
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, *added.fields, *rolled.fields]))
 
 
 class Ewm:
@@ -82,16 +143,17 @@ def wilder(n: float) -> Ewm:
 
 
 class Hysteresis:
-    """0 -> +-1 beyond ``enter``, back to 0 inside ``leave``; no direct flip."""
+    """0 -> +-1 beyond ``enter``, back to 0 when the side's value is under
+    ``leave`` (or at it, unless ``strict``); no direct flip."""
 
-    def __init__(self, enter: float, leave: float):
-        self.enter, self.leave, self.state = enter, leave, 0
+    def __init__(self, enter: float, leave: float, strict: bool = False):
+        self.enter, self.leave, self.strict, self.state = enter, leave, strict, 0
 
     def __call__(self, x: float | None) -> int:
         if x is not None:
             if self.state == 0:
                 self.state = 1 if x >= self.enter else -1 if x <= -self.enter else 0
-            elif abs(x) <= self.leave:
+            elif (self.state * x < self.leave) if self.strict else (self.state * x <= self.leave):
                 self.state = 0
         return self.state
 

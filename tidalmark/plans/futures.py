@@ -1,90 +1,113 @@
 """Futures pipeline: eight steps over trades and order flow.
 
 open interest -> funding -> basis -> positioning -> liquidation -> volume ->
-leverage -> regime.  Each step is a DataFrame to DataFrame function; steps meet
-by as-of joins on (symbol, ts, seq).  Recursions are scans; everything else is
-windows by symbol.
+leverage -> regime.  The first, second and fourth step run on the union of both
+feeds, ordered by (ts, seq, feed), the others on the trades in it.  A state "as
+of" a time is that of the last event at it: the maximum over (symbol, ts),
+which needs no shuffle beside that by symbol.  The recursions and the rolling
+statistics of the steps are gathered in a few scans; everything else is windows
+by symbol.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, gated, last_n, ordered, past_n, rnd, sdiv, sigmoid, so_far
+from ..functions.expr import clip, ffill, last_n, ordered, rnd, sdiv, sigmoid, so_far
 from ..operators import scan as k
-from ..operators.asof import asof_join
 from ..operators.scan import scan
 from ..sources import feeds
 from ..sources.feeds import FLOW_SQL, TRADES_SQL
 from .registry import query
 
+UNION = ("ts", "seq", "feed")
+SMALL = 1e-12
+
 
 def W():
     return ordered("symbol")
 
 
+def U():
+    return ordered("symbol", by=UNION)
+
+
 def zero(x):
     return F.coalesce(x, F.lit(0.0))
 
 
-def lag(c, n: int = 1):
-    return F.lag(c, n).over(W())
+def lag(c, n: int = 1, w=None):
+    return F.lag(c, n).over(w or W())
 
 
-def mean(c, n: int, least: int = 1):
-    return gated(F.avg, c, last_n(W(), n), least)
+def zscore(c: str, limit: float | None = None):
+    """From the rolled ``m_`` and ``s_`` columns."""
+    z = zero((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > SMALL, F.col(f"s_{c}")))
+    return clip(z, -limit, limit) if limit else z
 
 
-def total(c, n: int, least: int = 1):
-    return gated(F.sum, c, last_n(W(), n), least)
+def moments(c: str, n: int, least: int, past: bool = False) -> list[k.Roll]:
+    return [k.Roll(f"m_{c}", "mean", c, n, least, past), k.Roll(f"s_{c}", "std", c, n, least, past)]
 
 
-def median(c, n: int, least: int):
-    return gated(lambda x: F.percentile(x, F.lit(0.5)), c, last_n(W(), n), least)
+def at_row(c, n: int, w=None):
+    """The value of row ``n`` for it and the rows before it, else null."""
+    w = w or W()
+    return F.max(F.when(F.col("i") == n, F.col(c))).over(w.rowsBetween(0, n - 1))
 
 
-def zscore(c, n: int, least: int, limit: float | None = None, past: bool = True):
-    f = past_n(W(), n) if past else last_n(W(), n)
-    z = sdiv(F.col(c) - gated(F.avg, c, f, least), gated(F.stddev_pop, c, f, least))
-    return clip(z, -limit, limit) if limit else z
+def step_of(w=None):
+    """Steps of seq since the row before, one at least."""
+    return F.greatest(F.coalesce(F.abs(F.col("seq") - lag("seq", 1, w)), F.lit(1)), F.lit(1))
+
+
+def over(part, whole):
+    """Part of a magnitude that is not zero, else null."""
+    return part / F.when(F.abs(whole) > SMALL, F.abs(whole))
 
 
 def open_interest(trades: DataFrame, flow: DataFrame) -> DataFrame:
     """Opens less closes, never under zero, on the union of both feeds."""
     up, down = F.col("aggressor") > 0, F.col("aggressor") < 0
+    none = F.lit(0.0)
     a = trades.select(
-        "symbol", "ts", "seq", F.lit(0).alias("feed"), "price", F.when(up, F.col("size")).otherwise(0.0).alias("open_flow"), F.when(down, F.col("size")).otherwise(0.0).alias("close_flow")
-    )
+        "symbol", "ts", "seq", F.lit(0).alias("feed"), "price", "size", "aggressor", F.lit(None).cast("string").alias("event_type"), none.alias("inventory"),
+        F.when(up, F.col("size")).otherwise(0.0).alias("open_flow"), F.when(down, F.col("size")).otherwise(0.0).alias("close_flow"),
+    )
     half = F.col("size") * 0.5
     kind = F.col("event_type")
     b = flow.select(
-        "symbol", "ts", "seq", F.lit(1).alias("feed"), "price",
+        "symbol", "ts", "seq", F.lit(1).alias("feed"), "price", "size", "aggressor", "event_type", F.col("inventory_pressure").alias("inventory"),
         F.when(kind == "add", F.col("size")).when((kind == "trade") & up, half).otherwise(0.0).alias("open_flow"),
         F.when(kind == "cancel", F.col("size")).when((kind == "trade") & down, half).otherwise(0.0).alias("close_flow"),
     )
-    w = ordered("symbol", by=("ts", "seq", "feed"))
+    w = U()
     t = a.unionByName(b).withColumn("c", F.sum(F.col("open_flow") - F.col("close_flow")).over(so_far(w)))
     t = t.withColumn("oi", F.col("c") - F.least(F.lit(0.0), F.min("c").over(so_far(w)))).drop("c")
-    change = F.coalesce(F.col("oi") - F.lag("oi").over(w), F.lit(0.0))
-    t = t.withColumn("oi_change", change)
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))) / 1000.0
+    t = t.withColumn("oi_change", F.coalesce(F.col("oi") - F.lag("oi").over(w), F.lit(0.0)))
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))).cast("double")
     t = t.withColumn("velocity", F.col("oi_change") / F.when(gap > 0, gap).otherwise(1.0))
     sd = F.stddev_pop("oi").over(last_n(w, 100))
     ret = F.coalesce(F.col("price") / F.lag("price").over(w) - 1, F.lit(0.0))
     return t.select(
         "*", (F.col("velocity") - F.coalesce(F.lag("velocity").over(w), F.lit(0.0))).alias("acceleration"),
-        ((F.col("oi") - F.avg("oi").over(last_n(w, 100))) / F.when(sd > 1e-12, sd).otherwise(1.0)).alias("z_oi"), (F.col("oi_change") - ret).alias("divergence"),
-        sdiv(F.abs("oi_change"), "oi").alias("turnover"), (F.col("open_flow") / F.when(F.col("close_flow") > 1e-12, F.col("close_flow")).otherwise(1.0)).alias("open_close"),
+        ((F.col("oi") - F.avg("oi").over(last_n(w, 100))) / F.when(sd > SMALL, sd).otherwise(1.0)).alias("z_oi"), (F.col("oi_change") - ret).alias("divergence"),
+        sdiv(F.abs("oi_change"), "oi").alias("turnover"), (F.col("open_flow") / F.when(F.col("close_flow") > SMALL, F.col("close_flow")).otherwise(1.0)).alias("open_close"),
     )
 
 
-def per_event(oi: DataFrame) -> DataFrame:
-    """The last state at each (symbol, ts, seq)."""
-    w = Window.partitionBy("symbol", "ts", "seq").orderBy(F.desc("feed"))
-    return oi.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "feed")
+def as_of_time(t: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+    """``columns`` of the last event at each (symbol, ts), under a prefix."""
+    last = F.max(F.struct("seq", "feed", *columns)).over(Window.partitionBy("symbol", "ts"))
+    return t.withColumn("_last", last).select("*", *[F.col(f"_last.{c}").alias(prefix + c) for c in columns]).drop("_last")
+
+
+def impulse(queue: float):
+    """Signed flow of an order-flow event."""
+    kind, size = F.col("event_type"), F.col("size")
+    held = F.when(kind == "add", size).when(kind == "cancel", -size).otherwise(0.0)
+    return F.when(kind == "trade", F.col("aggressor") * size).otherwise(0.0) + queue * held + 0.15 * F.col("inventory")
 
 
 def settlement(ts):
@@ -93,139 +116,195 @@ def settlement(ts):
     return minutes, clip(F.exp(-F.pow((minutes - 20) / 18, 2)), 0.05, 1.0)
 
 
-def funding(trades: DataFrame, oi: DataFrame) -> DataFrame:
-    t = asof_join(trades, oi, ["oi", "oi_change", "z_oi"])
-    t = t.withColumns({c: zero(F.col(c)) for c in ("oi", "oi_change", "z_oi")})
-    t = scan(t, ["price"], "fair double", lambda: k.span(300), lambda s, x: (s(x),))
-    notional = F.col("price") * F.col("size")
-    t = t.withColumns({"signed": notional * F.col("aggressor"), "notional": notional, "impulse": F.col("size") * F.col("aggressor"), "ret": zero(F.col("price") / lag("price") - 1)})
-    t = t.withColumn("mag", F.abs("impulse"))
-    aggr = clip(total("signed", 96) / F.greatest(F.abs(total("notional", 96)), F.lit(1e-9)), -1.0, 1.0)
-    crowd = clip(sdiv(mean("impulse", 128), mean("mag", 128)), -4.0, 4.0) / 4
-    g = clip(sdiv("oi_change", mean("oi", 96)), -0.6, 0.6)
-    lev = (0.6 * g + 0.4 * clip(F.col("z_oi"), -4.0, 4.0) / 4) * F.signum("ret") * F.signum(g)
-    prem = clip((F.col("price") - F.col("fair")) / F.abs("fair"), -0.02, 0.02) / 0.02
+def funding(oi: DataFrame) -> DataFrame:
+    """On the union; ``a_`` columns are the state as of the time."""
+    w, trade = U(), F.col("feed") == 0
+    t = as_of_time(oi, ["oi", "oi_change", "z_oi", "velocity"], "a_")
+    notional = F.when(trade, F.col("price") * F.col("size")).otherwise(0.0)
+    t = t.withColumns({
+        "signed": notional * F.col("aggressor"), "notional": notional, "flow": F.when(trade, 0.0).otherwise(impulse(0.20)), "flow30": F.when(~trade, impulse(0.30)),
+        "ret": zero(F.col("price") / F.nullif(lag("price", 1, w), F.lit(0.0)) - 1),
+    }).withColumn("mag", F.abs("flow"))
+    rolls = [k.Roll("r_signed", "sum", "signed", 96), k.Roll("r_notional", "sum", "notional", 96), k.Roll("r_flow", "mean", "flow", 128), k.Roll("r_mag", "mean", "mag", 128), k.Roll("r_oi", "mean", "a_oi", 96)]
+    t = scan(t, ["price"], "ewm double", lambda: k.span(300), lambda s, x: (s(x),), order=UNION, rolls=rolls)
+    t = t.withColumn("i", F.row_number().over(w)).withColumn("fair", F.coalesce(F.when(F.col("i") >= 20, F.col("ewm")), at_row("ewm", 20, w), F.col("price")))
+    aggr = clip(F.col("r_signed") / (F.col("r_notional") + 1e-9), -1.0, 1.0)
+    crowd = clip(over(F.col("r_flow"), F.col("r_mag")), -4.0, 4.0) / 4
+    g = clip(over(F.col("a_oi_change"), F.col("r_oi")), -0.6, 0.6)
+    lev = (0.6 * g + 0.4 * clip(F.col("a_z_oi"), -4.0, 4.0) / 4) * F.signum("ret") * F.signum(g)
+    prem = clip(over(F.col("price") - F.col("fair"), F.col("fair")), -0.02, 0.02) / 0.02
     raw = 0.34 * aggr + 0.24 * crowd + 0.24 * lev + 0.18 * prem
     _, weight = settlement(F.col("ts"))
-    t = t.withColumn("weight", weight).withColumn("rate", clip(F.tanh(2.1 * raw * (0.7 + 0.3 * F.col("weight"))) * 0.0015, -0.0015, 0.0015))
-    t = t.withColumn("rate_change", zero(F.col("rate") - lag("rate"))).withColumn("z_f", zscore("rate", 256, 16, 8.0))
-    t = scan(t, ["rate"], "funding_flag int", lambda: k.Hysteresis(1e-4, 5e-5), lambda s, x: (s(x),))
-    return t.withColumns(
-        {"funding_extreme": F.abs("z_f") > 2.5, "pressure": F.col("z_f") * F.col("rate_change") * F.col("weight"), "stress": F.col("z_f") * F.col("z_oi")}
-    )
+    t = t.withColumn("weight", weight).withColumn("rate", zero(clip(F.tanh(2.1 * raw * (0.7 + 0.3 * F.col("weight"))) * 0.0015, -0.0015, 0.0015)))
+
+    def flags():
+        return [k.Hysteresis(1e-4, 5e-5), k.Ewm(0.1)]
+
+    def step(s, x):
+        flag = s[0](x)
+        return flag, s[1](float(flag))
+
+    t = scan(t, ["rate"], "funding_flag int, flag_mean double", flags, step, order=UNION, rolls=moments("rate", 256, 16, True))
+    t = t.withColumns({"rate_change": zero(F.col("rate") - lag("rate", 1, w)), "z_f": zscore("rate", 8.0), "step": step_of(w)})
+    t = t.withColumn("rate_velocity", F.col("rate_change") / F.col("step"))
+    t = t.withColumn("rate_acceleration", zero(F.col("rate_velocity") - lag("rate_velocity", 1, w)) / F.col("step"))
+    return t.withColumns({
+        "funding_extreme": F.abs("z_f") > 2.5, "pressure": F.col("z_f") * F.col("rate_velocity") * F.col("weight"), "stress": F.col("z_f") * F.col("a_z_oi"),
+        "execs": F.sum(F.when(~trade & (F.col("event_type") == "trade") & (F.col("aggressor") != 0), 1.0).otherwise(0.0)).over(so_far(w)),
+        "exec_size": F.sum(F.when(~trade & (F.col("event_type") == "trade") & (F.col("aggressor") != 0), F.col("size")).otherwise(0.0)).over(so_far(w)),
+    })
+
+
+def positioning(t: DataFrame) -> DataFrame:
+    w = U()
+    oe = F.tanh(35 * F.col("oi_change") + 0.55 * F.col("z_oi"))
+    dp = F.tanh(2400 * F.col("rate") + 0.42 * F.col("z_f"))
+    sig = 0.40 * dp + 0.30 * dp * oe + 0.18 * clip(F.col("flag_mean"), -1.0, 1.0) + 0.12 * F.tanh(1.4 * F.col("stress")) * F.signum(dp)
+    t = t.withColumn("ratio", clip(F.exp(clip(sig, -0.693147, 0.693147)), 0.5, 2.0))
+    t = t.withColumns({"long_proxy": F.col("oi") * F.col("ratio") / (1 + F.col("ratio")), "short_proxy": F.col("oi") / (1 + F.col("ratio"))})
+    t = t.withColumn("skew", F.ln((F.col("long_proxy") + 1e-6) / (F.col("short_proxy") + 1e-6)))
+    return t.withColumns({"ratio_change": zero(F.col("ratio") - lag("ratio", 1, w)), "skew_velocity": zero(F.col("skew") - lag("skew", 1, w))})
+
+
+def on_trades(t: DataFrame) -> DataFrame:
+    """The trades of the union, with funding and flow as of their time (``f_``)."""
+    here = Window.partitionBy("symbol", "ts")
+    t = as_of_time(t, ["rate", "z_f", "pressure", "stress"], "f_")
+    t = t.withColumns({"at_flow": F.avg("flow30").over(here), "at_aggr": F.avg(F.when(F.col("feed") == 1, F.col("flow"))).over(here)})
+    t = t.withColumns({"execs": F.max("execs").over(here), "exec_size": F.max("exec_size").over(here)})
+    t = t.where("feed = 0").withColumns({"i": F.row_number().over(W()), "ret": zero(F.col("price") / F.nullif(lag("price"), F.lit(0.0)) - 1), "step": step_of()})
+    before = lag("a_oi")
+    first = F.first("at_flow", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    up = lambda c: F.greatest(F.coalesce(F.col(c) - lag(c), F.col(c)), F.lit(0.0))
+    t = t.withColumns({
+        "impulse": F.col("size") * F.col("aggressor"), "sell_n": F.when(F.col("aggressor") < 0, F.col("notional")).otherwise(0.0), "buy_n": F.when(F.col("aggressor") > 0, F.col("notional")).otherwise(0.0),
+        "abs_ret": F.abs("ret"), "build": zero(F.greatest(F.col("a_oi") - before, F.lit(0.0))), "lag_z": zero(lag("f_z_f")), "lag_s": zero(lag("f_stress")), "d_execs": up("execs"), "d_exec_size": up("exec_size"),
+        "oi_pct": F.when(before > 0, F.col("a_oi") / before - 1).when((before == 0) & (F.col("a_oi") > 0), 1e9).otherwise(0.0), "flow_mean": F.coalesce(ffill("at_flow", W()), first, F.lit(0.0)),
+    })
+    return t.withColumns({"apart": F.abs(F.col("buy_n") - F.col("sell_n")), "both": F.col("buy_n") + F.col("sell_n")})
+
+
+#: What each step needs of the trades' past.
+BASIS_ROLLS = [k.Roll("r_not240", "sum", "notional", 240, 5), k.Roll("r_size240", "sum", "size", 240, 5), k.Roll("r_flow120", "mean", "flow_mean", 120, 3), k.Roll("med_notional", "median", "notional", 180, 5)]
+LIQUIDATION_ROLLS = [
+    k.Roll("med_ret", "median", "abs_ret", 240, 10), k.Roll("calm", "median", "abs_ret", 90, 5), k.Roll("med_sell", "median", "sell_n", 180, 5), k.Roll("med_buy", "median", "buy_n", 180, 5),
+    k.Roll("r_build", "sum", "build", 180, 5), k.Roll("r_oi180", "mean", "a_oi", 180, 5), k.Roll("r_apart", "sum", "apart", 120, 5), k.Roll("r_both", "sum", "both", 120, 5),
+]
+VOLUME_ROLLS = [k.Roll("p95", 0.95, "size", 200), k.Roll("r_execs", "sum", "d_execs", 25, 5), k.Roll("r_exec_size", "sum", "d_exec_size", 25, 5), k.Roll("r_size25", "sum", "size", 25, 5)]
+
+
+def rolled(*groups: list) -> object:
+    """A step that adds the rolls of several steps in one pass."""
+    return lambda t: scan(t, rolls=[r for g in groups for r in g])
 
 
 def basis(t: DataFrame) -> DataFrame:
-    """On the funding timeline: spot proxy, basis, its z-score and reversion."""
-    t = t.withColumn("spot_vwap", F.coalesce(total("notional", 240, 5) / F.greatest(F.abs(total("size", 240, 5)), F.lit(1e-9)), F.col("price")))
-    fb = F.tanh(zero(mean("impulse", 120, 3)) / 100)
-    fund = F.tanh(0.7 * F.col("pressure") + 0.2 * F.col("z_f") + 0.1 * F.col("stress"))
-    spot = F.col("spot_vwap") * (1 - clip(0.0015 * fb + 0.0018 * fund, -0.0075, 0.0075))
-    raw = (F.col("price") - spot) / F.abs(spot)
-    light = F.tanh(zero(sdiv("notional", median("notional", 180, 5))))
-    t = t.withColumn("basis", clip(raw * (0.65 + 0.35 * light) * (1 + 0.25 * F.signum(raw) * F.tanh(F.abs(fund) + F.abs(fb))), -0.25, 0.25))
-    t = t.withColumn("basis_change", zero(F.col("basis") - lag("basis"))).withColumn("z_b", zscore("basis", 512, 32, 8.0))
-    minutes, _ = settlement(F.col("ts"))
-    side = F.signum("basis")
-    amp = 0.6 + 0.4 * F.tanh(F.abs(2 * F.col("stress")))
-    urgency = F.exp(-minutes / 120.0)
-    score = side * F.tanh(F.abs("z_b") / 2) * urgency * amp - F.tanh(0.65 * side * (5 * F.col("rate") + 0.7 * F.col("pressure")) + 0.35 * F.tanh(side * F.abs("basis_change") / 0.0015)) * (1 - 0.45 * urgency)
+    """Spot proxy, basis, its z-score and reversion."""
+    t = t.withColumn("vwap", over(F.col("r_not240"), F.col("r_size240")))
+    fb = F.tanh(zero(F.col("r_flow120")))
+    fund = F.tanh(0.7 * F.col("f_pressure") + 0.2 * F.col("f_z_f") + 0.1 * F.col("f_stress"))
+    t = t.withColumns({"fb": fb, "fund": fund, "spot": F.coalesce("vwap", at_row("vwap", 5), "price")})
+    spot = F.col("spot") * (1 - clip(0.0015 * F.col("fb") + 0.0018 * F.col("fund"), -0.0075, 0.0075))
+    t = t.withColumns({"raw": over(F.col("price") - spot, spot), "light": F.tanh(zero(over(F.col("notional"), F.col("med_notional"))))})
+    lean = F.signum(zero(F.col("raw"))) * F.tanh(F.abs("fund") + F.abs("fb"))
+    t = t.withColumn("basis", zero(clip(F.col("raw") * (0.65 + 0.35 * F.col("light")) * (1 + 0.25 * lean), -0.25, 0.25)))
+    t = scan(t, rolls=moments("basis", 512, 32, True))
+    t = t.withColumn("basis_change", zero(F.col("basis") - lag("basis"))).withColumns({"z_b": zscore("basis", 8.0), "basis_velocity": F.col("basis_change") / F.col("step")})
+    left = (28800 - F.unix_seconds(F.col("ts").cast("timestamp")) % 28800) % 28800
+    side, urgency = F.signum("basis"), F.exp(-left / 7200.0)
+    aligned = F.tanh(side * (5.0 * F.col("f_rate") + 0.7 * F.col("f_pressure") + 0.4 * side * F.col("fund")))
+    going = F.tanh(0.65 * aligned + 0.35 * F.tanh(side * F.abs("basis_velocity") / 0.0015))
+    score = side * F.tanh(F.abs("z_b") / 2) * urgency * (0.6 + 0.4 * F.tanh(2 * F.abs("f_stress"))) - going * (1 - 0.45 * urgency)
     seven = "(PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '6 23:59:59.999999' DAY TO SECOND PRECEDING AND CURRENT ROW)"
     t = t.withColumn("_m", F.expr(f"CASE WHEN count(basis) OVER {seven} >= 64 THEN avg(abs(basis)) OVER {seven} END"))
     return t.withColumns(
-        {"basis_flag": F.abs("z_b") >= 2, "compression": F.coalesce(clip(sdiv(F.abs("basis"), lag("_m"), None), 0.0, 10.0), F.lit(1.0)), "reversion": clip(score, -1.0, 1.0)}
+        {"basis_flag": F.abs("z_b") >= 2, "compression": F.coalesce(clip(over(F.abs("basis"), lag("_m")), 0.0, 10.0), F.lit(1.0)), "reversion": clip(score, -1.0, 1.0)}
     ).drop("_m")
 
 
-def positioning(t: DataFrame) -> DataFrame:
-    t = scan(t.withColumn("_f", F.col("funding_flag").cast("double")), ["_f"], "regime double", lambda: k.Ewm(0.1), lambda s, x: (s(x),)).drop("_f")
-    oe = F.tanh(35 * sdiv("oi_change", lag("oi")) + 0.55 * F.col("z_oi"))
-    dp = F.tanh(2400 * F.col("rate") + 0.42 * F.col("z_f"))
-    sig = 0.40 * dp + 0.30 * dp * oe + 0.18 * clip(F.col("regime"), -1.0, 1.0) + 0.12 * F.tanh(1.4 * F.col("stress")) * F.signum(dp)
-    t = t.withColumn("ratio", clip(F.exp(clip(sig, -math.log(2), math.log(2))), 0.5, 2.0))
-    t = t.withColumns({"long_proxy": F.col("oi") * F.col("ratio") / (1 + F.col("ratio")), "short_proxy": F.col("oi") / (1 + F.col("ratio")), "skew": F.ln("ratio")})
-    return t.withColumns({"ratio_change": zero(F.col("ratio") - lag("ratio")), "skew_velocity": zero(F.col("skew") - lag("skew"))})
-
-
 def liquidation(t: DataFrame) -> DataFrame:
-    buy, sell = F.col("aggressor") > 0, F.col("aggressor") < 0
-    t = t.withColumns({
-        "sell_n": F.when(sell, F.col("notional")).otherwise(0.0), "buy_n": F.when(buy, F.col("notional")).otherwise(0.0), "abs_ret": F.abs("ret"),
-        "build": F.greatest("oi_change", F.lit(0.0)), "v_oi": zero(sdiv("oi_change", lag("oi"))),
-    })
-    density = zero(sdiv(total("build", 180, 5), mean("oi", 180, 5)))
-    collapse = F.tanh(7.5 * F.greatest(-F.col("v_oi"), F.lit(0.0)))
+    t = t.withColumns({"calm": zero(F.col("calm")), "density": zero(over(F.col("r_build"), F.col("r_oi180"))), "toxicity": zero(over(F.col("r_apart"), F.col("r_both")))})
+    collapse = F.tanh(7.5 * F.greatest(-F.col("a_velocity"), F.lit(0.0)))
 
-    def volume(side: str, move, sign: float):
-        spike = zero(F.tanh(sdiv(side, median(side, 180, 5))))
-        impulse = zero(F.tanh(sdiv(F.greatest(move, F.lit(0.0)), median("abs_ret", 240, 10))))
-        gate = F.tanh(F.greatest(zero(sign * lag("z_f") + lag("stress")), F.lit(0.0)))
-        return F.col(side) * clip(spike * impulse * collapse * gate, 0.0, 1.0)
+    def volume(side: str, usual: str, move, sign: float):
+        spike = zero(F.tanh(over(F.col(side), F.col(usual))))
+        push = zero(F.tanh(over(F.greatest(move, F.lit(0.0)), F.col("med_ret"))))
+        gate = F.tanh(F.greatest(sign * F.col("lag_z") + F.col("lag_s"), F.lit(0.0)))
+        return F.col(side) * clip(spike * push * collapse * gate, 0.0, 1.0)
 
-    t = t.withColumns({"liq_long": volume("sell_n", -F.col("ret"), 1.0), "liq_short": volume("buy_n", F.col("ret"), -1.0), "density": density})
+    t = t.withColumns({"liq_long": volume("sell_n", "med_sell", -F.col("ret"), 1.0), "liq_short": volume("buy_n", "med_buy", F.col("ret"), -1.0)})
     t = t.withColumn("liq", F.col("liq_long") + F.col("liq_short"))
     t = t.withColumn("liq_imbalance", (F.col("liq_long") - F.col("liq_short")) / (F.col("liq") + 1e-9))
-    speed = zero(median("abs_ret", 90, 5))
-    width = F.tanh(F.abs(4.5 * F.col("density")) + 0.35 * F.abs("z_oi") + 0.20 * F.abs("z_f"))
-    t = t.withColumn("zone", width / (1 + 40 * speed)).withColumn("zone_p", F.col("price") * F.col("zone"))
-    near = F.coalesce(sdiv(total("zone_p", 180, 10), total("zone", 180, 10), None), F.col("price"))
-    squeeze = clip(1 + F.tanh(1.5 * F.col("zone") + 8 * F.col("v_oi")), 0.35, 2.0)
-    t = t.withColumn("cluster", F.greatest(F.abs(F.col("price") - near) / F.col("price") / squeeze, F.lit(0.0)))
+    width = F.tanh(4.5 * F.abs("density") + 0.35 * F.abs("a_z_oi") + 0.20 * F.abs("f_z_f"))
+    t = t.withColumn("zone", width / (1 + 40 * F.col("calm"))).withColumn("zone_p", F.col("price") * F.col("zone"))
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
 
-    def start():
-        return [k.span(90), k.Heat(60.0)]
+    rolls = [k.Roll("r_zone_p", "sum", "zone_p", 180, 10), k.Roll("r_zone", "sum", "zone", 180, 10), k.Roll("med_liq", "median", "liq", 180, 5)]
 
-    t = scan(t.withColumn("_t", at), ["liq", "_t"], "liq_mean double, heat double", start, lambda s, x, u: (s[0](x), s[1](u, x))).drop("_t")
-    t = t.withColumn("liq_velocity", clip(sdiv(zero(F.col("liq") - lag("liq")), "liq_mean"), -5.0, 5.0))
-    fear = F.greatest("stress", F.lit(0.0))
+    def start():
+        return [k.span(90), k.Heat(60.0), k.Hysteresis(1.0, 0.35, strict=True)]
+
+    t = t.withColumns({"_t": at, "_x": 0.5 * F.col("z_oi") + 0.5 * F.col("stress")})
+    t = scan(t, ["liq", "_t", "_x"], "liq_mean double, heat double, leverage_flag int", start, lambda s, x, u, y: (s[0](x), s[1](u, x), s[2](y)), rolls=rolls).drop("_t", "_x")
+    t = t.withColumn("near", over(F.col("r_zone_p"), F.col("r_zone")))
+    t = t.withColumn("near", F.coalesce(ffill("near", W()), at_row("near", 10), "price"))
+    squeeze = clip(1 + F.tanh(1.5 * F.col("zone") + 8 * F.col("oi_pct")), 0.35, 2.0)
+    t = t.withColumn("cluster", F.abs(F.col("price") - F.col("near")) / F.col("price") / squeeze)
+    t = t.withColumn("liq_velocity", clip(zero(zero(F.col("liq") - lag("liq")) / F.when((F.col("i") >= 5) & (F.col("liq_mean") != 0), F.col("liq_mean"))), -5.0, 5.0))
+    fear, fall = F.greatest("f_stress", F.lit(0.0)), F.greatest(-F.col("a_velocity"), F.lit(0.0))
     index = (
-        0.30 * zero(F.tanh(sdiv("liq", median("liq", 180, 5)))) + 0.18 * F.abs("liq_imbalance") + 0.18 / (1 + 120 * F.col("cluster")) + 0.14 * F.tanh(F.abs("liq_velocity"))
-        + 0.20 * F.tanh(fear + 3 * F.greatest(-F.col("v_oi"), F.lit(0.0)))
+        0.30 * zero(F.tanh(over(F.col("liq"), F.col("med_liq")))) + 0.18 * clip(F.abs("liq_imbalance"), 0.0, 1.0) + 0.18 / (1 + 120 * F.col("cluster"))
+        + 0.14 * F.tanh(F.abs("liq_velocity")) + 0.20 * F.tanh(fear + 3 * fall)
     )
-    aggr = F.abs(sdiv("signed", F.abs("notional")))
-    cascade = sigmoid(2.6 / (1 + 140 * F.col("cluster")) + 1.6 * F.tanh(fear + 3.5 * F.greatest(-F.col("v_oi"), F.lit(0.0))) + 1.1 * F.tanh(aggr) - 2.7)
+    cascade = sigmoid(2.6 / (1 + 140 * F.col("cluster")) + 1.6 * F.tanh(fear + 3.5 * fall) + 1.1 * F.tanh(F.abs(zero(F.col("at_aggr")))) + 0.9 * F.tanh(F.col("toxicity")) - 2.7)
     return t.withColumns({"liq_pressure": clip(index, 0.0, 1.0), "cascade": cascade})
 
 
 def volume_flow(t: DataFrame) -> DataFrame:
     run = so_far(W())
-    p95 = F.coalesce(gated(lambda x: F.percentile(x, F.lit(0.95)), "size", last_n(W(), 200), 50), F.percentile("size", F.lit(0.95)).over(run))
-    t = t.withColumns({"trade_volume": F.sum("size").over(run), "volume_delta": F.sum("impulse").over(run), "large": F.when(F.col("size") >= p95, F.col("size")).otherwise(0.0)})
-    t = t.withColumns({"delta_ratio": clip(sdiv("volume_delta", "trade_volume"), -1.0, 1.0), "large_volume": F.sum("large").over(run), "share": sdiv(total("large", 25, 5), total("size", 25, 5))})
-    gap = F.greatest((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lag("ts").cast("timestamp"))) / 1e6, F.lit(1e-6))
-    t = t.withColumns({"freq": zero(1.0 / gap), "accel": zero(F.abs(F.col("impulse") - 2 * lag("impulse") + lag("impulse", 2)))})
-    burst = 0.35 * zscore("freq", 250, 50, None, False) + 0.35 * zscore("share", 250, 50, None, False) + 0.3 * zscore("accel", 250, 50, None, False)
-    return t.withColumn("burst", F.greatest(zero(burst), F.lit(0.0)))
+    bar = F.coalesce(F.when(F.col("i") >= 50, F.col("p95")), at_row("p95", 50), "p95")
+    t = t.withColumns({"trade_volume": F.sum("size").over(run), "volume_delta": F.sum("impulse").over(run), "bar": bar})
+    t = t.withColumns({"large": F.when(F.col("size") >= F.col("bar"), F.col("size")).otherwise(0.0), "delta_ratio": clip(sdiv("volume_delta", "trade_volume"), -1.0, 1.0)})
+    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lag("ts").cast("timestamp"))) / 1e6
+    t = t.withColumns({
+        "large_volume": F.sum("large").over(run), "share": zero(over(F.sum("large").over(last_n(W(), 25)), F.col("r_size25"))), "gap": F.when(gap > 0, gap),
+        "accel": F.when(F.col("i") <= 1, 0.0).when(F.col("i") == 2, F.abs("impulse")).otherwise(F.abs(F.col("impulse") - lag("impulse"))),
+    })
+    later = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("seq"))
+    t = t.withColumn("freq", 1.0 / F.greatest(F.coalesce(ffill("gap", later), F.lit(1e-3)), F.lit(1e-6)))
+    t = t.withColumn("execution", F.col("r_execs") / 25 + zero(over(F.col("r_exec_size"), F.col("r_size25"))))
+    t = scan(t, rolls=[r for c in ("freq", "share", "accel", "execution") for r in moments(c, 250, 50)])
+    return t.withColumn("burst", F.greatest(0.30 * zscore("freq") + 0.30 * zscore("share") + 0.20 * zscore("accel") + 0.20 * zscore("execution"), F.lit(0.0)))
 
 
 def leverage(t: DataFrame) -> DataFrame:
     """Products of states, and the mean of their parts at unit variance over
     the whole history of a symbol (a full-sample statistic)."""
-    t = t.withColumns({"x_volume": F.col("oi_change") * F.col("size"), "x_funding": F.col("rate") * F.col("oi"), "x_basis": F.col("basis") * F.col("oi")})
+    t = t.withColumns({"x_volume": F.col("z_oi") * F.col("delta_ratio"), "x_funding": F.col("z_f") * F.col("z_oi"), "x_basis": F.col("z_b") * F.col("z_oi")})
     whole = Window.partitionBy("symbol")
-    parts = [sdiv(c, F.stddev_pop(c).over(whole)) for c in ("x_volume", "x_funding", "x_basis")]
+    parts = [zero(over(F.col(c), F.stddev_pop(c).over(whole))) for c in ("x_volume", "x_funding", "x_basis")]
     return t.withColumn("leverage_pressure", (parts[0] + parts[1] + parts[2]) / 3)
 
 
 def regime(t: DataFrame) -> DataFrame:
-    t = t.withColumn("_x", 0.5 * F.col("z_oi") + 0.5 * F.col("stress"))
-    t = scan(t, ["_x"], "leverage_flag int", lambda: k.Hysteresis(1.0, 0.35), lambda s, x: (s(x),)).drop("_x")
     whole = Window.partitionBy("symbol")
-    norm = lambda c: sdiv(F.col(c) - F.avg(c).over(whole), F.stddev_pop(c).over(whole))
+    norm = lambda c: zero(over(F.col(c) - F.avg(c).over(whole), F.stddev_pop(c).over(whole)))
     return t.withColumns({"basis_extreme": (F.abs("z_b") > 2.5) & F.col("basis_flag"), "derivatives_stress": (norm("stress") + norm("liq_pressure") + norm("leverage_pressure")) / 3})
 
 
-STEPS = [("basis", basis), ("positioning", positioning), ("liquidation", liquidation), ("volume", volume_flow), ("leverage", leverage), ("regime", regime)]
+#: Each step and those it needs.
+NEEDS = {
+    "funding": [], "positioning": [positioning], "basis": [on_trades, rolled(BASIS_ROLLS), basis], "liquidation": [on_trades, rolled(LIQUIDATION_ROLLS), liquidation],
+    "volume": [on_trades, rolled(VOLUME_ROLLS), volume_flow], "leverage": [on_trades, rolled(BASIS_ROLLS, VOLUME_ROLLS), basis, volume_flow, leverage],
+    "regime": [on_trades, rolled(BASIS_ROLLS, LIQUIDATION_ROLLS, VOLUME_ROLLS), basis, liquidation, volume_flow, leverage, regime],
+}
 
 
 def upto(spark, sf_dir: str, last: str) -> DataFrame:
     """The timeline after the step ``last``."""
-    t = funding(feeds.trades(spark, sf_dir), per_event(open_interest(feeds.trades(spark, sf_dir), feeds.orderflow(spark, sf_dir))))
-    for name, step in [] if last == "funding" else STEPS:
+    t = funding(open_interest(feeds.trades(spark, sf_dir), feeds.orderflow(spark, sf_dir)))
+    for step in NEEDS[last]:
         t = step(t)
-        if name == last:
-            break
     return t
 
 
@@ -247,19 +326,142 @@ def fut_open_interest(spark, sf_dir):
         rnd("turnover", 5).alias("turnover"), rnd("open_close", 5).alias("open_close"),
     )
 
+def _c(x: str, low: float, high: float) -> str:
+    return f"(CASE WHEN {x} IS NOT NULL THEN greatest({low}, least({high}, {x})) END)"
+
+
+def _o(part: str, whole: str) -> str:
+    return f"(({part}) / CASE WHEN abs({whole}) > 1e-12 THEN abs({whole}) END)"
+
 
-def _step(name: str, columns: list[str], flags: list[str] = ()):
+def _n(agg: str, x: str, n: int, least: int, order: str = "ts, seq") -> str:
+    """An aggregate over the last ``n`` rows, null under ``least`` values."""
+    frame = f"OVER (PARTITION BY symbol ORDER BY {order} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"(CASE WHEN count({x}) {frame} >= {least} THEN {agg.format(x)} {frame} END)"
+
+
+def _z(x: str, n: int, least: int, past: bool, order: str = "ts, seq") -> str:
+    rows = f"{n} PRECEDING AND 1 PRECEDING" if past else f"{n - 1} PRECEDING AND CURRENT ROW"
+    frame = f"OVER (PARTITION BY symbol ORDER BY {order} ROWS BETWEEN {rows})"
+    return f"coalesce(CASE WHEN count({x}) {frame} >= {least} AND stddev_pop({x}) {frame} > 1e-12 THEN ({x} - avg({x}) {frame}) / stddev_pop({x}) {frame} END, 0)"
+
+
+_UO = "ts, seq, feed"
+_MED = "quantile_cont({}, 0.5)"
+_SIG = "0.40 * dp + 0.30 * dp * tanh(35 * oi_change + 0.55 * z_oi) + 0.18 * greatest(-1, least(1, flag_mean)) + 0.12 * tanh(1.4 * stress) * sign(dp)"
+_FUNDING_SQL = f"""q0 AS (SELECT symbol, ts, seq, 0 AS feed, price, size, aggressor, CAST(NULL AS VARCHAR) AS kind, 0.0::DOUBLE AS inv, CASE WHEN aggressor > 0 THEN size ELSE 0 END AS o, CASE WHEN aggressor < 0 THEN size ELSE 0 END AS c FROM trades
+  UNION ALL SELECT symbol, ts, seq, 1, price, size, aggressor, event_type, inventory_pressure, CASE WHEN event_type = 'add' THEN size WHEN event_type = 'trade' AND aggressor > 0 THEN size * 0.5 ELSE 0 END,
+  CASE WHEN event_type = 'cancel' THEN size WHEN event_type = 'trade' AND aggressor < 0 THEN size * 0.5 ELSE 0 END FROM flow),
+q1 AS (SELECT *, sum(o - c) OVER (PARTITION BY symbol ORDER BY {_UO} ROWS UNBOUNDED PRECEDING) AS r FROM q0),
+q2 AS (SELECT *, r - least(0, min(r) OVER (PARTITION BY symbol ORDER BY {_UO} ROWS UNBOUNDED PRECEDING)) AS oi FROM q1),
+q3 AS (SELECT *, coalesce(oi - lag(oi) OVER w, 0) AS oi_change, coalesce(price / nullif(lag(price) OVER w, 0) - 1, 0) AS ret, epoch_us(ts) - epoch_us(lag(ts) OVER w) AS gap,
+  avg(oi) OVER f AS m, stddev_pop(oi) OVER f AS sd, row_number() OVER w AS i, greatest(coalesce(abs(seq - lag(seq) OVER w), 1), 1) AS step FROM q2
+  WINDOW w AS (PARTITION BY symbol ORDER BY {_UO}), f AS (PARTITION BY symbol ORDER BY {_UO} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+q4 AS (SELECT *, oi_change / CASE WHEN gap > 0 THEN gap ELSE 1 END AS velocity, (oi - m) / CASE WHEN sd > 1e-12 THEN sd ELSE 1 END AS z_oi FROM q3),
+q5 AS MATERIALIZED (SELECT *, last_value(oi) OVER p AS a_oi, last_value(oi_change) OVER p AS a_oi_change, last_value(z_oi) OVER p AS a_z_oi, last_value(velocity) OVER p AS a_velocity FROM q4
+  WINDOW p AS (PARTITION BY symbol, ts ORDER BY seq, feed ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ew AS (SELECT symbol, i, price AS y FROM q5 WHERE i = 1 UNION ALL SELECT q5.symbol, q5.i, 2.0 / 301 * q5.price + (1 - 2.0 / 301) * ew.y FROM ew JOIN q5 ON q5.symbol = ew.symbol AND q5.i = ew.i + 1),
+f1 AS (SELECT q5.*, coalesce(CASE WHEN q5.i >= 20 THEN y END, max(CASE WHEN q5.i = 20 THEN y END) OVER (PARTITION BY q5.symbol), price) AS fair, CASE WHEN feed = 0 THEN price * size ELSE 0 END AS notional,
+  CASE WHEN kind = 'trade' THEN aggressor * size ELSE 0 END AS hit, CASE kind WHEN 'add' THEN size WHEN 'cancel' THEN -size ELSE 0 END AS held FROM q5 JOIN ew ON ew.symbol = q5.symbol AND ew.i = q5.i),
+f2 AS (SELECT *, notional * aggressor AS signed, CASE WHEN feed = 0 THEN 0 ELSE hit + 0.20 * held + 0.15 * inv END AS flow, CASE WHEN feed = 1 THEN hit + 0.30 * held + 0.15 * inv END AS flow30 FROM f1),
+f3 AS (SELECT *, {_n("sum({})", "signed", 96, 1, _UO)} / ({_n("sum({})", "notional", 96, 1, _UO)} + 1e-9) AS x1, {_n("avg({})", "flow", 128, 1, _UO)} AS x2, {_n("avg({})", "abs(flow)", 128, 1, _UO)} AS x3,
+  {_n("avg({})", "a_oi", 96, 1, _UO)} AS x4 FROM f2),
+f4 AS (SELECT *, {_o("x2", "x3")} AS y2, {_o("a_oi_change", "x4")} AS y3, {_o("price - fair", "fair")} AS y4, 480 - (hour(ts) * 60 + minute(ts) + second(ts) / 60.0) % 480 AS minutes FROM f3),
+f5 AS (SELECT *, {_c("y3", -0.6, 0.6)} AS g, greatest(0.05, least(1.0, exp(-(((minutes - 20) / 18) ** 2)))) AS weight FROM f4),
+f6 AS (SELECT *, 0.34 * {_c("x1", -1, 1)} + 0.24 * {_c("y2", -4, 4)} / 4 + 0.24 * (0.6 * g + 0.4 * greatest(-4, least(4, a_z_oi)) / 4) * sign(ret) * sign(g) + 0.18 * {_c("y4", -0.02, 0.02)} / 0.02 AS raw FROM f5),
+f7 AS (SELECT *, coalesce(tanh(2.1 * raw * (0.7 + 0.3 * weight)) * 0.0015, 0) AS rate FROM f6),
+f8 AS (SELECT *, coalesce(rate - lag(rate) OVER (PARTITION BY symbol ORDER BY {_UO}), 0) AS rate_change, greatest(-8, least(8, {_z("rate", 256, 16, True, _UO)})) AS z_f FROM f7),
+f9 AS (SELECT *, rate_change / step AS rate_velocity, z_f * a_z_oi AS stress, abs(z_f) > 2.5 AS funding_extreme, CASE WHEN feed = 1 AND kind = 'trade' AND aggressor <> 0 THEN size END AS exec FROM f8),
+f10 AS MATERIALIZED (SELECT *, coalesce(rate_velocity - lag(rate_velocity) OVER w, 0) / step AS rate_acceleration, z_f * rate_velocity * weight AS pressure,
+  CAST(count(exec) OVER w AS DOUBLE) AS execs, coalesce(sum(exec) OVER w, 0) AS exec_size FROM f9 WINDOW w AS (PARTITION BY symbol ORDER BY {_UO})),
+fl AS (SELECT symbol, i, CASE WHEN rate >= 1e-4 THEN 1 WHEN rate <= -1e-4 THEN -1 ELSE 0 END AS f, CASE WHEN rate >= 1e-4 THEN 1.0 WHEN rate <= -1e-4 THEN -1.0 ELSE 0.0 END::DOUBLE AS flag_mean FROM f10 WHERE i = 1
+  UNION ALL SELECT symbol, i, f, 0.1 * f + 0.9 * old FROM (SELECT t.symbol, t.i, fl.flag_mean AS old, CASE WHEN fl.f = 0 THEN CASE WHEN t.rate >= 1e-4 THEN 1 WHEN t.rate <= -1e-4 THEN -1 ELSE 0 END
+    WHEN fl.f * t.rate <= 5e-5 THEN 0 ELSE fl.f END AS f FROM fl JOIN f10 t ON t.symbol = fl.symbol AND t.i = fl.i + 1)),
+funding AS MATERIALIZED (SELECT f10.*, CAST(f AS INTEGER) AS funding_flag, flag_mean FROM f10 JOIN fl ON fl.symbol = f10.symbol AND fl.i = f10.i)"""
+_POSITIONING_SQL = f"""p1 AS (SELECT *, tanh(2400 * rate + 0.42 * z_f) AS dp FROM funding),
+p2 AS (SELECT *, greatest(0.5, least(2.0, exp(greatest(-0.693147, least(0.693147, {_SIG}))))) AS ratio FROM p1),
+p3 AS (SELECT *, oi * ratio / (1 + ratio) AS long_proxy, oi / (1 + ratio) AS short_proxy FROM p2),
+p4 AS (SELECT *, ln((long_proxy + 1e-6) / (short_proxy + 1e-6)) AS skew FROM p3),
+positioning AS (SELECT *, coalesce(ratio - lag(ratio) OVER w, 0) AS ratio_change, coalesce(skew - lag(skew) OVER w, 0) AS skew_velocity FROM p4 WINDOW w AS (PARTITION BY symbol ORDER BY {_UO}))"""
+_TRADES_SQL = """t1 AS (SELECT * EXCLUDE (i, ret, step, execs, exec_size), last_value(rate) OVER p AS f_rate, last_value(z_f) OVER p AS f_z_f, last_value(pressure) OVER p AS f_pressure, last_value(stress) OVER p AS f_stress,
+  avg(flow30) OVER p AS at_flow, avg(CASE WHEN feed = 1 THEN flow END) OVER p AS at_aggr, max(execs) OVER p AS execs, max(exec_size) OVER p AS exec_size FROM funding
+  WINDOW p AS (PARTITION BY symbol, ts ORDER BY seq, feed ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+t2 AS MATERIALIZED (SELECT *, row_number() OVER w AS i, coalesce(price / nullif(lag(price) OVER w, 0) - 1, 0) AS ret, greatest(coalesce(abs(seq - lag(seq) OVER w), 1), 1) AS step, size * aggressor AS impulse
+  FROM t1 WHERE feed = 0 WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq))"""
+_BASIS_SQL = f"""b1 AS (SELECT *, {_o(_n("sum({})", "notional", 240, 5), _n("sum({})", "size", 240, 5))} AS vwap, coalesce(last_value(at_flow IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING),
+  first_value(at_flow IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), 0) AS flow_mean FROM t2),
+b2 AS (SELECT *, tanh(coalesce({_n("avg({})", "flow_mean", 120, 3)}, 0)) AS fb, tanh(0.7 * f_pressure + 0.2 * f_z_f + 0.1 * f_stress) AS fund,
+  coalesce(vwap, max(CASE WHEN i = 5 THEN vwap END) OVER (PARTITION BY symbol), price) AS spot0, {_n(_MED, "notional", 180, 5)} AS med FROM b1),
+b3 AS (SELECT *, spot0 * (1 - greatest(-0.0075, least(0.0075, 0.0015 * fb + 0.0018 * fund))) AS spot FROM b2),
+b4 AS (SELECT *, {_o("price - spot", "spot")} AS rawb, tanh(coalesce({_o("notional", "med")}, 0)) AS light FROM b3),
+b5 AS (SELECT *, rawb * (0.65 + 0.35 * light) * (1 + 0.25 * sign(coalesce(rawb, 0)) * tanh(abs(fund) + abs(fb))) AS b0 FROM b4),
+b6 AS (SELECT *, coalesce({_c("b0", -0.25, 0.25)}, 0) AS basis FROM b5),
+b7 AS (SELECT *, coalesce(basis - lag(basis) OVER (PARTITION BY symbol ORDER BY ts, seq), 0) AS basis_change, greatest(-8, least(8, {_z("basis", 512, 32, True)})) AS z_b,
+  (28800 - (epoch_us(ts) // 1000000) % 28800) % 28800 AS secs, CASE WHEN count(basis) OVER v >= 64 THEN avg(abs(basis)) OVER v END AS m7 FROM b6
+  WINDOW v AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '6 days 23:59:59.999999' PRECEDING AND CURRENT ROW)),
+b8 AS (SELECT *, basis_change / step AS basis_velocity, abs(z_b) >= 2 AS basis_flag, exp(-secs / 7200.0) AS urgency, lag(m7) OVER (PARTITION BY symbol ORDER BY ts, seq) AS m1 FROM b7),
+b9 AS (SELECT *, {_o("abs(basis)", "m1")} AS c0, tanh(0.65 * tanh(sign(basis) * (5.0 * f_rate + 0.7 * f_pressure + 0.4 * sign(basis) * fund)) + 0.35 * tanh(sign(basis) * abs(basis_velocity) / 0.0015)) AS going FROM b8),
+basis AS MATERIALIZED (SELECT *, coalesce({_c("c0", 0, 10)}, 1) AS compression,
+  greatest(-1, least(1, sign(basis) * tanh(abs(z_b) / 2) * urgency * (0.6 + 0.4 * tanh(2 * abs(f_stress))) - going * (1 - 0.45 * urgency))) AS reversion FROM b9)"""
+_LIQUIDATION_SQL = f"""l1 AS (SELECT *, CASE WHEN aggressor < 0 THEN notional ELSE 0 END AS sell_n, CASE WHEN aggressor > 0 THEN notional ELSE 0 END AS buy_n, abs(ret) AS abs_ret, coalesce(lag(f_z_f) OVER w, 0) AS lag_z,
+  coalesce(lag(f_stress) OVER w, 0) AS lag_s, lag(a_oi) OVER w AS before FROM t2 WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+l2 AS (SELECT *, CASE WHEN before IS NULL THEN 0 ELSE greatest(a_oi - before, 0) END AS build, CASE WHEN before > 0 THEN a_oi / before - 1 WHEN before = 0 AND a_oi > 0 THEN 1e9 ELSE 0 END AS oi_pct,
+  {_n(_MED, "abs_ret", 240, 10)} AS med_ret, coalesce({_n(_MED, "abs_ret", 90, 5)}, 0) AS calm, {_n(_MED, "sell_n", 180, 5)} AS med_sell, {_n(_MED, "buy_n", 180, 5)} AS med_buy,
+  coalesce({_o(_n("sum({})", "abs(buy_n - sell_n)", 120, 5), _n("sum({})", "(buy_n + sell_n)", 120, 5))}, 0) AS toxicity FROM l1),
+l3 AS (SELECT *, coalesce({_o(_n("sum({})", "build", 180, 5), _n("avg({})", "a_oi", 180, 5))}, 0) AS density, tanh(7.5 * greatest(-a_velocity, 0)) AS collapse FROM l2),
+l4 AS (SELECT *, sell_n * coalesce(tanh({_o("sell_n", "med_sell")}), 0) * coalesce(tanh({_o("greatest(-ret, 0)", "med_ret")}), 0) * collapse * tanh(greatest(lag_z + lag_s, 0)) AS liq_long,
+  buy_n * coalesce(tanh({_o("buy_n", "med_buy")}), 0) * coalesce(tanh({_o("greatest(ret, 0)", "med_ret")}), 0) * collapse * tanh(greatest(lag_s - lag_z, 0)) AS liq_short,
+  tanh(4.5 * abs(density) + 0.35 * abs(a_z_oi) + 0.20 * abs(f_z_f)) / (1 + 40 * calm) AS zone FROM l3),
+l5 AS MATERIALIZED (SELECT *, liq_long + liq_short AS liq, {_o(_n("sum({})", "(price * zone)", 180, 10), _n("sum({})", "zone", 180, 10))} AS near0, 0.5 * z_oi + 0.5 * stress AS score FROM l4),
+lr AS (SELECT symbol, i, ts, liq AS y, liq AS h, CASE WHEN score >= 1 THEN 1 WHEN score <= -1 THEN -1 ELSE 0 END AS flag FROM l5 WHERE i = 1
+  UNION ALL SELECT t.symbol, t.i, t.ts, 2.0 / 91 * t.liq + (1 - 2.0 / 91) * lr.y, lr.h * exp(-ln(2.0) / 60 * ((epoch_us(t.ts) - epoch_us(lr.ts)) / 1e6)) + t.liq,
+  CASE WHEN lr.flag = 0 THEN CASE WHEN t.score >= 1 THEN 1 WHEN t.score <= -1 THEN -1 ELSE 0 END WHEN lr.flag * t.score < 0.35 THEN 0 ELSE lr.flag END FROM lr JOIN l5 t ON t.symbol = lr.symbol AND t.i = lr.i + 1),
+l6 AS (SELECT l5.*, y, h AS heat, CAST(flag AS INTEGER) AS leverage_flag, (liq_long - liq_short) / (liq + 1e-9) AS liq_imbalance, {_n(_MED, "liq", 180, 5)} AS med_liq,
+  coalesce(liq - lag(liq) OVER (PARTITION BY symbol ORDER BY ts, seq), 0) AS d_liq, coalesce(last_value(near0 IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING),
+  max(CASE WHEN i = 10 THEN near0 END) OVER (PARTITION BY symbol), price) AS near FROM (SELECT l5.*, y, h, flag FROM l5 JOIN lr ON lr.symbol = l5.symbol AND lr.i = l5.i) l5),
+l7 AS (SELECT *, abs(price - near) / price / greatest(0.35, least(2.0, 1 + tanh(1.5 * zone + 8 * oi_pct))) AS cluster, greatest(-5, least(5, coalesce(CASE WHEN i >= 5 AND y <> 0 THEN d_liq / y END, 0))) AS liq_velocity FROM l6),
+liquidation AS MATERIALIZED (SELECT *, greatest(0, least(1, 0.30 * coalesce(tanh({_o("liq", "med_liq")}), 0) + 0.18 * least(1, abs(liq_imbalance)) + 0.18 / (1 + 120 * cluster) + 0.14 * tanh(abs(liq_velocity))
+  + 0.20 * tanh(greatest(f_stress, 0) + 3 * greatest(-a_velocity, 0)))) AS liq_pressure, 1 / (1 + exp(-(2.6 / (1 + 140 * cluster) + 1.6 * tanh(greatest(f_stress, 0) + 3.5 * greatest(-a_velocity, 0))
+  + 1.1 * tanh(abs(coalesce(at_aggr, 0))) + 0.9 * tanh(toxicity) - 2.7))) AS cascade FROM l7)"""
+_VOLUME_SQL = f"""v1 AS (SELECT *, {_n("quantile_cont({}, 0.95)", "size", 200, 1)} AS p95, (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS gap0, greatest(coalesce(execs - lag(execs) OVER w, execs), 0) AS d_execs,
+  greatest(coalesce(exec_size - lag(exec_size) OVER w, exec_size), 0) AS d_exec_size, CASE WHEN i = 1 THEN 0 WHEN i = 2 THEN abs(impulse) ELSE abs(impulse - lag(impulse) OVER w) END AS accel,
+  sum(size) OVER w AS trade_volume, sum(impulse) OVER w AS volume_delta FROM t2 WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)),
+v2 AS (SELECT *, CASE WHEN size >= coalesce(CASE WHEN i >= 50 THEN p95 END, max(CASE WHEN i = 50 THEN p95 END) OVER (PARTITION BY symbol), p95) THEN size ELSE 0 END AS large,
+  greatest(-1, least(1, coalesce(volume_delta / nullif(trade_volume, 0), 0))) AS delta_ratio, CASE WHEN gap0 > 0 THEN gap0 END AS gap FROM v1),
+v3 AS (SELECT *, sum(large) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS large_volume, coalesce({_o(_n("sum({})", "large", 25, 5), _n("sum({})", "size", 25, 5))}, 0) AS share,
+  1.0 / greatest(coalesce(first_value(gap IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts, seq ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1e-3), 1e-6) AS freq,
+  {_n("sum({})", "d_execs", 25, 5)} / 25 + coalesce({_o(_n("sum({})", "d_exec_size", 25, 5), _n("sum({})", "size", 25, 5))}, 0) AS execution FROM v2),
+volume AS MATERIALIZED (SELECT *, greatest(0, 0.30 * {_z("freq", 250, 50, False)} + 0.30 * {_z("share", 250, 50, False)} + 0.20 * {_z("accel", 250, 50, False)} + 0.20 * {_z("execution", 250, 50, False)}) AS burst FROM v3)"""
+_LEVERAGE_SQL = f"""g1 AS (SELECT b.*, delta_ratio, b.z_oi * delta_ratio AS x_volume, b.z_f * b.z_oi AS x_funding, z_b * b.z_oi AS x_basis FROM basis b JOIN volume v USING (symbol, seq)),
+leverage AS MATERIALIZED (SELECT *, ({" + ".join(f"coalesce({_o(c, f'(stddev_pop({c}) OVER (PARTITION BY symbol))')}, 0)" for c in ("x_volume", "x_funding", "x_basis"))}) / 3 AS leverage_pressure FROM g1)"""
+_REGIME_SQL = f"""r1 AS (SELECT g.*, liq_pressure, leverage_flag FROM leverage g JOIN liquidation l USING (symbol, seq)),
+regime AS (SELECT *, abs(z_b) > 2.5 AND basis_flag AS basis_extreme,
+  ({" + ".join(f"coalesce({_o(f'{c} - avg({c}) OVER (PARTITION BY symbol)', f'(stddev_pop({c}) OVER (PARTITION BY symbol))')}, 0)" for c in ("stress", "liq_pressure", "leverage_pressure"))}) / 3 AS derivatives_stress FROM r1)"""
+_SQL = {
+    "funding": [], "positioning": [_POSITIONING_SQL], "basis": [_TRADES_SQL, _BASIS_SQL], "liquidation": [_TRADES_SQL, _LIQUIDATION_SQL], "volume": [_TRADES_SQL, _VOLUME_SQL],
+    "leverage": [_TRADES_SQL, _BASIS_SQL, _VOLUME_SQL, _LEVERAGE_SQL], "regime": [_TRADES_SQL, _BASIS_SQL, _LIQUIDATION_SQL, _VOLUME_SQL, _LEVERAGE_SQL, _REGIME_SQL],
+}
+
+
+def step_sql(name: str, columns: list[str], flags: list[str], key: tuple[str, ...]) -> str:
+    parts = ", ".join([TRADES_SQL, FLOW_SQL, _FUNDING_SQL, *_SQL[name]])
+    cast = {"feed": "CAST(feed AS INTEGER) AS feed"}
+    shown = ", ".join([*[cast.get(c, c) for c in key], *[f"round({c}, 6) + 0.0 AS {c}" for c in columns], *flags])
+    return f"WITH RECURSIVE {parts} SELECT {shown} FROM {name}"
+
+
+def _step(name: str, columns: list[str], flags: list[str] = (), key: tuple[str, ...] = ("symbol", "seq")):
     def run(spark, sf_dir):
-        return upto(spark, sf_dir, name).select("symbol", "seq", *[rnd(c, 6).alias(c) for c in columns], *flags)
+        return upto(spark, sf_dir, name).select(*key, *[rnd(c, 6).alias(c) for c in columns], *flags)
 
     run.__name__ = f"fut_{name}"
     run.__doc__ = f"The {name} step of the futures pipeline."
-    query()(run)
+    query(step_sql(name, columns, flags, key))(run)
 
 
-_step("funding", ["rate", "rate_change", "z_f", "pressure", "stress", "weight"], ["funding_flag", "funding_extreme"])
-_step("basis", ["basis", "basis_change", "z_b", "compression", "reversion"], ["basis_flag"])
-_step("positioning", ["ratio", "ratio_change", "long_proxy", "short_proxy", "skew", "skew_velocity"])
+_step("funding", ["rate", "rate_change", "rate_velocity", "rate_acceleration", "z_f", "pressure", "stress", "weight"], ["funding_flag", "funding_extreme"], ("symbol", "seq", "feed"))
+_step("positioning", ["ratio", "ratio_change", "long_proxy", "short_proxy", "skew", "skew_velocity"], [], ("symbol", "seq", "feed"))
+_step("basis", ["basis", "basis_change", "basis_velocity", "z_b", "compression", "reversion"], ["basis_flag"])
 _step("liquidation", ["liq_long", "liq_short", "liq_imbalance", "cluster", "liq_velocity", "liq_pressure", "cascade", "heat"])
 _step("volume", ["trade_volume", "volume_delta", "delta_ratio", "large_volume", "burst"])
 _step("leverage", ["x_volume", "x_funding", "x_basis", "leverage_pressure"])

@@ -235,7 +235,7 @@ def null_handling(spark, sf_dir):
     h, x = feeds.holed(spark, sf_dir), F.col("price")
     return h.select(
         "symbol", "seq", rnd(ffill("price", W())).alias("ffilled"), rnd(F.coalesce(ffill("price", W()), F.lit(0.0))).alias("ffill_zero"),
-        rnd(bfill("price", W())).alias("bfilled"), rnd(F.coalesce(x, F.lit(0.0))).alias("zeroed"), rnd(F.coalesce(x, F.lit(1.0))).alias("oned"),
+        rnd(bfill("price", "symbol")).alias("bfilled"), rnd(F.coalesce(x, F.lit(0.0))).alias("zeroed"), rnd(F.coalesce(x, F.lit(1.0))).alias("oned"),
         rnd(gated(F.avg, "price", last_n(W(), 10), 5)).alias("mean_mp5"),
     )
 

@@ -175,7 +175,7 @@ def supertrend(spark, sf_dir):
     f"""WITH RECURSIVE {BARS_SQL}, z AS (SELECT symbol, seq, coalesce((close - avg(close) OVER p) / nullif(stddev_pop(close) OVER p, 0), 0) AS z
   FROM bars WINDOW p AS (PARTITION BY symbol ORDER BY seq ROWS BETWEEN 64 PRECEDING AND 1 PRECEDING)),
 s AS (SELECT symbol, seq, 0 AS f FROM z WHERE seq = 1 UNION ALL
-  SELECT z.symbol, z.seq, CASE WHEN s.f = 0 THEN CASE WHEN z.z >= 1 THEN 1 WHEN z.z <= -1 THEN -1 ELSE 0 END WHEN abs(z.z) <= 0.35 THEN 0 ELSE s.f END
+  SELECT z.symbol, z.seq, CASE WHEN s.f = 0 THEN CASE WHEN z.z >= 1 THEN 1 WHEN z.z <= -1 THEN -1 ELSE 0 END WHEN s.f * z.z < 0.35 THEN 0 ELSE s.f END
   FROM s JOIN z ON z.symbol = s.symbol AND z.seq = s.seq + 1)
 SELECT symbol, seq, CAST(f AS INTEGER) AS flag FROM s"""
 )
@@ -183,7 +183,7 @@ def hysteresis(spark, sf_dir):
     p = past_n(W(), 64)
     z = sdiv(F.col("close") - F.avg("close").over(p), F.stddev_pop("close").over(p))
     b = feeds.bars(spark, sf_dir).select("symbol", "ts", "seq", z.alias("z"))
-    return scan(b, ["z"], "flag int", lambda: k.Hysteresis(1.0, 0.35), lambda s, z: (s(z),)).select("symbol", "seq", "flag")
+    return scan(b, ["z"], "flag int", lambda: k.Hysteresis(1.0, 0.35, strict=True), lambda s, z: (s(z),)).select("symbol", "seq", "flag")
 
 
 @query(
