@@ -7,6 +7,7 @@ no more memory than a batch.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -172,6 +173,21 @@ class Heat:
         return self.h
 
 
+class TimeMean:
+    """Mean of the values of the last ``span`` units of time, the row's own among
+    them; null under ``least`` of them."""
+
+    def __init__(self, span: float, least: int):
+        self.span, self.least, self.total, self.held = span, least, 0.0, deque()
+
+    def __call__(self, t: float, x: float) -> float | None:
+        self.held.append((t, x))
+        self.total += x
+        while self.held[0][0] <= t - self.span:
+            self.total -= self.held.popleft()[1]
+        return self.total / len(self.held) if len(self.held) >= self.least else None
+
+
 class Smoother:
     """Two-pole super-smoother of a period."""
 

@@ -208,15 +208,15 @@ def basis(t: DataFrame) -> DataFrame:
     t = t.withColumns({"raw": over(F.col("price") - spot, spot), "light": F.tanh(zero(over(F.col("notional"), F.col("med_notional"))))})
     lean = F.signum(zero(F.col("raw"))) * F.tanh(F.abs("fund") + F.abs("fb"))
     t = t.withColumn("basis", zero(clip(F.col("raw") * (0.65 + 0.35 * F.col("light")) * (1 + 0.25 * lean), -0.25, 0.25)))
-    t = scan(t, rolls=moments("basis", 512, 32, True))
+    t = t.withColumns({"_u": F.unix_micros(F.col("ts").cast("timestamp")), "_b": F.abs("basis")})
+    seven = 7 * 86_400 * 1_000_000
+    t = scan(t, ["_u", "_b"], "_m double", lambda: k.TimeMean(seven, 64), lambda s, u, b: (s(u, b),), rolls=moments("basis", 512, 32, True)).drop("_u", "_b")
     t = t.withColumn("basis_change", zero(F.col("basis") - lag("basis"))).withColumns({"z_b": zscore("basis", 8.0), "basis_velocity": F.col("basis_change") / F.col("step")})
     left = (28800 - F.unix_seconds(F.col("ts").cast("timestamp")) % 28800) % 28800
     side, urgency = F.signum("basis"), F.exp(-left / 7200.0)
     aligned = F.tanh(side * (5.0 * F.col("f_rate") + 0.7 * F.col("f_pressure") + 0.4 * side * F.col("fund")))
     going = F.tanh(0.65 * aligned + 0.35 * F.tanh(side * F.abs("basis_velocity") / 0.0015))
     score = side * F.tanh(F.abs("z_b") / 2) * urgency * (0.6 + 0.4 * F.tanh(2 * F.abs("f_stress"))) - going * (1 - 0.45 * urgency)
-    seven = "(PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '6 23:59:59.999999' DAY TO SECOND PRECEDING AND CURRENT ROW)"
-    t = t.withColumn("_m", F.expr(f"CASE WHEN count(basis) OVER {seven} >= 64 THEN avg(abs(basis)) OVER {seven} END"))
     return t.withColumns(
         {"basis_flag": F.abs("z_b") >= 2, "compression": F.coalesce(clip(over(F.abs("basis"), lag("_m")), 0.0, 10.0), F.lit(1.0)), "reversion": clip(score, -1.0, 1.0)}
     ).drop("_m")
