@@ -89,7 +89,7 @@ def small_batches(df: DataFrame) -> None:
     long texts or sets would take as much memory as they happen to need."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name, "-1").rstrip("bB") or -1) <= BATCH_BYTES:
+    if conf.get(name) == f"{64 << 20}b":  # Spark's default; what a user set stays
         conf.set(name, str(BATCH_BYTES))
 
 
