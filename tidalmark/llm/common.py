@@ -44,6 +44,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(df: DataFrame) -> DataFrame:
+    """``cut``, and a request that Spark drop the shuffle files behind it now:
+    it does so when the driver's JVM finds them unreachable, which a driver of
+    little garbage may not look for until the disks are full."""
+    out = cut(df)
+    df.sparkSession._jvm.System.gc()
+    return out
+
+
 @functools.cache
 def _folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tables")

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, bit_map, cut, quoted, raw, spot, unused
+from .common import append, bit_map, cut, freed, quoted, raw, spot, unused
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -369,6 +369,18 @@ def rarest(sets: DataFrame, percent: int, cells: int) -> DataFrame:
     return made.select("id", "size", "label", "parity", F.posexplode("tokens").alias("place", "token"))
 
 
+def shared(kept: DataFrame, deals: int, deal: int) -> DataFrame:
+    """sig and id of the signatures that several rows have, of one of ``deals``
+    parts of all signatures: so the shuffle files of one part are on disk at once.
+
+    Neighbours in order, not a count, tell shared signatures: no group is held.
+    """
+    order = Window.partitionBy("sig").orderBy("id")
+    rows = kept.select(F.explode("sigs").alias("sig"), "id").where(F.pmod("sig", F.lit(deals)) == deal)
+    met = rows.withColumn("x", F.lag("id").over(order)).withColumn("y", F.lead("id").over(order))
+    return met.where("x IS NOT NULL OR y IS NOT NULL").select("sig", "id")
+
+
 def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
     """Pairs (a, b): each id with the best connected ids of its buckets."""
     near = F.struct((-F.col("others")).alias("o"), "id", "size").alias("hub")
@@ -421,6 +433,7 @@ def join(
     hubs: int = 3,
     small: int = 8,
     cells: int = 1 << 18,
+    deals: int = 4,
 ) -> DataFrame:
     """id, n_shingles and component_id of each row of ``docs``."""
     rows = cut(described(docs, id_col, text_col, n))
@@ -428,19 +441,16 @@ def join(
         rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"))
     )
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    alone = signed(docs, id_col, text_col, n, percent).join(reps, "id", "left_semi").select(F.explode("sigs").alias("sig"), "id")
-    # Neighbours in order, not a count, tell shared signatures: no group is held.
-    order = Window.partitionBy("sig").orderBy("id")
-    met = alone.withColumn("x", F.lag("id").over(order)).withColumn("y", F.lead("id").over(order))
-    live = cut(met.where("x IS NOT NULL OR y IS NOT NULL").select("sig", "id"))
+    kept = freed(signed(docs, id_col, text_col, n, percent).join(reps, "id", "left_semi"))
+    live = reduce(DataFrame.union, [freed(shared(kept, deals, k)) for k in range(deals)])
     several = live.join(live.groupBy("sig").agg(F.count("*").alias("c")), "sig")
     others = several.groupBy("id").agg(F.sum("c").alias("others"))
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
     labels = cut(others.join(sizes, "id").select("id", "size", F.col("id").alias("label"), "others"))
     live = live.join(labels.select("id", "size", "others"), "id")
-    sets = cut(sets_of(docs, labels.select("id"), id_col, text_col, n))
+    sets = freed(sets_of(docs, labels.select("id"), id_col, text_col, n))
     found = verified(connected(live, percent, hubs), sets, percent)
-    labels = relabelled(labels.select("id", "size", "label"), cut(found))
+    labels = relabelled(labels.select("id", "size", "label"), freed(found))
     left = remaining(live, labels, sets, percent, small, cells)
     labels = relabelled(labels, cut(verified(left, sets, percent)))
     # A label is some class's representative; the component's id is the smallest.
