@@ -10,7 +10,7 @@ from tidalmark import catalog
 from tidalmark.functions.expr import norm_cdf
 from tidalmark.operators import quality
 from tidalmark.operators.asof import asof_join
-from tidalmark.operators.scan import Ewm, Heat, Hysteresis, scan, span
+from tidalmark.operators.scan import Ewm, Heat, Hysteresis, Roll, TimeMean, scan, span
 from tidalmark.sources import feeds, files, sinks
 from tidalmark.streaming import bars as streams
 
@@ -81,9 +81,37 @@ def test_scan_equals_pandas(spark):
         assert np.allclose(part["y"], want, equal_nan=True)
 
 
+def test_rolls_equal_brute_force_across_batches(spark):
+    import statistics
+
+    rows = [(f"k{i % 2}", i, None if i % 7 == 3 else float((i * 37) % 11)) for i in range(90)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, x double").withColumn("ts", F.col("seq"))
+    rolls = [Roll("a", "sum", "x", 5, 2), Roll("b", "std", "x", 8, 3, past=True), Roll("c", "median", "x", 6), Roll("d", "mean", "x", 4)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = scan(df, rolls=rolls).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for key in ("k0", "k1"):
+        mine = sorted((r for r in got if r["symbol"] == key), key=lambda r: r["seq"])
+        for i, r in enumerate(mine):
+            last = lambda n, end: [m["x"] for m in mine[max(0, end - n) : end] if m["x"] is not None]  # noqa: B023, E731
+            a, b, c, d = last(5, i + 1), last(8, i), last(6, i + 1), last(4, i + 1)
+            assert r["a"] == (pytest.approx(sum(a)) if len(a) >= 2 else None)
+            assert r["b"] == (pytest.approx(statistics.pstdev(b)) if len(b) >= 3 else None)
+            assert r["c"] == (pytest.approx(statistics.median(c)) if c else None)
+            assert r["d"] == (pytest.approx(statistics.mean(d)) if d else None)
+
+
 def test_state_machines():
     h = Hysteresis(1.0, 0.35)
-    assert [h(x) for x in (0.5, 1.2, 0.6, -2, 0.3, -1.1, None)] == [0, 1, 1, 1, 0, -1, -1]
+    # A state ends on its own side's value: far beyond the other side too, and then without a flip.
+    assert [h(x) for x in (0.5, 1.2, 0.6, -2, 0.3, -1.1, None)] == [0, 1, 1, 0, 0, -1, -1]
+    assert [Hysteresis(1.0, 0.35, strict)(1) or None for strict in (True, False)] == [1, 1]
+    strict, lax = Hysteresis(1.0, 0.35, strict=True), Hysteresis(1.0, 0.35)
+    assert [(strict(x), lax(x)) for x in (2, 0.35, 0.3)] == [(1, 1), (1, 0), (0, 0)]
+    week = TimeMean(10, 2)
+    assert [week(t, x) for t, x in ((0, 1.0), (5, 3.0), (10, 5.0))] == [None, 2.0, 4.0]
     heat = Heat(60.0)
     assert heat(0, 8.0) == 8 and heat(60, 0.0) == pytest.approx(4)
     assert Ewm(0.5)(None) is None
