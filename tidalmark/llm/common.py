@@ -53,6 +53,14 @@ def freed(df: DataFrame) -> DataFrame:
     return out
 
 
+def discard(table: DataFrame) -> None:
+    """Delete the files of a ``cut`` table that nothing reads any more."""
+    files = table.inputFiles()
+    if files:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @functools.cache
 def _folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tables")

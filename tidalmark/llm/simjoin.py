@@ -17,10 +17,10 @@ which stands for two.  ``slack``, or one-deletion neighbourhoods throughout, is
 chosen for each band by the expected number of signatures.
 
 *Links.*  Equal sets are one class, whose smallest id stands for it.  Each class
-first meets the ``hubs`` best connected classes of its buckets (the number of
+meets the ``hubs`` best connected classes of its buckets (the number of
 others in all of a class's buckets says how well it is connected, and a group's
-original comes first); exact verification on whole sets follows, and linked
-classes get one label.  Buckets that still hold several labels are finished in
+original comes first), one after another, as long as their labels differ; exact
+verification on whole sets follows each time, and linked classes get one label.  Buckets that still hold several labels are finished in
 one of two exact ways.  Up to ``small`` classes are paired across labels.  In a
 larger bucket two linked sets must also share one of their rarest shingles: by
 any fixed order of shingles the first ``|A| - overlap + 1`` of either set meet,
@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, bit_map, cut, freed, quoted, raw, spot, unused
+from .common import append, bit_map, cut, discard, freed, quoted, raw, spot, unused
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -261,7 +261,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose documents link: sketches, a few bytes in a
-    hundred of the sets, first drop pairs that differ too much for certain."""
+    hundred of the sets, first drop pairs that differ too much for certain.
+
+    Only the sets of documents in pairs travel, those of ``b`` first: where few
+    hubs meet many documents, the rows are then dealt by the document.
+    """
 
     def near():
         def run(na, nb, xa, xb):
@@ -282,13 +286,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return run
 
     def judged(pairs: DataFrame, columns: dict[str, str], kernel) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), *[F.col(c).alias(f"{k}a") for c, k in columns.items()])
-        right = sets.select(F.col("id").alias("b"), *[F.col(c).alias(f"{k}b") for c, k in columns.items()])
         inputs = [f"{k}{side}" for k in columns.values() for side in "ab"]
-        joined = pairs.join(left, "a").join(right, "b")
+        joined = pairs
+        for side in "ba":
+            wanted = cut(pairs.select(F.col(side).alias("id")).distinct())
+            met = sets.select("id", *columns).join(wanted, "id", "left_semi")
+            joined = joined.join(met.select(F.col("id").alias(side), *[F.col(c).alias(f"{k}{side}") for c, k in columns.items()]), side)
         return append(joined, inputs, "ok boolean", kernel, ["a", "b"]).where("ok").select("a", "b").distinct()
 
-    close = cut(judged(cut(pairs), {"size": "n", "sketch": "x"}, near))
+    close = freed(judged(cut(pairs), {"size": "n", "sketch": "x"}, near))
     return judged(close, {"set": "s"}, linked)
 
 
@@ -313,6 +319,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) of two labels."""
+    one = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
+    two = labels.select(F.col("id").alias("b"), F.col("label").alias("lb"))
+    return pairs.join(one, "a").join(two, "b").where("la <> lb").select("a", "b")
+
+
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """``labels`` (id, size, label) after joining labels that ``links`` connect."""
     one = labels.select(F.col("id").alias("a"), F.col("label").alias("la"))
@@ -382,7 +395,7 @@ def shared(kept: DataFrame, deals: int, deal: int) -> DataFrame:
 
 
 def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
-    """Pairs (a, b): each id with the best connected ids of its buckets."""
+    """a, b and place (from 0): each id with the best connected ids of its buckets."""
     near = F.struct((-F.col("others")).alias("o"), "id", "size").alias("hub")
     best = live.groupBy("sig").agg(F.min(near).alias("hub"))
     fits = (F.col("size") * 100 >= F.col("hub.size") * percent) & (F.col("hub.size") * 100 >= F.col("size") * percent)
@@ -391,7 +404,7 @@ def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
         .where((F.col("id") != F.col("hub.id")) & fits)
         .groupBy("id")
         .agg(F.slice(F.array_sort(F.collect_set("hub")), 1, hubs).alias("hubs"))
-        .select(F.col("id").alias("a"), F.explode("hubs.id").alias("b"))
+        .select(F.col("id").alias("a"), F.posexplode("hubs.id").alias("place", "b"))
     )
 
 
@@ -405,7 +418,7 @@ def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
         .select("sig", "n")
     )
     rest = cut(tagged.join(several, "sig"))
-    crowded = rest.where(F.col("n") > small).groupBy("id").agg(F.first("label").alias("label"))
+    crowded = cut(rest.where(F.col("n") > small).groupBy("id").agg(F.first("label").alias("label")))
 
     def ends(rows: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame]:
         sides = [rows.select(key, *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "label", "parity", *more)]) for k in "ab"]
@@ -443,14 +456,17 @@ def join(
     reps = classes.select(F.col("rep").alias("id")).distinct()
     kept = freed(signed(docs, id_col, text_col, n, percent).join(reps, "id", "left_semi"))
     live = reduce(DataFrame.union, [freed(shared(kept, deals, k)) for k in range(deals)])
+    discard(kept)
     several = live.join(live.groupBy("sig").agg(F.count("*").alias("c")), "sig")
     others = several.groupBy("id").agg(F.sum("c").alias("others"))
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
     labels = cut(others.join(sizes, "id").select("id", "size", F.col("id").alias("label"), "others"))
     live = live.join(labels.select("id", "size", "others"), "id")
     sets = freed(sets_of(docs, labels.select("id"), id_col, text_col, n))
-    found = verified(connected(live, percent, hubs), sets, percent)
-    labels = relabelled(labels.select("id", "size", "label"), freed(found))
+    best = freed(connected(live, percent, hubs))
+    for place in range(hubs):
+        found = verified(across(best.where(F.col("place") == place), labels), sets, percent)
+        labels = relabelled(labels, freed(found))
     left = remaining(live, labels, sets, percent, small, cells)
     labels = relabelled(labels, cut(verified(left, sets, percent)))
     # A label is some class's representative; the component's id is the smallest.
