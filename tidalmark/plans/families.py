@@ -275,27 +275,32 @@ def fam_technical(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TRADES_SQL}, h AS (SELECT date_trunc('hour', ts) AS ts, avg(price) FILTER (symbol = 'S1') AS a, avg(price) FILTER (symbol = 'S2') AS b, avg(size) AS f FROM trades GROUP BY 1),
-f AS (SELECT ts, last_value(a IGNORE NULLS) OVER c AS a, last_value(b IGNORE NULLS) OVER c AS b, f FROM h WINDOW c AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+    f"""WITH {TRADES_SQL}, h AS (SELECT date_trunc('hour', ts) AS ts, avg(price) FILTER (symbol = 'S1') AS a, avg(price) FILTER (symbol = 'S2') AS b,
+  avg(price) FILTER (symbol = 'S3') AS perp, avg(size) AS f FROM trades GROUP BY 1),
+f AS (SELECT ts, last_value(a IGNORE NULLS) OVER c AS a, last_value(b IGNORE NULLS) OVER c AS b,
+  last_value(perp IGNORE NULLS) OVER c - last_value(a IGNORE NULLS) OVER c AS basis, f FROM h WINDOW c AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 r AS (SELECT *, ln(a) - ln(lag(a) OVER o) AS ra, ln(b) - ln(lag(b) OVER o) AS rb, row_number() OVER o AS i FROM f WHERE a IS NOT NULL AND b IS NOT NULL WINDOW o AS (ORDER BY ts)),
-x AS (SELECT ts, i, round(a - b, 6) AS spread, round((a - b) - lag(a - b) OVER (ORDER BY ts), 6) AS basis_change, round(avg(f) OVER (ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS funding_8h,
+x AS (SELECT ts, i, round(a - b, 6) AS spread, round(basis - lag(basis) OVER (ORDER BY ts), 6) AS basis_change,
+  round((basis - lag(basis) OVER (ORDER BY ts)) / (epoch(ts) - epoch(lag(ts) OVER (ORDER BY ts))), 9) AS basis_velocity, round(avg(f) OVER (ORDER BY ts ROWS BETWEEN 7 PRECEDING AND CURRENT ROW), 6) AS funding_8h,
   round(corr(ra, rb) OVER (ORDER BY ts ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS corr_24 FROM r)
-SELECT ts, spread, basis_change, funding_8h, corr_24 FROM x WHERE i > 24"""
+SELECT ts, spread, basis_change, basis_velocity, funding_8h, corr_24 FROM x WHERE i > 24"""
 )
 def fam_cross(spark, sf_dir):
-    """Two assets by hour: bounded by hours, so one window over the hours."""
+    """Two assets and the first one's perpetual by hour: bounded by hours, so one window over the hours."""
     t = feeds.trades(spark, sf_dir)
     h = t.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(
-        F.avg(F.when(F.col("symbol") == "S1", F.col("price"))).alias("a"), F.avg(F.when(F.col("symbol") == "S2", F.col("price"))).alias("b"), F.avg("size").alias("f")
-    )
+        F.avg(F.when(F.col("symbol") == "S1", F.col("price"))).alias("a"), F.avg(F.when(F.col("symbol") == "S2", F.col("price"))).alias("b"),
+        F.avg(F.when(F.col("symbol") == "S3", F.col("price"))).alias("perp"), F.avg("size").alias("f"),
+    )
     o = Window.partitionBy(F.lit(0)).orderBy("ts")
-    f = h.select("ts", ffill("a", o).alias("a"), ffill("b", o).alias("b"), "f").where("a IS NOT NULL AND b IS NOT NULL")
-    d = F.col("a") - F.col("b")
+    f = h.select("ts", ffill("a", o).alias("a"), ffill("b", o).alias("b"), (ffill("perp", o) - ffill("a", o)).alias("basis"), "f").where("a IS NOT NULL AND b IS NOT NULL")
+    d, change = F.col("a") - F.col("b"), F.col("basis") - F.lag("basis").over(o)
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")) - F.unix_timestamp(F.lag(F.col("ts").cast("timestamp")).over(o))
     r = f.select(
-        "ts", "a", "b", "f", (F.ln("a") - F.ln(F.lag("a").over(o))).alias("ra"), (F.ln("b") - F.ln(F.lag("b").over(o))).alias("rb"), F.row_number().over(o).alias("i")
+        "ts", "a", "b", "basis", "f", (F.ln("a") - F.ln(F.lag("a").over(o))).alias("ra"), (F.ln("b") - F.ln(F.lag("b").over(o))).alias("rb"), F.row_number().over(o).alias("i")
     )
     return r.select(
-        "ts", "i", rnd(d).alias("spread"), rnd(d - F.lag(d).over(o)).alias("basis_change"), rnd(F.avg("f").over(last_n(o, 8))).alias("funding_8h"),
+        "ts", "i", rnd(d).alias("spread"), rnd(change).alias("basis_change"), rnd(change / seconds, 9).alias("basis_velocity"), rnd(F.avg("f").over(last_n(o, 8))).alias("funding_8h"),
         rnd(F.corr("ra", "rb").over(last_n(o, 24)), 4).alias("corr_24"),
     ).where("i > 24").drop("i")
 
