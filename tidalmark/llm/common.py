@@ -6,10 +6,11 @@ import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,17 +32,46 @@ def cut(df: DataFrame) -> DataFrame:
     when the driver ends.
     """
     spark = df.sparkSession
+    path = _fresh(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _fresh(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         if not spark.conf.get("spark.master", "").split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _folder()
     path = f"{folder}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def parts(df: DataFrame) -> int:
+    """The session's number of shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+@contextmanager
+def dealt(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """``cut`` into buckets of ``key``, while the block lasts: joins on the key
+    read the table where it lies, and only their other side moves.
+
+    ``df`` should lie by ``key`` in ``parts`` partitions, or each task writes a
+    file for each bucket.
+    """
+    spark = df.sparkSession
+    path, name = _fresh(spark), f"dealt_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts(df), key).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    try:
+        yield table
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark.read.schema(df.schema).parquet(path))
 
 
 def freed(df: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, bit_map, cut, discard, freed, quoted, raw, spot, unused
+from .common import append, bit_map, cut, dealt, discard, freed, parts, quoted, raw, spot, unused
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -230,7 +230,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
     (distinct ids).
 
     A bit map of fixed size drops most other rows before the shuffle; the
-    join decides.
+    join decides.  The rows lie by id in as many partitions as the session has
+    for shuffles.
     """
     shared = bit_map(wanted, "id")
     src = docs.select(
@@ -256,15 +257,17 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
                 ["id", "size", "sketch", "parity", "set"],
             )
 
-    return src.mapInArrow(run, f"id {kind}, size long, sketch binary, parity array<long>, set binary").join(wanted, "id", "left_semi")
+    made = src.mapInArrow(run, f"id {kind}, size long, sketch binary, parity array<long>, set binary")
+    return made.repartition(parts(docs), "id").join(wanted, "id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose documents link: sketches, a few bytes in a
     hundred of the sets, first drop pairs that differ too much for certain.
 
-    Only the sets of documents in pairs travel, those of ``b`` first: where few
-    hubs meet many documents, the rows are then dealt by the document.
+    ``sets`` lie in buckets of their ids, so pairs go to the sets of ``b``, and
+    with these to those of ``a``: where few hubs meet many documents, the rows
+    are then dealt by the document, and only sets of ``b`` travel.
     """
 
     def near():
@@ -289,9 +292,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         inputs = [f"{k}{side}" for k in columns.values() for side in "ab"]
         joined = pairs
         for side in "ba":
-            wanted = cut(pairs.select(F.col(side).alias("id")).distinct())
-            met = sets.select("id", *columns).join(wanted, "id", "left_semi")
-            joined = joined.join(met.select(F.col("id").alias(side), *[F.col(c).alias(f"{k}{side}") for c, k in columns.items()]), side)
+            met = sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{k}{side}") for c, k in columns.items()])
+            joined = joined.join(met, side)
         return append(joined, inputs, "ok boolean", kernel, ["a", "b"]).where("ok").select("a", "b").distinct()
 
     close = freed(judged(cut(pairs), {"size": "n", "sketch": "x"}, near))
@@ -431,9 +433,11 @@ def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     one, two = ends(rest.where(F.col("n") <= small).join(sets.select("id", "parity"), "id"), "sig")
     few = one.join(two, "sig").where(open_pair)
     one, two = ends(cut(rarest(sets.join(crowded, "id"), percent, cells)), "token", "place")
-    # The smaller set of a pair needs fewer of its shingles: its partner is no smaller.
-    own = F.col("size_a") - F.ceil(F.lit(2 * percent) * F.col("size_a") / (100 + percent)) + 1
-    many = one.where(F.col("place_a") < own).join(two, "token").where(open_pair)
+    # Two sets that share so many shingles have one among the first of either that
+    # leave so many in it.  Told of the pair, not of a side, it lets one exchange serve both.
+    need = F.lit(percent) * (F.col("size_a") + F.col("size_b"))
+    leading = [(F.col(f"size_{k}") - F.col(f"place_{k}")) * (100 + percent) >= need for k in "ab"]
+    many = one.join(two, "token").where(open_pair & leading[0] & leading[1])
     return few.select("id_a", "id_b").union(many.select("id_a", "id_b")).distinct().toDF("a", "b")
 
 
@@ -462,13 +466,13 @@ def join(
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
     labels = cut(others.join(sizes, "id").select("id", "size", F.col("id").alias("label"), "others"))
     live = live.join(labels.select("id", "size", "others"), "id")
-    sets = freed(sets_of(docs, labels.select("id"), id_col, text_col, n))
     best = freed(connected(live, percent, hubs))
-    for place in range(hubs):
-        found = verified(across(best.where(F.col("place") == place), labels), sets, percent)
-        labels = relabelled(labels, freed(found))
-    left = remaining(live, labels, sets, percent, small, cells)
-    labels = relabelled(labels, cut(verified(left, sets, percent)))
+    with dealt(sets_of(docs, labels.select("id"), id_col, text_col, n), "id") as sets:
+        for place in range(hubs):
+            found = verified(across(best.where(F.col("place") == place), labels), sets, percent)
+            labels = relabelled(labels, freed(found))
+        left = remaining(live, labels, sets, percent, small, cells)
+        labels = relabelled(labels, cut(verified(left, sets, percent)))
     # A label is some class's representative; the component's id is the smallest.
     small = labels.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = (
