@@ -113,11 +113,17 @@ def bit_map(df: DataFrame, column: str):
     to one row, so the driver gets 1 row for each MAP_WORDS words at most and
     less than a MB in all, of any ``df``.
     """
+    return bits_at(df, spot(quoted(column)), MAP_BITS)
+
+
+def bits_at(df: DataFrame, place: Column, bits: int):
+    """A broadcast bit map of ``bits`` places (a multiple of 1024), with the bits
+    that ``place`` names set."""
     bit = F.expr("shiftleft(1L, b % 64)")
-    words = df.select(spot(quoted(column)).alias("b")).groupBy(F.expr("b div 64").cast("int").alias("w")).agg(F.bit_or(bit).alias("m"))
+    words = df.select(place.alias("b")).groupBy(F.expr("b div 64").cast("int").alias("w")).agg(F.bit_or(bit).alias("m"))
     parts = [F.max(F.when(F.col("w") % MAP_WORDS == k, F.col("m"))).alias(f"m{k}") for k in range(MAP_WORDS)]
     rows = words.groupBy(F.expr(f"w div {MAP_WORDS}").cast("int").alias("r")).agg(*parts).na.fill(0).toArrow()
-    found = np.zeros((MAP_BITS // 64 // MAP_WORDS, MAP_WORDS), "<i8")
+    found = np.zeros((bits // 64 // MAP_WORDS, MAP_WORDS), "<i8")
     for k in range(MAP_WORDS):
         found[rows["r"].to_numpy(), k] = rows[f"m{k}"].to_numpy()
     return df.sparkSession.sparkContext.broadcast(np.packbits(np.unpackbits(found.view(np.uint8).ravel(), bitorder="little")))

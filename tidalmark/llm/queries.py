@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, decontam, htmlwrap, langid, licenses, lm, mixing, simjoin, tokencount, toxicity
+from . import ann, decontam, htmlwrap, langid, licenses, linededup, lm, mixing, phrases, simjoin, tokencount, toxicity, variants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +90,31 @@ def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_dropped, kept_sha256."""
+    left = linededup.dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL["op11_line_dedup"] = linededup.ORACLE_SQL
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, n, n_near, form, form_n, root."""
+    return variants.group(table(spark, sf_dir, "documents"), slip=199)
+
+
+ORACLE_SQL["op12_spelling_variants"] = variants.ORACLE_SQL
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_collocations"] = phrases.ORACLE_SQL
