@@ -120,10 +120,11 @@ class Lists:
     @classmethod
     def postings(cls, block: Block) -> Lists:
         ids = np.concatenate(block.parts)
-        start = np.flatnonzero(ids)
+        block.parts = []
+        start = np.flatnonzero(ids).astype(np.int32)
         seeds = [xxhash.xxh64_intdigest(lang.encode(), 42) for lang in block.numbered]
         hashed = [0, *[xxhash.xxh64_intdigest(w, seeds[k]) for w, k in zip(block.words[1:], block.langs[1:], strict=True)]]
-        return cls(start, ids[start], np.arange(len(block.words))[:, None], np.array(hashed, np.uint64))
+        return cls(start, ids[start], np.arange(len(block.words), dtype=np.int32)[:, None], np.array(hashed, np.uint64))
 
     def frequent(self, bits: np.ndarray) -> Lists:
         """Those whose bit is set."""
@@ -141,10 +142,12 @@ class Lists:
         at = _met(self.start + size, postings.start)
         ok = behind & (at >= 0)
         pair = self.phrase[ok].astype(np.int64) * len(postings.words) + postings.phrase[at[ok]]
+        del behind, at
         found, phrase = np.unique(pair, return_inverse=True)
+        del pair
         old, word = np.divmod(found, len(postings.words))
         words = np.concatenate([self.words[old], postings.words[word]], axis=1)
-        return Lists(self.start[ok], phrase, words, _turned(self.hashed[old]) ^ postings.hashed[word])
+        return Lists(self.start[ok], phrase.astype(np.int32), words, _turned(self.hashed[old]) ^ postings.hashed[word])
 
     def lengths(self) -> np.ndarray:
         return np.bincount(self.phrase, minlength=len(self.words))
@@ -152,9 +155,11 @@ class Lists:
 
 def _met(places: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Where each of the ordered ``places`` stands in the ordered ``among``, or -1."""
-    at = np.searchsorted(among, places)
-    at[at == len(among)] = 0
-    return np.where(among[at] == places, at, -1) if len(among) else np.full(len(places), -1)
+    at = np.searchsorted(among, places).astype(np.int32)
+    at[at == len(among)] = -1
+    if len(among):
+        at[among[at] != places] = -1
+    return at
 
 
 def phrase_hash() -> Column:
@@ -174,11 +179,15 @@ def counts(docs: DataFrame, maps: list, least: int) -> DataFrame:
                 found = found.frequent(np.frombuffer(bits.value, np.uint8))
                 postings = found if k == 0 else postings
                 found = found.extended(postings)
+            postings = None
             yield from _sent(block, found, not maps)
+            del block, found  # before the next one is read
         pa.default_memory_pool().release_unused()
 
     small_batches(docs)
-    sums = docs.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    # Lists' lengths are sums of a block already; hardly any row meets its like in a task.
+    lengths = docs.mapInArrow(run, "lang string, phrase string, n long").repartition("lang", "phrase")
+    sums = lengths.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     return sums.where((F.col("n") >= least) | F.col("phrase").isNull())
 
 
