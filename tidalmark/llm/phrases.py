@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import bits_at, cut, quoted, raw, slices, small_batches
 
-BLOCK = 1 << 21
+BLOCK = 1 << 22
 BITS = 1 << 24
 SEGMENT = 2 << 20
 #: A byte that UTF-8 never has, for the end of a piece.
@@ -82,8 +82,9 @@ class Block:
         self.size += len(tokens)
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
-    """Blocks of the (lang, text) rows of a task."""
+def blocks(batches: Iterator[pa.RecordBatch], most: int, stretch: int) -> Iterator[Block]:
+    """Blocks of about ``most`` words of the (lang, text) rows of a task; so many
+    bytes of a text are taken apart at once."""
     block = Block()
     for batch in batches:
         for part in slices(batch, 1):
@@ -91,15 +92,15 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[Block]:
                 text, at = text.lower().translate(PIECES), 0
                 while at < len(text):
                     # A stretch ends behind a piece, or where none ends for long, behind a word.
-                    end = len(text) if len(text) - at <= SEGMENT else text.rfind(END, at, at + SEGMENT) + 1
+                    end = len(text) if len(text) - at <= stretch else text.rfind(END, at, at + stretch) + 1
                     whole = end > at
                     if not whole:
-                        found = [i for i in (text.find(c, at + SEGMENT) for c in (b" ", b"\t", END)) if i >= 0]
+                        found = [i for i in (text.find(c, at + stretch) for c in (b" ", b"\t", END)) if i >= 0]
                         end = min(found) if found else len(text)
                         whole = end == len(text)
                     block.add(lang, text[at:end].replace(END, b" \xff ").split(), whole)
                     at = end
-                    if whole and block.size >= BLOCK:
+                    if whole and block.size >= most:
                         yield block
                         block = Block()
     if block.size:
@@ -128,7 +129,7 @@ class Lists:
 
     def frequent(self, bits: np.ndarray) -> Lists:
         """Those whose bit is set."""
-        spot = (self.hashed & np.uint64(BITS - 1)).astype(np.int64)
+        spot = (self.hashed & np.uint64(bits.size * 8 - 1)).astype(np.int64)
         kept = (bits[spot >> 3] >> (7 - (spot & 7)) & 1).astype(bool)[self.phrase]
         return Lists(self.start[kept], self.phrase[kept], self.words, self.hashed)
 
@@ -167,21 +168,21 @@ def phrase_hash() -> Column:
     return F.expr("aggregate(split(phrase, ' '), 0L, (h, w) -> (shiftleft(h, 1) | shiftrightunsigned(h, 63)) ^ xxhash64(lang, w))")
 
 
-def counts(docs: DataFrame, maps: list, least: int) -> DataFrame:
+def counts(docs: DataFrame, maps: list, least: int, block: int = BLOCK, stretch: int = SEGMENT) -> DataFrame:
     """``lang, phrase, n`` of the phrases of ``len(maps) + 1`` words with ``least``
     occurrences, of which ``maps`` names the frequent ones by length.  For
     single words, a null phrase has the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
-            found = postings = Lists.postings(block)
+        for part in blocks(batches, block, stretch):
+            found = postings = Lists.postings(part)
             for k, bits in enumerate(maps):
                 found = found.frequent(np.frombuffer(bits.value, np.uint8))
                 postings = found if k == 0 else postings
                 found = found.extended(postings)
             postings = None
-            yield from _sent(block, found, not maps)
-            del block, found  # before the next one is read
+            yield from _sent(part, found, not maps)
+            del part, found  # before the next one is read
         pa.default_memory_pool().release_unused()
 
     small_batches(docs)
@@ -242,17 +243,20 @@ def mine(
     least: int = 10,
     percent: int = 50,
     top: int = 2000,
+    block: int = BLOCK,
+    stretch: int = SEGMENT,
+    bits: int = BITS,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``."""
     src = docs.select(F.coalesce(quoted(lang_col).cast("string"), F.lit("und")).alias("lang"), quoted(text_col).alias("text"))
     levels, maps = [], []
     for size in range(1, longest + 1):
-        found = cut(counts(src, maps, least))
+        found = cut(counts(src, maps, least, block, stretch))
         levels.append(found.where("phrase IS NOT NULL"))
         if size == 1:
             totals = found.where("phrase IS NULL").select("lang", "n")
         if size < longest:
-            maps.append(bits_at(levels[-1], phrase_hash().bitwiseAND(F.lit(BITS - 1)), BITS))
+            maps.append(bits_at(levels[-1], phrase_hash().bitwiseAND(F.lit(bits - 1)), bits))
     known = levels[0]
     for level in levels[1:-1]:
         known = known.unionByName(level)

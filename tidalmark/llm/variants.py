@@ -49,7 +49,7 @@ HELD = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 
 
-def vocabulary(docs: DataFrame, text_col: str, id_col: str, least: int, least_chars: int, slip: int) -> DataFrame:
+def vocabulary(docs: DataFrame, text_col: str, id_col: str, least: int, least_chars: int, slip: int, most: int = HELD) -> DataFrame:
     """``word, n``: the words that occur ``least`` times."""
     src = docs.select(F.coalesce(quoted(id_col).cast("string"), F.lit("")).alias("id"), quoted(text_col).alias("text"))
     runs = re.compile(f"[{LETTERS}]{{{max(1, least_chars)},}}")
@@ -69,7 +69,7 @@ def vocabulary(docs: DataFrame, text_col: str, id_col: str, least: int, least_ch
                         if len(word) > least_chars:
                             held[word[:at] + word[at + 1 :]] += n
                     held.update(own)
-                    if len(held) >= HELD:
+                    if len(held) >= most:
                         yield sent(held)
                         held.clear()
         if held:
@@ -185,9 +185,10 @@ def group(
     least_chars: int = 6,
     times: int = 5,
     slip: int = 0,
+    held: int = HELD,
 ) -> DataFrame:
     """``word, n, n_near, form, form_n, root`` of each word of the corpus."""
-    words = cut(vocabulary(docs, text_col, id_col, least, least_chars, slip))
+    words = cut(vocabulary(docs, text_col, id_col, least, least_chars, slip, held))
     found = cut(forms(words, times))
     whole = words.join(found, "word", "left").join(roots(found.where("form IS NOT NULL")), "word", "left")
     return whole.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))
