@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from .common import bits_at, cut, quoted, raw, slices, small_batches
 
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 BITS = 1 << 24
 SEGMENT = 2 << 20
 #: A byte that UTF-8 never has, for the end of a piece.
