@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -349,36 +347,3 @@ def fam_meta(spark, sf_dir):
     m = e.select("seq", masked.alias("masked"), latency.alias("latency_ms"))
     stale = F.col("latency_ms") > 1000
     return m.select("seq", "masked", "latency_ms", stale.alias("stale"), rnd(clip(1 - 0.5 * F.col("masked") / 2.0 - 0.2 * stale.cast("int"), 0.0, 1.0)).alias("confidence"))
-
-
-@query()
-def fam_cycle(spark, sf_dir):
-    """Hilbert phase over 64 bars, dominant period over 128, by Arrow batches of
-    windows that Spark has collected; trend and cycle parts by windows."""
-    b = feeds.bars(spark, sf_dir).select(
-        "symbol", "ts", "seq", "close", F.collect_list("close").over(last_n(W(), 128)).alias("xs"), gated(F.avg, "close", last_n(W(), 32), 32).alias("trend")
-    )
-
-    @F.pandas_udf("phase double, period double")
-    def spectrum(xs: pd.Series) -> pd.DataFrame:
-        phase, period = np.zeros(len(xs)), np.zeros(len(xs))
-        for i, x in enumerate(xs):
-            if len(x) >= 64:
-                y = np.asarray(x[-64:]) - np.mean(x[-64:])
-                f = np.fft.fft(y)
-                f[1:32] *= 2
-                f[33:] = 0
-                phase[i] = np.angle(np.fft.ifft(f)[-1])
-            if len(x) >= 128:
-                power = np.abs(np.fft.rfft(np.asarray(x) - np.mean(x))) ** 2
-                power[0] = 0
-                period[i] = 128 / max(1, int(power.argmax()))
-        return pd.DataFrame({"phase": phase, "period": period})
-
-    s = b.withColumn("s", spectrum("xs")).select("symbol", "seq", "ts", "close", "trend", "s.phase", "s.period")
-    step = F.col("phase") - F.lag("phase").over(W())
-    turn = step - 2 * math.pi * F.floor((step + math.pi) / (2 * math.pi))
-    return s.select(
-        "symbol", "seq", rnd("phase", 6).alias("phase"), rnd("period", 4).alias("period"), rnd(turn, 6).alias("frequency"), rnd("trend", 5).alias("trend"),
-        rnd(F.col("close") - F.col("trend"), 5).alias("cycle"),
-    )
