@@ -216,7 +216,9 @@ def test_smoothing_fills_forward_then_back(spark):
 def test_cycle_label_equals_brute_force(spark):
     x = walk(14, 400)
     x[[7, 8, 90]] = np.nan
-    got = by_key(cycle_label(frame(spark, {"a": x}).withColumnRenamed("x", "close"), rows=33), "a")
+    made = cycle_label(frame(spark, {"a": x, None: x}).withColumnRenamed("x", "close"), rows=33)
+    got = by_key(made, "a")
+    assert list(by_key(made, None)["label"]) == list(got["label"])
     v = np.round(pd.Series(x).ffill().bfill().rolling(5, min_periods=1).mean().to_numpy(), 9)
     want = np.where(np.gradient(v) < 0, 3, 1)
     for places, label in zip(brute_ladder(v)[0], (2, 0), strict=True):

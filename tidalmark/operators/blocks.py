@@ -56,8 +56,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
-    return functools.reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in columns])
+def joined(a: DataFrame, b: DataFrame, columns: list[str], how: str = "inner") -> DataFrame:
+    """``a`` with the other columns of ``b``, where ``columns`` are equal or both null."""
+    b = b.withColumnsRenamed({c: f"_{c}_" for c in columns})
+    same = functools.reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in columns])
+    return a.join(b, same, how).drop(*[f"_{c}_" for c in columns])
 
 
 def positioned(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
@@ -73,9 +76,9 @@ def positioned(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[
     laid = laid.withColumn("_part", F.shiftright("_at", 33))
     sizes = laid.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("s")
-    met = laid.alias("l").join(starts, _same(laid, starts, [*keys, "_part"]))
-    return met.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("l._at") - F.col("_first") + F.col("_before")).alias("_pos"))
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    met = joined(laid, starts, [*keys, "_part"])
+    return met.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_pos"))
 
 
 def blocks(
@@ -211,7 +214,7 @@ def scanned(
 
     reduced = made.mapInArrow(reduce, sums)
     states = scan(reduced, ["_sum", "_n"], "_state array<double>", lambda: [None], step, keys, ("_block",)).drop("_sum", "_n")
-    joined = made.join(states, _same(made, states, [*keys, "_block"])).select(*[made[c] for c in made.columns], "_state")
+    met = joined(made, states, [*keys, "_block"])
 
     def kernel(x: dict[str, np.ndarray], pos: np.ndarray, own: slice, before: np.ndarray) -> tuple:
         alone = recursion.states(x, pos)
@@ -219,7 +222,7 @@ def scanned(
             alone = recursion.after(np.broadcast_to(before, alone.shape), alone, np.arange(1, len(pos) + 1))
         return recursion.values(alone, x)
 
-    done = each_block(joined, keys, inputs, schema, kernel, rows, state=True)
+    done = each_block(met, keys, inputs, schema, kernel, rows, state=True)
     return done.select(*df.columns, *T.StructType.fromDDL(schema).names)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import ROWS, _inputs, _items, _same, blocks, each_block, positioned, windowed, written
+from .blocks import ROWS, _inputs, _items, blocks, each_block, joined, positioned, windowed, written
 from .scan import scan
 
 
@@ -89,9 +89,7 @@ def prominences(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[s
     left = _neighbours(table, keys, "_block", "_left", "_from_left")
     right = _neighbours(table, keys, "_back", "_right", "_from_right")
     state = F.concat(F.array(F.size("_from_left").cast("double")), "_from_left", "_from_right")
-    with_left = made.join(left, _same(made, left, [*keys, "_block"])).select(*[made[c] for c in made.columns], "_from_left")
-    joined = with_left.join(right, _same(with_left, right, [*keys, "_block"]))
-    joined = joined.select(*[with_left[c] for c in made.columns], state.alias("_state"))
+    met = joined(joined(made, left, [*keys, "_block"]), right, [*keys, "_block"]).select(*made.columns, state.alias("_state"))
 
     def kernel(x, pos, own, held):
         v, n = x[value], 1 + int(held[0])
@@ -99,7 +97,7 @@ def prominences(df: DataFrame, value: str, keys: tuple[str, ...], order: tuple[s
         right_low = stairs(v[::-1], _steps(held[n:].tolist()))[0][::-1]
         return left_low, right_low
 
-    done = each_block(joined, keys, [value], "left_low double, right_low double", kernel, rows, state=True)
+    done = each_block(met, keys, [value], "left_low double, right_low double", kernel, rows, state=True)
     return done.select(*df.columns, "left_low", "right_low")
 
 
@@ -184,7 +182,7 @@ def relaxed(found: DataFrame, spread: DataFrame, window: int = 30, share: float
     two of both.
     """
     distances = [max(1, int(window / d)) for d in DISTANCES]
-    marked = spaced(found, distances).join(spread, "symbol")
+    marked = joined(spaced(found, distances), spread, ["symbol"])
     rung = [(F.col(f"kept_{d}"), F.greatest(F.lit(1e-12), F.col("std") * share * k)) for d in distances for k in LOOSER]
     rung.append((F.lit(True), F.greatest(F.lit(1e-12), F.col("std") * (share * 0.05))))
     passes = [kept & (F.col("prominence") >= least) for kept, least in rung]
@@ -193,4 +191,4 @@ def relaxed(found: DataFrame, spread: DataFrame, window: int = 30, share: float
     ok = [F.least(f"p{k}", f"t{k}") >= 2 for k in range(len(rung))]
     first = F.coalesce(*[F.when(c, F.lit(k)) for k, c in enumerate(ok)])
     chosen = marked.groupBy("symbol").agg(*sums).select("symbol", F.coalesce(first, F.lit(len(rung) - 1)).alias("rung"), first.isNotNull().alias("enough"))
-    return marked.join(chosen, "symbol").where(F.col("passes")[F.col("rung")]).select(*found.columns, "rung", "enough")
+    return joined(marked, chosen, ["symbol"]).where(F.col("passes")[F.col("rung")]).select(*found.columns, "rung", "enough")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
-from ..operators.blocks import ROWS, Adjusted, Last, Linear, positioned, scanned, windowed
+from ..operators.blocks import ROWS, Adjusted, Last, Linear, joined, positioned, scanned, windowed
 from ..operators.peaks import peaks, relaxed, spaced
 from ..sources import feeds
 from ..sources.feeds import BARS_SQL, TRADES_SQL
@@ -179,7 +179,7 @@ def smoothed(df: DataFrame, window: int = 5, rows: int = ROWS) -> DataFrame:
     then back to the first; 9 digits, so that equal means are equal."""
     filled = scanned(df, ["close"], "last double", Last("close"), rows=rows)
     first = filled.groupBy("symbol").agg(F.min_by("last", F.struct(F.isnan("last") | F.col("last").isNull(), "ts", "seq")).alias("first"))
-    whole = filled.join(first, "symbol").withColumn("last", F.coalesce("last", "first")).drop("first")
+    whole = joined(filled, first, ["symbol"]).withColumn("last", F.coalesce("last", "first")).drop("first")
 
     def mean(x, pos, own):
         padded = np.concatenate([np.zeros(window), x["last"]])
@@ -211,7 +211,7 @@ def cycle_label(df: DataFrame, window: int = 30, smooth: int = 5, share: float =
 
     sloped = windowed(made, ["smooth"], "falls boolean", falls, back=1, ahead=1, rows=rows)
     label = F.when(F.col("close").isNull(), 0).when(F.col("kind") == -1, 0).when(F.col("kind") == 1, 2).when(F.col("falls"), 3).otherwise(1)
-    return sloped.join(marks, ["symbol", "_pos"], "left").select(*df.columns, label.alias("label"))
+    return joined(sloped, marks, ["symbol", "_pos"], "left").select(*df.columns, label.alias("label"))
 
 
 SMOOTH_SQL = BARS_SQL + """,

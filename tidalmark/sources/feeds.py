@@ -107,10 +107,10 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Option quotes: symbol, ts (month), strike, tte, kind, oi, volume, iv, bid_iv, ask_iv, spot, seq."""
+    """Option quotes: symbol, ts (month), strike, tte, kind, oi, volume, iv, bid_iv, ask_iv, spot, seq, premium."""
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
-    spots = li.groupBy(F.lit(1).alias("_one")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("spot")).drop("_one")
-    spot = spots.first()
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    spot = li.agg(F.avg(price)).scalar()
     return li.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.col("p_brand").alias("symbol"),
         F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("ts"),
@@ -122,8 +122,9 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") + 0.2).alias("iv"),
         (F.col("l_discount") + 0.2 - F.col("l_tax") / 10.0).alias("bid_iv"),
         (F.col("l_discount") + 0.2 + F.col("l_tax") / 10.0).alias("ask_iv"),
-        F.round(F.lit(spot["spot"] if spot else None), 4).alias("spot"),
+        F.round(spot, 4).alias("spot"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
+        price.alias("premium"),
     )
 
 
@@ -143,5 +144,5 @@ DAILY_SQL = """daily AS (SELECT date_trunc('day', o_orderdate) AS ts, arg_min(o_
 CHAIN_SQL = """chain AS (SELECT p_brand AS symbol, date_trunc('month', l_shipdate) AS ts, p_retailprice AS strike, CAST(p_size AS DOUBLE) AS tte,
   CASE WHEN l_linestatus = 'O' THEN 'call' ELSE 'put' END AS kind, l_quantity AS oi, l_quantity AS volume, l_discount + 0.2 AS iv,
   l_discount + 0.2 - l_tax / 10.0 AS bid_iv, l_discount + 0.2 + l_tax / 10.0 AS ask_iv,
-  (SELECT round(avg(l_extendedprice / l_quantity), 4) FROM lineitem) AS spot, l_orderkey * 10 + l_linenumber AS seq
-  FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  (SELECT round(avg(l_extendedprice / l_quantity), 4) FROM lineitem) AS spot, l_orderkey * 10 + l_linenumber AS seq,
+  l_extendedprice / l_quantity AS premium FROM lineitem JOIN part ON l_partkey = p_partkey)"""
