@@ -65,6 +65,14 @@ def bfill(x: Column | str, *keys: str, by: tuple[str, ...] = ("ts", "seq")) -> C
     return ffill(x, Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in by]))
 
 
+def corr(x: Column | str, y: Column | str, frame: WindowSpec) -> Column:
+    """Correlation over the frame, of rows that have both; null where one does not
+    vary (Spark's own divides by zero there)."""
+    a, b = F.when(col(y).isNotNull(), col(x)), F.when(col(x).isNotNull(), col(y))
+    spread = F.stddev_pop(a).over(frame) * F.stddev_pop(b).over(frame)
+    return F.try_divide(F.covar_pop(a, b).over(frame), F.when(spread > 0, spread))
+
+
 def skew(x: Column | str, frame: WindowSpec, n: int) -> Column:
     """Bias-corrected skewness over a full window of ``n``."""
     return F.when(F.count(col(x)).over(frame) >= n, F.skewness(col(x)).over(frame) * math.sqrt(n * (n - 1)) / (n - 2))

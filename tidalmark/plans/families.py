@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, ffill, gated, last_n, norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql, ordered, rnd, sdiv, so_far
+from ..functions.expr import clip, corr, ffill, gated, last_n, norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql, ordered, rnd, sdiv, so_far
+from ..operators.blocks import windowed
 from ..sources import feeds
 from ..sources.feeds import BARS_SQL, CHAIN_SQL, LEVELS, TRADES_SQL
 from .registry import query
@@ -50,7 +52,7 @@ def price_features(q: DataFrame, jump: float = 0.05, sweep_volume: float = 90.0,
         rnd(change("ask")).alias("ask_return"), rnd(change("mid")).alias("mid_return"),
         F.coalesce(F.signum(F.col("last") - F.col("last1")), F.lit(0.0)).cast("int").alias("tick_direction"), rnd(F.abs(ret)).alias("micro_volatility"),
         (F.abs(ret) > jump).alias("jump_flag"), rnd(sdiv(spread, "mid")).alias("slippage"), rnd(fair, 5).alias("micro_fair"), rnd(imbalance).alias("imbalance"),
-        rnd(ret * imbalance).alias("imbalance_return"), ((F.col("volume") >= sweep_volume) & (turn >= sweep_spread)).alias("sweep_flag"),
+        rnd(ret * F.col("volume") * F.col("aggressor")).alias("imbalance_return"), ((F.col("volume") >= sweep_volume) & (turn >= sweep_spread)).alias("sweep_flag"),
     )
 
 
@@ -59,7 +61,7 @@ def price_features(q: DataFrame, jump: float = 0.05, sweep_volume: float = 90.0,
   round(coalesce((bid - b1) / nullif(b1, 0), 0), 6) AS bid_return, round(coalesce((ask - a1) / nullif(a1, 0), 0), 6) AS ask_return, round(coalesce((mid - m1) / nullif(m1, 0), 0), 6) AS mid_return,
   CAST(coalesce(sign(last - l1), 0) AS INTEGER) AS tick_direction, round(abs(coalesce((last - l1) / nullif(l1, 0), 0)), 6) AS micro_volatility,
   abs(coalesce((last - l1) / nullif(l1, 0), 0)) > 0.05 AS jump_flag, round((ask - bid) / mid, 6) AS slippage, round((bid * ask_size + ask * bid_size) / (bid_size + ask_size), 5) AS micro_fair,
-  round((bid_size - ask_size) / (bid_size + ask_size), 6) AS imbalance, round(coalesce((last - l1) / nullif(l1, 0), 0) * (bid_size - ask_size) / (bid_size + ask_size), 6) AS imbalance_return,
+  round((bid_size - ask_size) / (bid_size + ask_size), 6) AS imbalance, round(coalesce((last - l1) / nullif(l1, 0), 0) * volume * aggressor, 6) + 0.0 AS imbalance_return,
   volume >= 90 AND coalesce(abs((ask - bid) - (a1 - b1)), 0) >= 0.05 AS sweep_flag FROM p"""
 )
 def fam_price(spark, sf_dir):
@@ -67,8 +69,12 @@ def fam_price(spark, sf_dir):
 
 
 def book_features(book: DataFrame, order=("seq",), key: str | None = None, levels: int = LEVELS) -> DataFrame:
-    """Depth, imbalance, slopes, entropy and changes from level arrays."""
-    w = Window.partitionBy(key or F.pmod(F.col("seq"), F.lit(16))).orderBy(*order)
+    """Depth, imbalance, slopes, entropy and changes from level arrays.
+
+    Without a key the table is one series; it lies in blocks either way.
+    """
+    series = key or "_book"
+    book = book if key else book.withColumn(series, F.lit(0))
     arr = lambda name: F.array(*[F.coalesce(f"{name}_{k}", F.lit(0.0)) for k in range(levels)])
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     weights = [1.0 / (k + 1) for k in range(levels)]
@@ -83,9 +89,11 @@ def book_features(book: DataFrame, order=("seq",), key: str | None = None, level
     near_b, near_a = dot("_b", weights), dot("_a", weights)
     entropy = F.when(F.col("depth") > 0, -F.aggregate(share, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.ln(p)).otherwise(0.0))).otherwise(0.0)
     bid_slope, ask_slope = dot("_b", [s / norm for s in steps]), dot("_a", [s / norm for s in steps])
-    d = lambda c: F.col(c) - F.lag(c, 1, 0.0).over(w)
-    before = F.lag(F.col("top_bid") + F.col("top_ask")).over(w)
-    turnover = F.try_divide(F.abs(F.col("top_bid") - F.lag("top_bid").over(w)) + F.abs(F.col("top_ask") - F.lag("top_ask").over(w)), F.nullif(before, F.lit(0.0)))
+    last = ["top_bid", "top_ask", "imbalance"]
+    b = windowed(b, last, ", ".join(f"{c}_1 double" for c in last), lambda x, pos, own: tuple(np.append(np.nan, x[c][:-1])[own] for c in last), (series,), order, back=1)
+    d = lambda c: F.col(c) - F.coalesce(f"{c}_1", F.lit(0.0))
+    before = F.col("top_bid_1") + F.col("top_ask_1")
+    turnover = F.try_divide(F.abs(F.col("top_bid") - F.col("top_bid_1")) + F.abs(F.col("top_ask") - F.col("top_ask_1")), F.nullif(before, F.lit(0.0)))
     top3 = lambda c: total(F.slice(c, 1, 3))
     return b.select(
         *([key] if key else []), "seq", rnd("bids").alias("depth_bid"), rnd("asks").alias("depth_ask"), rnd("imbalance").alias("imbalance"),
@@ -116,10 +124,10 @@ SELECT seq, round(bids, 6) AS depth_bid, round(asks, 6) AS depth_ask, round(imb,
   round(bs, 6) + 0.0 AS bid_slope, round(sa, 6) + 0.0 AS ask_slope, round(bs - sa, 6) + 0.0 AS curvature, round(coalesce((b0 + b1 + b2 - a0 - a1 - a2) / nullif(depth, 0), 0), 6) AS depth_skew,
   round(CASE WHEN depth > 0 THEN -{_ENT} ELSE 0 END, 5) + 0.0 AS entropy, round(b0 - lag(b0, 1, 0.0) OVER w, 6) AS queue_change_bid, round(a0 - lag(a0, 1, 0.0) OVER w, 6) AS queue_change_ask,
   round(imb - lag(imb, 1, 0.0) OVER w, 6) AS imbalance_momentum, round(coalesce((abs(b0 - lag(b0) OVER w) + abs(a0 - lag(a0) OVER w)) / nullif(lag(b0 + a0) OVER w, 0), 0), 6) AS turnover
-FROM i WINDOW w AS (PARTITION BY seq % 16 ORDER BY seq)"""
+FROM i WINDOW w AS (ORDER BY seq)"""
 )
 def fam_book(spark, sf_dir):
-    """Sixteen books by order key, so that no window holds all rows."""
+    """One book by order key."""
     return book_features(feeds.book(spark, sf_dir))
 
 
@@ -299,7 +307,7 @@ def fam_cross(spark, sf_dir):
     )
     return r.select(
         "ts", "i", rnd(d).alias("spread"), rnd(change).alias("basis_change"), rnd(change / seconds, 9).alias("basis_velocity"), rnd(F.avg("f").over(last_n(o, 8))).alias("funding_8h"),
-        rnd(F.corr("ra", "rb").over(last_n(o, 24)), 4).alias("corr_24"),
+        rnd(corr("ra", "rb", last_n(o, 24)), 4).alias("corr_24"),
     ).where("i > 24").drop("i")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import bfill, clip, ffill, gated, kurt, last_n, ordered, past_n, rnd, sdiv, skew, so_far, weighted_mean
+from ..functions.expr import bfill, clip, corr, ffill, gated, kurt, last_n, ordered, past_n, rnd, sdiv, skew, so_far, weighted_mean
 from ..sources import feeds
 from ..sources.feeds import BARS_SQL, TRADES_SQL
 from .registry import query
@@ -125,7 +125,7 @@ def moments(spark, sf_dir):
     )
     f24, f30 = last_n(W(), 24), last_n(W(), 30)
     return r.select(
-        "symbol", "ts", rnd(F.when(F.count("r").over(f24) >= 24, F.corr("r", "dv").over(f24)), 4).alias("corr_24"),
+        "symbol", "ts", rnd(F.when(F.count("r").over(f24) >= 24, corr("r", "dv", f24)), 4).alias("corr_24"),
         rnd(skew("r", f30, 30), 4).alias("skew_30"), rnd(kurt("r", f30, 30), 3).alias("kurt_30"),
     )
 
@@ -200,7 +200,7 @@ def entropy_autocorr(spark, sf_dir):
     entropy = -(parts[0] + parts[1] + parts[2]) / F.log2(F.lit(3.0))
     g = r.select("symbol", "ts", "seq", "r", F.lag("r").over(W()).alias("r1"), F.count("r").over(f).alias("n"), entropy.alias("e"))
     full = F.col("n") >= 20
-    return g.select("symbol", "ts", rnd(F.when(full, F.col("e")), 5).alias("entropy"), rnd(F.when(full, F.corr("r1", "r").over(last_n(W(), 19))), 4).alias("autocorr"))
+    return g.select("symbol", "ts", rnd(F.when(full, F.col("e")), 5).alias("entropy"), rnd(F.when(full, corr("r1", "r", last_n(W(), 19))), 4).alias("autocorr"))
 
 
 @query(
