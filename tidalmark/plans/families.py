@@ -282,7 +282,7 @@ def fam_technical(spark, sf_dir):
 
 @query(
     f"""WITH {TRADES_SQL}, h AS (SELECT date_trunc('hour', ts) AS ts, avg(price) FILTER (symbol = 'S1') AS a, avg(price) FILTER (symbol = 'S2') AS b,
-  avg(price) FILTER (symbol = 'S3') AS perp, avg(size) AS f FROM trades GROUP BY 1),
+  avg(price) FILTER (symbol = 'S3') AS perp, (avg(size) - 50) / 1000 AS f FROM trades GROUP BY 1),
 f AS (SELECT ts, last_value(a IGNORE NULLS) OVER c AS a, last_value(b IGNORE NULLS) OVER c AS b,
   last_value(perp IGNORE NULLS) OVER c - last_value(a IGNORE NULLS) OVER c AS basis, f FROM h WINDOW c AS (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 r AS (SELECT *, ln(a) - ln(lag(a) OVER o) AS ra, ln(b) - ln(lag(b) OVER o) AS rb, row_number() OVER o AS i FROM f WHERE a IS NOT NULL AND b IS NOT NULL WINDOW o AS (ORDER BY ts)),
@@ -292,11 +292,14 @@ x AS (SELECT ts, i, round(a - b, 6) AS spread, round(basis - lag(basis) OVER (OR
 SELECT ts, spread, basis_change, basis_velocity, funding_8h, corr_24 FROM x WHERE i > 24"""
 )
 def fam_cross(spark, sf_dir):
-    """Two assets and the first one's perpetual by hour: bounded by hours, so one window over the hours."""
+    """Two assets and the first one's perpetual by hour: bounded by hours, so one window over the hours.
+
+    The tables have no perpetual: S3 stands in for that of S1, the mean size less 50, in thousands, for its funding rate.
+    """
     t = feeds.trades(spark, sf_dir)
     h = t.groupBy(F.date_trunc("hour", "ts").alias("ts")).agg(
         F.avg(F.when(F.col("symbol") == "S1", F.col("price"))).alias("a"), F.avg(F.when(F.col("symbol") == "S2", F.col("price"))).alias("b"),
-        F.avg(F.when(F.col("symbol") == "S3", F.col("price"))).alias("perp"), F.avg("size").alias("f"),
+        F.avg(F.when(F.col("symbol") == "S3", F.col("price"))).alias("perp"), ((F.avg("size") - 50) / 1000).alias("f"),
     )
     o = Window.partitionBy(F.lit(0)).orderBy("ts")
     f = h.select("ts", ffill("a", o).alias("a"), ffill("b", o).alias("b"), (ffill("perp", o) - ffill("a", o)).alias("basis"), "f").where("a IS NOT NULL AND b IS NOT NULL")
