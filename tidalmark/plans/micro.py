@@ -125,7 +125,8 @@ def micro_features(
     return m.select("symbol", F.col("b").alias("bar"), *[v.alias(f"ms_{k}") for k, v in out.items()])
 
 
-BAR, FINE, COARSE, SPAN = 14400, 300, 2400, 14400
+#: Of the queries, as the events lie half an hour apart.
+BAR, FINE, COARSE, SPAN, LARGE = 14400, 3600, 2400, 14400, 1.8
 _BID = [f"size * ((seq + {i}) % 7)" for i in range(1, 6)]
 _ASK = [f"size * ((seq * 3 + {i}) % 5)" for i in range(1, 6)]
 _IMB = ",\n  ".join(f"coalesce(({b} - {a}) / nullif({b} + {a}, 0), 0) AS i{i}" for i, (b, a) in enumerate(zip(_BID, _ASK, strict=True), 1))
@@ -150,7 +151,7 @@ fw AS (SELECT fg.symbol, fg.g, coalesce(v, 0) AS v, avg(coalesce(v, 0)) OVER w A
   WINDOW w AS (PARTITION BY fg.symbol ORDER BY fg.g ROWS 59 PRECEDING)),
 sw AS (SELECT symbol, g // {BAR // FINE} AS b, max(CASE WHEN s > 1e-4 AND abs(v - m) / s > 3 THEN 1 ELSE 0 END) AS sweep FROM fw GROUP BY 1, 2),
 us AS (SELECT *, avg(size) OVER (PARTITION BY symbol ORDER BY epoch_us(ts) RANGE BETWEEN {SPAN * 1000000 - 1} PRECEDING AND CURRENT ROW) AS usual FROM t),
-ab AS (SELECT symbol, CAST(floor(e / {COARSE}) AS BIGINT) AS c, max(CASE WHEN size > 5 * CASE WHEN usual = 0 THEN 1 ELSE usual END THEN 1 ELSE 0 END) AS absorbed FROM us GROUP BY 1, 2),
+ab AS (SELECT symbol, CAST(floor(e / {COARSE}) AS BIGINT) AS c, max(CASE WHEN size > {LARGE} * CASE WHEN usual = 0 THEN 1 ELSE usual END THEN 1 ELSE 0 END) AS absorbed FROM us GROUP BY 1, 2),
 al AS (SELECT symbol, max(c) AS last FROM ab GROUP BY symbol),
 d0 AS (SELECT symbol, ts, seq, CAST(floor(e / {COARSE}) AS BIGINT) AS c, {_BID[0]} AS top, {_IMB}, coalesce((({_BS}) - ({_AS})) / nullif(({_BS}) + ({_AS}), 0), 0) AS vs,
   coalesce((({_BW}) - ({_AW})) / nullif(({_BW}) + ({_AW}), 0), 0) AS bp, coalesce(((price - 0.5) * {_BID[0]} - (price + 0.5) * {_ASK[0]}) / nullif((price - 0.5) * {_BID[0]} + (price + 0.5) * {_ASK[0]}, 0), 0) AS tp,
@@ -174,6 +175,6 @@ SELECT symbol, b AS bar, round(spread, 6) AS ms_spread, round((high + low) / 2,
 FROM l WINDOW s60 AS (PARTITION BY symbol ORDER BY b ROWS 59 PRECEDING), w3 AS (PARTITION BY symbol ORDER BY b ROWS 2 PRECEDING), w5 AS (PARTITION BY symbol ORDER BY b ROWS 4 PRECEDING)"""
 )
 def ms_features(spark, sf_dir):
-    r = micro_features(feeds.trades(spark, sf_dir), depth(spark, sf_dir), BAR, FINE, COARSE, SPAN)
+    r = micro_features(feeds.trades(spark, sf_dir), depth(spark, sf_dir), BAR, FINE, COARSE, SPAN, large=LARGE)
     whole = ["symbol", "bar", "ms_trade_count", "ms_vol", "ms_buy_vol", "ms_sell_vol", "ms_cum_delta", "ms_microtrend_vector", "ms_spoof_rate", "ms_sweep_flag", "ms_absorption_flag"]
     return r.select(*whole, *[rnd(c, 5 if c in ("ms_spread_z", "ms_micro_divergence") else 6).alias(c) for c in r.columns if c not in whole])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql, rnd, sdiv
@@ -67,6 +67,14 @@ def option_windows(lookbacks: tuple[int, ...] = LOOKBACKS, short: int = 5, long:
     return kernel
 
 
+def d1_of(quotes: DataFrame) -> tuple[Column, Column, Column]:
+    """The first argument of the normal distribution, the deviation over the rest of
+    the time, and that time in years; ``tte`` is in months."""
+    t = F.greatest(F.col("tte") / 12.0, F.lit(1e-12))
+    sigma = F.greatest("iv", F.lit(1e-12))
+    return (F.ln(F.col("spot") / F.col("strike")) + 0.5 * sigma * sigma * t) / (sigma * F.sqrt(t)), sigma * F.sqrt(t), t
+
+
 def option_features(quotes: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, notional: float = 1e6, rows: int = ROWS) -> DataFrame:
     """``quotes`` with the features of each row; ``tte`` is in months.  The series of a symbol are its rows
     in ``ORDER``, whatever the instrument; term slope, skew and total gamma
@@ -77,9 +85,8 @@ def option_features(quotes: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, n
     # The crush is compared with those of 30 rows, each of which looks back 30 rows.
     back = max(60, max(lookbacks) - 1)
     made = windowed(q, ["iv", "ratio", "oi", "seconds"], schema, option_windows(lookbacks), order=ORDER, back=back, rows=max(rows, back))
-    t = F.greatest(F.col("tte") / 12.0, F.lit(1e-12))
-    sigma = F.greatest("iv", F.lit(1e-12))
-    made = made.withColumns({"root": sigma * F.sqrt(t), "d1": (F.ln(F.col("spot") / F.col("strike")) + 0.5 * sigma * sigma * t) / (sigma * F.sqrt(t)), "t": t})
+    d1, root, t = d1_of(made)
+    made = made.withColumns({"root": root, "d1": d1, "t": t})
     made = made.withColumns({"nd": norm_cdf(F.col("d1")), "pdf": norm_pdf(F.col("d1"))})
     made = made.withColumns({
         "delta": F.when(F.col("kind") == "call", F.col("nd")).otherwise(F.col("nd") - 1.0), "gamma": F.col("pdf") / (F.col("spot") * F.col("root")),
@@ -102,6 +109,11 @@ def _ranks_sql() -> str:
     return ",\n  ".join(part.format(n=n) for n in LOOKBACKS)
 
 
+def around_spot(chain: DataFrame) -> DataFrame:
+    """Five times the strikes, which then lie around the spot."""
+    return chain.withColumn("strike", F.col("strike") * 5)
+
+
 @query(
     f"""WITH {CHAIN_SQL},
 a AS (SELECT *, coalesce(premium / nullif(spot, 0), 0) AS ratio, greatest(tte / 12.0, 1e-12) AS t, avg(iv) OVER w5 AS near, avg(iv) OVER w30 AS far,
@@ -111,7 +123,7 @@ a AS (SELECT *, coalesce(premium / nullif(spot, 0), 0) AS ratio, greatest(tte /
   w90 AS (PARTITION BY symbol ORDER BY ts, seq, strike, premium ROWS 89 PRECEDING), w252 AS (PARTITION BY symbol ORDER BY ts, seq, strike, premium ROWS 251 PRECEDING)),
 b AS (SELECT *, CASE WHEN (far - near) / far > 1e-12 THEN (far - near) / far ELSE 0 END AS crush, CASE WHEN (near - far) / far > 1e-12 THEN (near - far) / far ELSE 0 END AS expand,
   (ratio - avg(ratio) OVER w30) / CASE WHEN stddev_samp(ratio) OVER w30 > 1e-12 THEN stddev_samp(ratio) OVER w30 END AS z,
-  (ln(spot / strike) + 0.5 * iv * iv * t) / (iv * sqrt(t)) AS d1 FROM a WINDOW w30 AS (PARTITION BY symbol ORDER BY ts, seq, strike, premium ROWS 29 PRECEDING)),
+  (ln(spot / (strike * 5)) + 0.5 * iv * iv * t) / (iv * sqrt(t)) AS d1 FROM a WINDOW w30 AS (PARTITION BY symbol ORDER BY ts, seq, strike, premium ROWS 29 PRECEDING)),
 c AS (SELECT *, {norm_cdf_sql('d1')} AS nd, {norm_pdf_sql('d1')} AS pdf, max(crush) OVER w30 AS mc, max(expand) OVER w30 AS me FROM b WINDOW w30 AS (PARTITION BY symbol ORDER BY ts, seq, strike, premium ROWS 29 PRECEDING)),
 e AS (SELECT symbol, ts, tte, avg(iv) AS iv, row_number() OVER (PARTITION BY symbol, ts ORDER BY tte) AS k FROM chain GROUP BY symbol, ts, tte),
 s AS (SELECT symbol, ts, max(iv) FILTER (WHERE k = 2) - max(iv) FILTER (WHERE k = 1) AS slope FROM e GROUP BY symbol, ts),
@@ -124,7 +136,7 @@ SELECT c.symbol, c.seq, round(ratio, 6) AS prem_pct, round(z, 5) AS prem_z, iv_r
 FROM c JOIN s ON s.symbol = c.symbol AND s.ts = c.ts JOIN x ON x.symbol = c.symbol AND x.ts = c.ts"""
 )
 def opt_features(spark, sf_dir):
-    r = option_features(feeds.chain(spark, sf_dir))
+    r = option_features(around_spot(feeds.chain(spark, sf_dir)))
     digits = {"prem_z": 5, "oi_per_sec": 8, "gamma": 8, "vega": 4, "theta": 4, "gex_total": 4, "gex_norm": 8}
     names = ["prem_z", *[f"iv_{k}_{n}" for n in LOOKBACKS for k in ("rank", "pct")], "oi_change", "oi_per_sec", "delta", "gamma", "vega", "theta", "gex", "gex_total", "gex_norm", "term_slope", "skew_index"]
     return r.select(
