@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import last_n, ordered, rnd, sdiv, so_far
+from ..operators import prepare
 from ..sources import feeds
 from ..sources.feeds import BARS_SQL, TRADES_SQL
 from .registry import query
@@ -167,3 +168,45 @@ def direction_model(spark, sf_dir):
     model = Pipeline(stages=stages).fit(rows.where(older))
     auc = BinaryClassificationEvaluator().evaluate(model.transform(rows.where(~older)))
     return model.transform(rows).groupBy("symbol").agg(F.count("*").alias("n"), F.avg("prediction").alias("share_up")).withColumn("auc", F.lit(auc))
+
+
+def bar_features(spark, sf_dir):
+    """Returns over one and three bars, imbalance, distance to the mean, range and logarithm of the volume; null where there is no past."""
+    c = F.col("close")
+    return feeds.bars(spark, sf_dir).select(
+        "symbol", "seq", (c / F.lag("close").over(W()) - 1).alias("r1"), (c / F.lag("close", 3).over(W()) - 1).alias("r3"), sdiv("signed", "volume").alias("imb"),
+        (c / F.avg("close").over(last_n(W(), 20)) - 1).alias("gap"), ((F.col("high") - F.col("low")) / c).alias("span"), F.ln("volume").alias("heft"),
+    )
+
+
+BAR_FEATURES = ["r1", "r3", "imb", "gap", "span", "heft"]
+BAR_FEATURES_SQL = BARS_SQL + """, x AS (SELECT symbol, seq, close / lag(close) OVER w - 1 AS r1, close / lag(close, 3) OVER w - 1 AS r3, coalesce(signed / nullif(volume, 0), 0) AS imb,
+  close / avg(close) OVER (PARTITION BY symbol ORDER BY seq ROWS 19 PRECEDING) - 1 AS gap, (high - low) / close AS span, ln(volume) AS heft FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY seq))"""
+
+
+@query()
+def principal_components(spark, sf_dir):
+    """Median fills, scales, and as many components as keep 0.99 of the variance."""
+    rows = bar_features(spark, sf_dir)
+    made = prepare.fit(rows, BAR_FEATURES, components=0.99)
+    return made.transform(rows, ["symbol", "seq"])
+
+
+@query(
+    f"""WITH {BAR_FEATURES_SQL}, f AS (SELECT median(r1) AS r1, median(r3) AS r3, median(imb) AS imb, median(gap) AS gap, median(span) AS span, median(heft) AS heft FROM x),
+y AS (SELECT symbol, seq, """
+    + ", ".join(f"coalesce(x.{c}, f.{c}) AS {c}" for c in BAR_FEATURES)
+    + """ FROM x CROSS JOIN f) SELECT symbol, seq, """
+    + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0.0 AS {c}" for c in BAR_FEATURES)
+    + " FROM y"
+)
+def scaled_features(spark, sf_dir):
+    rows = bar_features(spark, sf_dir)
+    made = prepare.fit(rows, BAR_FEATURES).transform(rows, ["symbol", "seq"])
+    return made.select("symbol", "seq", *[rnd(c).alias(c) for c in BAR_FEATURES])
+
+
+@query(f"""WITH {BAR_FEATURES_SQL} SELECT symbol, seq, round(1 / (1 + exp(-(0.05 + 2.5 * r1 - 1.25 * imb + 0.5 * gap))), 6) AS probability FROM x""")
+def linear_predictions(spark, sf_dir):
+    made = prepare.linear_score(bar_features(spark, sf_dir), {"bias": 0.05, "weights": {"r1": 2.5, "imb": -1.25, "gap": 0.5}})
+    return made.select("symbol", "seq", rnd("probability").alias("probability"))
