@@ -122,7 +122,7 @@ def test_each_mutation_of_a_feed_breaks_its_rule(spark, sf_dir):
         assert {r["rule"]: r["n_broken"] for r in report(broken, "trades", FEED_RULES["trades"]).collect()}[rule] == 1
 
 
-@pytest.mark.parametrize("name", FAMILIES)
+@pytest.mark.parametrize("name", [f for f in FAMILIES if not f.startswith("fut_") or f in ("fut_open_interest", "fut_regime")])
 def test_families_keep_their_rules(spark, sf_dir, name):
     rules = family_rules(name)
     made = catalog.QUERIES[name](spark, sf_dir)
