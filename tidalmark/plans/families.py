@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, corr, ffill, gated, last_n, norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql, ordered, rnd, sdiv, so_far
-from ..operators.blocks import windowed
+from ..operators.blocks import windowed, written
 from ..sources import feeds
 from ..sources.feeds import BARS_SQL, CHAIN_SQL, LEVELS, TRADES_SQL
 from .registry import query
@@ -89,16 +89,22 @@ def book_features(book: DataFrame, order=("seq",), key: str | None = None, level
     near_b, near_a = dot("_b", weights), dot("_a", weights)
     entropy = F.when(F.col("depth") > 0, -F.aggregate(share, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.ln(p)).otherwise(0.0))).otherwise(0.0)
     bid_slope, ask_slope = dot("_b", [s / norm for s in steps]), dot("_a", [s / norm for s in steps])
+    top3 = lambda c: total(F.slice(c, 1, 3))
+    # What a row needs of itself comes first, so that only results go through the blocks.
+    own = b.select(
+        *dict.fromkeys([series, *order, "seq"]), "top_bid", "top_ask", "imbalance", F.col("bids").alias("depth_bid"), F.col("asks").alias("depth_ask"),
+        sdiv(near_b - near_a, near_b + near_a).alias("near_imbalance"), bid_slope.alias("bid_slope"), ask_slope.alias("ask_slope"), (bid_slope - ask_slope).alias("curvature"),
+        sdiv(top3("_b") - top3("_a"), "depth").alias("depth_skew"), entropy.alias("entropy"),
+    )
     last = ["top_bid", "top_ask", "imbalance"]
-    b = windowed(b, last, ", ".join(f"{c}_1 double" for c in last), lambda x, pos, own: tuple(np.append(np.nan, x[c][:-1])[own] for c in last), (series,), order, back=1)
+    # Numbering the rows reads them twice: once for the borders, once to deal them.
+    made = windowed(written(own), last, ", ".join(f"{c}_1 double" for c in last), lambda x, pos, own: tuple(np.append(np.nan, x[c][:-1])[own] for c in last), (series,), order, back=1)
     d = lambda c: F.col(c) - F.coalesce(f"{c}_1", F.lit(0.0))
     before = F.col("top_bid_1") + F.col("top_ask_1")
     turnover = F.try_divide(F.abs(F.col("top_bid") - F.col("top_bid_1")) + F.abs(F.col("top_ask") - F.col("top_ask_1")), F.nullif(before, F.lit(0.0)))
-    top3 = lambda c: total(F.slice(c, 1, 3))
-    return b.select(
-        *([key] if key else []), "seq", rnd("bids").alias("depth_bid"), rnd("asks").alias("depth_ask"), rnd("imbalance").alias("imbalance"),
-        rnd(sdiv(near_b - near_a, near_b + near_a)).alias("near_imbalance"), rnd(bid_slope).alias("bid_slope"), rnd(ask_slope).alias("ask_slope"),
-        rnd(bid_slope - ask_slope).alias("curvature"), rnd(sdiv(top3("_b") - top3("_a"), "depth")).alias("depth_skew"), rnd(entropy, 5).alias("entropy"),
+    plain = ["depth_bid", "depth_ask", "imbalance", "near_imbalance", "bid_slope", "ask_slope", "curvature", "depth_skew"]
+    return made.select(
+        *([key] if key else []), "seq", *[rnd(c).alias(c) for c in plain], rnd("entropy", 5).alias("entropy"),
         rnd(d("top_bid")).alias("queue_change_bid"), rnd(d("top_ask")).alias("queue_change_ask"), rnd(d("imbalance")).alias("imbalance_momentum"),
         rnd(F.coalesce(turnover, F.lit(0.0))).alias("turnover"),
     )
