@@ -172,7 +172,9 @@ class Recursion:
     were alone, an array of rows by numbers of which the last row sums the
     block up; ``after(older, newer, n)`` composes the state before ``n`` rows
     with theirs (of one row each, or ``newer`` and ``n`` of many); ``values`` makes
-    the columns from the rows' whole states."""
+    the columns from the rows' whole states.  ``width`` is the number of numbers."""
+
+    width: int
 
     def states(self, x: dict[str, np.ndarray], pos: np.ndarray) -> np.ndarray:
         raise NotImplementedError
@@ -231,7 +233,7 @@ class Linear(Recursion):
     row, ``columns(s, x)`` the values from the states."""
 
     def __init__(self, matrix: list[list[float]], inputs: Callable, columns: Callable):
-        self.m, self.inputs, self.columns = np.array(matrix, float), inputs, columns
+        self.m, self.inputs, self.columns, self.width = np.array(matrix, float), inputs, columns, len(matrix)
 
     def states(self, x, pos):
         s, power, shift = self.inputs(x, pos), self.m, 1
@@ -260,7 +262,7 @@ class Adjusted(Recursion):
     values, the deviation (corrected for bias) under two as well."""
 
     def __init__(self, column: str, alpha: float, least: int = 1):
-        self.column, self.keep, self.least = column, 1.0 - alpha, least
+        self.column, self.keep, self.least, self.width = column, 1.0 - alpha, least, 5
 
     def states(self, x, pos):
         v = x[self.column]
@@ -297,6 +299,8 @@ class Adjusted(Recursion):
 class Last(Recursion):
     """The last value that is not NaN."""
 
+    width = 1
+
     def __init__(self, column: str):
         self.column = column
 
@@ -310,3 +314,98 @@ class Last(Recursion):
 
     def values(self, states, x):
         return (states[:, 0],)
+
+
+class Together(Recursion):
+    """Several recursions in one pass; their states lie side by side."""
+
+    def __init__(self, *parts: Recursion):
+        self.parts, self.width = parts, sum(p.width for p in parts)
+
+    def _split(self, s: np.ndarray) -> list[np.ndarray]:
+        return np.split(s, np.cumsum([p.width for p in self.parts])[:-1], axis=1)
+
+    def states(self, x, pos):
+        return np.concatenate([p.states(x, pos) for p in self.parts], axis=1)
+
+    def after(self, older, newer, n):
+        both = zip(self.parts, self._split(older), self._split(newer), strict=True)
+        return np.concatenate([p.after(a, b, n) for p, a, b in both], axis=1)
+
+    def values(self, states, x):
+        return tuple(c for p, s in zip(self.parts, self._split(states), strict=True) for c in p.values(s, x))
+
+
+def recursion_of(step: Callable, inputs: Callable, size: int, given: int, seed: Callable, seeded: int = 1) -> Linear:
+    """The linear recursion that ``step(state, inputs)`` describes, for ``size`` states
+    and ``given`` inputs by row; its columns are the states.
+
+    The matrices are the step's results for unit vectors, so the step must be
+    linear.  ``seed(inputs, number)`` gives the states of a key's first ``seeded``
+    rows as they are, None for those that the step makes.
+    """
+    zero = np.zeros(max(size, given))
+    unit = np.eye(max(size, given))
+    matrix = np.array([step(unit[i, :size], zero[:given]) for i in range(size)], float).T
+    weigh = np.array([step(zero[:size], unit[i, :given]) for i in range(given)], float)
+
+    def by_row(x, pos):
+        u = inputs(x)
+        out = u @ weigh
+        for i in np.flatnonzero(pos < seeded):
+            fixed = seed(u[i], pos[i])
+            out[i] = [out[i, k] if v is None else v for k, v in enumerate(fixed)]
+        return out
+
+    return Linear(matrix, by_row, lambda s, x: tuple(s.T))
+
+
+class Switch(Recursion):
+    """Direction 1 or -1 by a line that is the upper band while the direction is -1
+    and the lower one while it is 1; the first row has direction 1 and the
+    upper band.  Values beyond the line of the row before set the direction.
+
+    A row's direction and the bands of the row before tell its line, so a
+    stretch is a map from either direction before it to the one after it (the
+    first two numbers), and the last row's bands and value of the stretch's
+    first row decide how two stretches meet.
+    """
+
+    width = 8
+
+    def __init__(self, value: str, upper: str, lower: str):
+        self.names = value, upper, lower
+
+    @staticmethod
+    def _beyond(value, line, way):
+        return np.where(value > line, 1.0, np.where(value < line, -1.0, way))
+
+    def states(self, x, pos):
+        value, upper, lower = (x[c] for c in self.names)
+        n = len(value)
+        first = pos == 0
+        # If down before (the first number) and if up: the way after the stretch; the line while down and up;
+        # the stretch's first value and whether it begins the series.
+        s = np.zeros((n, self.width))
+        s[:, 0], s[:, 1] = np.where(first, 1.0, -1.0), 1.0
+        s[:, 2], s[:, 3] = upper, np.where(first, upper, lower)
+        s[:, 4], s[:, 5] = value, first
+        s[:, 6] = s[:, 7] = 0.0
+        shift = 1
+        while shift < n:
+            s[shift:] = self.after(s[:-shift], s[shift:], np.full(n - shift, shift))
+            shift *= 2
+        return s
+
+    def after(self, older, newer, n):
+        out = np.array(newer)
+        for k in (0, 1):
+            way = older[:, k]
+            line = np.where(way < 0, older[:, 2], older[:, 3])
+            entered = self._beyond(newer[:, 4], line, way)
+            out[:, k] = np.where(entered < 0, newer[:, 0], newer[:, 1])
+        out[:, 4], out[:, 5] = older[:, 4], older[:, 5]
+        return out
+
+    def values(self, states, x):
+        return (states[:, 1].astype(np.int32),)
