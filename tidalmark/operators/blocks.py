@@ -40,16 +40,21 @@ def _folder() -> str:
     return "file://" + tempfile.mkdtemp(prefix="tables")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` from a table in the folder that ``spark.checkpoint.dir`` names, which
-    survives lost executors.  Only local mode may leave that unset."""
-    spark = df.sparkSession
+def shared(spark) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.  Only local mode may leave
+    that unset."""
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         if spark.conf.get("spark.master", "").split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = _folder()
-    path = f"{folder}/tables/{uuid.uuid4().hex}"
+    return folder
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from a table in the shared folder, which survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/tables/{uuid.uuid4().hex}"
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     df.write.parquet(path)
@@ -316,6 +321,24 @@ class Last(Recursion):
         return (states[:, 0],)
 
 
+class Highest(Recursion):
+    """The largest value so far; NaN before the first."""
+
+    width = 1
+
+    def __init__(self, column: str):
+        self.column = column
+
+    def states(self, x, pos):
+        return np.fmax.accumulate(x[self.column])[:, None]
+
+    def after(self, older, newer, n):
+        return np.fmax(older, newer)
+
+    def values(self, states, x):
+        return (states[:, 0],)
+
+
 class Together(Recursion):
     """Several recursions in one pass; their states lie side by side."""
 
