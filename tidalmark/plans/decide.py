@@ -201,7 +201,7 @@ def performance(trades: DataFrame, capital: float = 1000.0, periods: float = 144
     ratio = lambda spread: F.when(still, 0.0).otherwise(c("_m") / spread * periods**0.5)
     return of.select(
         "symbol", "n_trades", "ending_capital", (c("ending_capital") - capital).alias("net_profit"), ((c("ending_capital") - capital) / max(capital, 1e-12)).alias("total_return"), "hit_rate", "max_dd",
-        ratio(F.nullif(c("_s"), F.lit(0.0))).alias("sharpe"), ratio(down).alias("sortino"), sdiv(c("_w"), F.greatest(c("_l"), F.lit(1e-12))).alias("avg_rr"),
+        ratio(F.nullif(c("_s"), F.lit(0.0))).alias("sharpe"), ratio(down).alias("sortino"), F.coalesce(c("_w") / F.when(c("_l").isNotNull(), F.greatest(c("_l"), F.lit(1e-12))), F.lit(0.0)).alias("avg_rr"),
     )
 
 
