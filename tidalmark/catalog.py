@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decide, families, futures, labels, micro, options, paged, relational, rolling, rules, scans, series, strategy, timecycle  # noqa: F401  (registration)
+from .plans import decide, families, futures, labels, micro, options, paged, regimes, relational, rolling, rules, scans, series, strategy, timecycle  # noqa: F401  (registration)
 from .plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

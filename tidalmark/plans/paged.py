@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import rnd
 from ..operators.blocks import shared
-from ..sources import feeds, pages
+from ..sources import feeds, matched, pages
 from ..sources.feeds import BARS_SQL, CHAIN_SQL, TRADES_SQL
 from .registry import query
 
@@ -82,3 +82,31 @@ def paged_trades(spark, sf_dir):
     pages.record(t, path, item, "trades", 100, 10, F.lit('{"data":{items}}'))
     r = pages.option_trades(spark, path, START, END)
     return r.select("instrument", "open_time", rnd("price", 4).alias("price"), rnd("size", 4).alias("size"), "side", "trade_id")
+
+
+@query(
+    f"""WITH {TRADES_SQL}, d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS trades, round(sum(price), 3) AS prices, round(sum(size * aggressor), 3) AS flow FROM trades GROUP BY 1)
+SELECT CAST(day AS VARCHAR) AS date, trades, prices, flow FROM d ORDER BY day DESC LIMIT 1 OFFSET 1"""
+)
+def matched_day(spark, sf_dir):
+    """Two feeds by day; the last day of one is missing, so the one before is the newest that both have."""
+    path = folder(spark)
+    t = feeds.trades(spark, sf_dir).withColumn("date", F.date_format("ts", "yyyy-MM-dd"))
+    # A day's trades in order of time, as a feed numbers them.
+    numbered = t.withColumn("seq", F.unix_micros(F.col("ts").cast("timestamp")))
+    last = t.agg(F.max("date")).first()[0]
+    numbered.select("ts", "seq", "price", "date").write.partitionBy("date").parquet(f"{path}/prices")
+    numbered.where(F.col("date") < F.lit(last)).select("ts", "seq", (F.col("size") * F.col("aggressor")).alias("flow"), "date").write.partitionBy("date").parquet(f"{path}/flows")
+    date, found = matched.common(spark, {"prices": matched.Feed(f"{path}/prices", ("price",)), "flows": matched.Feed(f"{path}/flows", ("flow",))})
+    flow = found["flows"].agg(rnd(F.sum("flow"), 3).alias("flow")).scalar()
+    return found["prices"].agg(F.lit(date).alias("date"), F.count("*").alias("trades"), rnd(F.sum("price"), 3).alias("prices")).select("*", flow.alias("flow"))
+
+
+@query(
+    f"""WITH {TRADES_SQL} SELECT symbol, seq, coalesce(CASE WHEN seq % 7 <> 0 THEN price END, 0) AS price, size, aggressor FROM trades"""
+)
+def cleaned_trades(spark, sf_dir):
+    """Trades with holes, of which every fifth row comes twice."""
+    t = feeds.holed(spark, sf_dir).withColumns({"number": F.col("seq").cast("string"), "seq": F.unix_micros(F.col("ts").cast("timestamp")).cast("string")})
+    made = matched.cleaned(t.unionByName(t.where("cast(number as long) % 5 = 0")), "trades")
+    return made.select("symbol", F.col("number").cast("long").alias("seq"), "price", "size", "aggressor")
