@@ -87,7 +87,7 @@ def open_interest(trades: DataFrame, flow: DataFrame) -> DataFrame:
     t = t.withColumn("oi", F.col("c") - F.least(F.lit(0.0), F.min("c").over(so_far(w)))).drop("c")
     t = t.withColumn("oi_change", F.coalesce(F.col("oi") - F.lag("oi").over(w), F.lit(0.0)))
     gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))).cast("double")
-    t = t.withColumn("velocity", F.col("oi_change") / F.when(gap > 0, gap).otherwise(1.0))
+    t = t.withColumn("gap", gap).withColumn("velocity", F.col("oi_change") / F.when(F.col("gap") > 0, F.col("gap")).otherwise(1.0))
     sd = F.stddev_pop("oi").over(last_n(w, 100))
     ret = F.coalesce(F.col("price") / F.lag("price").over(w) - 1, F.lit(0.0))
     return t.select(
@@ -265,11 +265,11 @@ def volume_flow(t: DataFrame) -> DataFrame:
     bar = F.coalesce(F.when(F.col("i") >= 50, F.col("p95")), at_row("p95", 50), "p95")
     t = t.withColumns({"trade_volume": F.sum("size").over(run), "volume_delta": F.sum("impulse").over(run), "bar": bar})
     t = t.withColumns({"large": F.when(F.col("size") >= F.col("bar"), F.col("size")).otherwise(0.0), "delta_ratio": clip(sdiv("volume_delta", "trade_volume"), -1.0, 1.0)})
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(lag("ts").cast("timestamp"))) / 1e6
     t = t.withColumns({
-        "large_volume": F.sum("large").over(run), "share": zero(over(F.sum("large").over(last_n(W(), 25)), F.col("r_size25"))), "gap": F.when(gap > 0, gap),
+        "large_volume": F.sum("large").over(run), "share": zero(over(F.sum("large").over(last_n(W(), 25)), F.col("r_size25"))),
         "accel": F.when(F.col("i") <= 1, 0.0).when(F.col("i") == 2, F.abs("impulse")).otherwise(F.abs(F.col("impulse") - lag("impulse"))),
     })
+    # The gap is that of the union, in microseconds: a trade at the time of the row before it has gap 0, not the next one's.
     later = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("seq"))
     t = t.withColumn("freq", 1.0 / F.greatest(F.coalesce(ffill("gap", later), F.lit(1e-3)), F.lit(1e-6)))
     t = t.withColumn("execution", F.col("r_execs") / 25 + zero(over(F.col("r_exec_size"), F.col("r_size25"))))
