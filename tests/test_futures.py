@@ -34,3 +34,9 @@ def same_as_sql(spark, folder, name, key):
 
 def test_volume_with_events_of_one_time(spark, tied):
     same_as_sql(spark, tied, "fut_volume", ["symbol", "seq"])
+
+
+@pytest.mark.parametrize("name", ["open_interest", "funding", "positioning", "basis", "liquidation", "leverage", "regime"])
+def test_steps_with_events_of_one_time(spark, tied, name):
+    union = name in ("open_interest", "funding", "positioning")
+    same_as_sql(spark, tied, f"fut_{name}", ["symbol", "seq", "feed"][: 3 if union else 2])

@@ -3,20 +3,26 @@
 open interest -> funding -> basis -> positioning -> liquidation -> volume ->
 leverage -> regime.  The first, second and fourth step run on the union of both
 feeds, ordered by (ts, seq, feed), the others on the trades in it.  A state "as
-of" a time is that of the last event at it: the maximum over (symbol, ts),
-which needs no shuffle beside that by symbol.  The recursions and the rolling
-statistics of the steps are gathered in a few scans; everything else is windows
-by symbol.
+of" a time is that of the last event at it.
+
+The union is shuffled by symbol once, with the feeds' columns only, and sorted.
+What needs other rows (lags, running and rolling statistics, recursions) comes
+from passes over it (`operators/along.py`), formulas of a row are projections
+between them, so all steps are one stage that holds a batch at a time.
+Statistics of a symbol's whole history are aggregates of the few columns they
+need, which are written once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import clip, ffill, last_n, ordered, rnd, sdiv, sigmoid, so_far
+from ..functions.expr import clip, rnd, sdiv, sigmoid
 from ..operators import scan as k
-from ..operators.scan import scan
+from ..operators.along import AtTime, Calc, Each, From, Lag, Moments, Opening, Quantile, So, along, laid, over as share_of
+from ..operators.blocks import joined, written
 from ..sources import feeds
 from ..sources.feeds import FLOW_SQL, TRADES_SQL
 from .registry import query
@@ -25,84 +31,74 @@ UNION = ("ts", "seq", "feed")
 SMALL = 1e-12
 
 
-def W():
-    return ordered("symbol")
+def zero(x):
+    return F.coalesce(x, F.lit(0.0))
 
 
-def U():
-    return ordered("symbol", by=UNION)
+def over(part, whole):
+    """Part of a magnitude that is not zero, else null."""
+    return part / F.when(F.abs(whole) > SMALL, F.abs(whole))
 
 
-def zero(x):
-    return F.coalesce(x, F.lit(0.0))
+def moments(c: str, n: int, least: int, past: bool = False) -> Moments:
+    return Moments(c, n, least, past, mean=f"m_{c}", std=f"s_{c}")
 
 
-def lag(c, n: int = 1, w=None):
-    return F.lag(c, n).over(w or W())
+def filled(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isnan(x), 0.0, x)
 
 
-def zscore(c: str, limit: float | None = None):
-    """From the rolled ``m_`` and ``s_`` columns."""
-    z = zero((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > SMALL, F.col(f"s_{c}")))
-    return clip(z, -limit, limit) if limit else z
+def z_of(x: np.ndarray, mean: np.ndarray, std: np.ndarray, limit: float = np.inf) -> np.ndarray:
+    """From the rolled ``m_`` and ``s_`` columns; 0 where there is none."""
+    return np.clip(filled(share_of(x - mean, std)), -limit, limit)
 
 
-def moments(c: str, n: int, least: int, past: bool = False) -> list[k.Roll]:
-    return [k.Roll(f"m_{c}", "mean", c, n, least, past), k.Roll(f"s_{c}", "std", c, n, least, past)]
+def zs(c: str, limit: float = np.inf, name: str = "") -> Calc:
+    return Calc(name or f"z_{c}", lambda x, m, s: z_of(x, m, s, limit), c, f"m_{c}", f"s_{c}")
 
 
-def at_row(c, n: int, w=None):
-    """The value of row ``n`` for it and the rows before it, else null."""
-    w = w or W()
-    return F.max(F.when(F.col("i") == n, F.col(c))).over(w.rowsBetween(0, n - 1))
+def change(x: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """0 where either is missing."""
+    return filled(x - before)
 
 
-def step_of(w=None):
+def growth(x: np.ndarray, before: np.ndarray) -> np.ndarray:
+    return filled(np.divide(x, before, out=np.full(len(x), np.nan), where=before != 0) - 1)
+
+
+def steps(seq: np.ndarray, before: np.ndarray) -> np.ndarray:
     """Steps of seq since the row before, one at least."""
-    return F.greatest(F.coalesce(F.abs(F.col("seq") - lag("seq", 1, w)), F.lit(1)), F.lit(1))
+    return np.fmax(np.abs(seq - before), 1.0)
 
 
-def over(part, whole):
-    """Part of a magnitude that is not zero, else null."""
-    return part / F.when(F.abs(whole) > SMALL, F.abs(whole))
+def union(trades: DataFrame, flow: DataFrame) -> DataFrame:
+    """Both feeds, by symbol and in order."""
+    a = trades.select("symbol", "ts", "seq", F.lit(0).alias("feed"), "price", "size", "aggressor", F.lit(None).cast("string").alias("event_type"), F.lit(0.0).alias("inventory"))
+    b = flow.select("symbol", "ts", "seq", F.lit(1).alias("feed"), "price", "size", "aggressor", "event_type", F.col("inventory_pressure").alias("inventory"))
+    t = laid(a.unionByName(b), order=UNION)
+    up, down, trade, kind, half = F.col("aggressor") > 0, F.col("aggressor") < 0, F.col("feed") == 0, F.col("event_type"), F.col("size") * 0.5
+    opens = F.when(trade & up, F.col("size")).when(trade, 0.0).when(kind == "add", F.col("size")).when((kind == "trade") & up, half).otherwise(0.0)
+    closes = F.when(trade & down, F.col("size")).when(trade, 0.0).when(kind == "cancel", F.col("size")).when((kind == "trade") & down, half).otherwise(0.0)
+    return t.withColumns({"open_flow": opens, "close_flow": closes, "net": opens - closes, "us": F.unix_micros(F.col("ts").cast("timestamp"))})
+
+
+#: Opens less closes, never under zero, on the union of both feeds.
+OPEN_INTEREST = [
+    So("c", "sum", "net"), So("low", "min", "c"), Calc("oi", lambda c, low: c - np.fmin(0.0, low), "c", "low"), Lag("p_oi", "oi"), Calc("oi_change", change, "oi", "p_oi"),
+    Lag("p_us", "us"), Calc("gap", lambda u, p: u - p, "us", "p_us"), Calc("velocity", lambda c, gap: c / np.where(gap > 0, gap, 1.0), "oi_change", "gap"),
+    Lag("p_price", "price"), moments("oi", 100, 1), Calc("z_oi", lambda x, m, s: (x - m) / np.where(s > SMALL, s, 1.0), "oi", "m_oi", "s_oi"),
+]
 
 
 def open_interest(trades: DataFrame, flow: DataFrame) -> DataFrame:
-    """Opens less closes, never under zero, on the union of both feeds."""
-    up, down = F.col("aggressor") > 0, F.col("aggressor") < 0
-    none = F.lit(0.0)
-    a = trades.select(
-        "symbol", "ts", "seq", F.lit(0).alias("feed"), "price", "size", "aggressor", F.lit(None).cast("string").alias("event_type"), none.alias("inventory"),
-        F.when(up, F.col("size")).otherwise(0.0).alias("open_flow"), F.when(down, F.col("size")).otherwise(0.0).alias("close_flow"),
-    )
-    half = F.col("size") * 0.5
-    kind = F.col("event_type")
-    b = flow.select(
-        "symbol", "ts", "seq", F.lit(1).alias("feed"), "price", "size", "aggressor", "event_type", F.col("inventory_pressure").alias("inventory"),
-        F.when(kind == "add", F.col("size")).when((kind == "trade") & up, half).otherwise(0.0).alias("open_flow"),
-        F.when(kind == "cancel", F.col("size")).when((kind == "trade") & down, half).otherwise(0.0).alias("close_flow"),
-    )
-    w = U()
-    t = a.unionByName(b).withColumn("c", F.sum(F.col("open_flow") - F.col("close_flow")).over(so_far(w)))
-    t = t.withColumn("oi", F.col("c") - F.least(F.lit(0.0), F.min("c").over(so_far(w)))).drop("c")
-    t = t.withColumn("oi_change", F.coalesce(F.col("oi") - F.lag("oi").over(w), F.lit(0.0)))
-    gap = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))).cast("double")
-    t = t.withColumn("gap", gap).withColumn("velocity", F.col("oi_change") / F.when(F.col("gap") > 0, F.col("gap")).otherwise(1.0))
-    sd = F.stddev_pop("oi").over(last_n(w, 100))
-    ret = F.coalesce(F.col("price") / F.lag("price").over(w) - 1, F.lit(0.0))
+    t = along(union(trades, flow), OPEN_INTEREST, ["symbol", "seq", "feed", "open_flow", "close_flow", "price", "oi", "oi_change", "p_price", "z_oi"])
+    ret = F.coalesce(F.col("price") / F.col("p_price") - 1, F.lit(0.0))
     return t.select(
-        "*", (F.col("velocity") - F.coalesce(F.lag("velocity").over(w), F.lit(0.0))).alias("acceleration"),
-        ((F.col("oi") - F.avg("oi").over(last_n(w, 100))) / F.when(sd > SMALL, sd).otherwise(1.0)).alias("z_oi"), (F.col("oi_change") - ret).alias("divergence"),
-        sdiv(F.abs("oi_change"), "oi").alias("turnover"), (F.col("open_flow") / F.when(F.col("close_flow") > SMALL, F.col("close_flow")).otherwise(1.0)).alias("open_close"),
+        "*", (F.col("oi_change") - ret).alias("divergence"), sdiv(F.abs("oi_change"), "oi").alias("turnover"),
+        (F.col("open_flow") / F.when(F.col("close_flow") > SMALL, F.col("close_flow")).otherwise(1.0)).alias("open_close"),
     )
 
 
-def as_of_time(t: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    """``columns`` of the last event at each (symbol, ts), under a prefix."""
-    last = F.max(F.struct("seq", "feed", *columns)).over(Window.partitionBy("symbol", "ts"))
-    return t.withColumn("_last", last).select("*", *[F.col(f"_last.{c}").alias(prefix + c) for c in columns]).drop("_last")
-
-
 def impulse(queue: float):
     """Signed flow of an order-flow event."""
     kind, size = F.col("event_type"), F.col("size")
@@ -116,26 +112,33 @@ def settlement(ts):
     return minutes, clip(F.exp(-F.pow((minutes - 20) / 18, 2)), 0.05, 1.0)
 
 
-def funding(oi: DataFrame) -> DataFrame:
-    """On the union; ``a_`` columns are the state as of the time."""
-    w, trade = U(), F.col("feed") == 0
-    t = as_of_time(oi, ["oi", "oi_change", "z_oi", "velocity"], "a_")
+def funding(trades: DataFrame, flow: DataFrame) -> DataFrame:
+    """On the union; ``a_`` columns are the state as of the time, ``f_`` ones that of funding."""
+    trade = F.col("feed") == 0
     notional = F.when(trade, F.col("price") * F.col("size")).otherwise(0.0)
-    t = t.withColumns({
+    done = ~trade & (F.col("event_type") == "trade") & (F.col("aggressor") != 0)
+    t = union(trades, flow).withColumns({
         "signed": notional * F.col("aggressor"), "notional": notional, "flow": F.when(trade, 0.0).otherwise(impulse(0.20)), "flow30": F.when(~trade, impulse(0.30)),
-        "ret": zero(F.col("price") / F.nullif(lag("price", 1, w), F.lit(0.0)) - 1),
-    }).withColumn("mag", F.abs("flow"))
-    rolls = [k.Roll("r_signed", "sum", "signed", 96), k.Roll("r_notional", "sum", "notional", 96), k.Roll("r_flow", "mean", "flow", 128), k.Roll("r_mag", "mean", "mag", 128), k.Roll("r_oi", "mean", "a_oi", 96)]
-    t = scan(t, ["price"], "ewm double", lambda: k.span(300), lambda s, x: (s(x),), order=UNION, rolls=rolls)
-    t = t.withColumn("i", F.row_number().over(w)).withColumn("fair", F.coalesce(F.when(F.col("i") >= 20, F.col("ewm")), at_row("ewm", 20, w), F.col("price")))
+        "exec": F.when(done, 1.0).otherwise(0.0), "exec_at": F.when(done, F.col("size")).otherwise(0.0),
+    })
+    t = t.withColumns({"mag": F.abs("flow"), "flow1": F.when(~trade, F.col("flow"))})
+    parts = [
+        *OPEN_INTEREST, AtTime("last", a_oi="oi", a_oi_change="oi_change", a_z_oi="z_oi", a_velocity="velocity"), AtTime("mean", at_flow="flow30", at_aggr="flow1"),
+        So("n_exec", "sum", "exec"), So("n_exec_at", "sum", "exec_at"), AtTime("last", execs="n_exec", exec_size="n_exec_at"), Calc("ret", growth, "price", "p_price"),
+        Moments("signed", 96, total="r_signed"), Moments("notional", 96, total="r_notional"), Moments("flow", 128, mean="r_flow"), Moments("mag", 128, mean="r_mag"), Moments("a_oi", 96, mean="r_oi"),
+        Each("ewm", ["price"], lambda: k.span(300), lambda s, x: (s(x),)), From("fair", "ewm", 20), Lag("p_seq", "seq"), Calc("step", steps, "seq", "p_seq"),
+    ]
+    raw = ["symbol", "ts", "seq", "feed", "price", "size", "aggressor", "notional"]
+    t = along(t, parts, [*raw, "oi", "oi_change", "z_oi", "gap", "a_oi", "a_oi_change", "a_z_oi", "a_velocity", "at_flow", "at_aggr", "execs", "exec_size", "ret", "r_signed", "r_notional", "r_flow", "r_mag", "r_oi", "fair", "step"])
+    t = t.withColumn("fair", F.coalesce("fair", "price"))
     aggr = clip(F.col("r_signed") / (F.col("r_notional") + 1e-9), -1.0, 1.0)
     crowd = clip(over(F.col("r_flow"), F.col("r_mag")), -4.0, 4.0) / 4
     g = clip(over(F.col("a_oi_change"), F.col("r_oi")), -0.6, 0.6)
     lev = (0.6 * g + 0.4 * clip(F.col("a_z_oi"), -4.0, 4.0) / 4) * F.signum("ret") * F.signum(g)
     prem = clip(over(F.col("price") - F.col("fair"), F.col("fair")), -0.02, 0.02) / 0.02
-    raw = 0.34 * aggr + 0.24 * crowd + 0.24 * lev + 0.18 * prem
+    raw_rate = 0.34 * aggr + 0.24 * crowd + 0.24 * lev + 0.18 * prem
     _, weight = settlement(F.col("ts"))
-    t = t.withColumn("weight", weight).withColumn("rate", zero(clip(F.tanh(2.1 * raw * (0.7 + 0.3 * F.col("weight"))) * 0.0015, -0.0015, 0.0015)))
+    t = t.withColumn("weight", weight).withColumn("rate", zero(clip(F.tanh(2.1 * raw_rate * (0.7 + 0.3 * F.col("weight"))) * 0.0015, -0.0015, 0.0015)))
 
     def flags():
         return [k.Hysteresis(1e-4, 5e-5), k.Ewm(0.1)]
@@ -144,85 +147,121 @@ def funding(oi: DataFrame) -> DataFrame:
         flag = s[0](x)
         return flag, s[1](float(flag))
 
-    t = scan(t, ["rate"], "funding_flag int, flag_mean double", flags, step, order=UNION, rolls=moments("rate", 256, 16, True))
-    t = t.withColumns({"rate_change": zero(F.col("rate") - lag("rate", 1, w)), "z_f": zscore("rate", 8.0), "step": step_of(w)})
-    t = t.withColumn("rate_velocity", F.col("rate_change") / F.col("step"))
-    t = t.withColumn("rate_acceleration", zero(F.col("rate_velocity") - lag("rate_velocity", 1, w)) / F.col("step"))
-    return t.withColumns({
-        "funding_extreme": F.abs("z_f") > 2.5, "pressure": F.col("z_f") * F.col("rate_velocity") * F.col("weight"), "stress": F.col("z_f") * F.col("a_z_oi"),
-        "execs": F.sum(F.when(~trade & (F.col("event_type") == "trade") & (F.col("aggressor") != 0), 1.0).otherwise(0.0)).over(so_far(w)),
-        "exec_size": F.sum(F.when(~trade & (F.col("event_type") == "trade") & (F.col("aggressor") != 0), F.col("size")).otherwise(0.0)).over(so_far(w)),
-    })
+    parts = [
+        Each("funding_flag flag_mean", ["rate"], flags, step), moments("rate", 256, 16, True), zs("rate", 8.0, "z_f"), Lag("p_rate", "rate"), Calc("rate_change", change, "rate", "p_rate"),
+        Calc("rate_velocity", np.divide, "rate_change", "step"), Lag("p_velocity", "rate_velocity"), Calc("rate_acceleration", lambda v, p, n: change(v, p) / n, "rate_velocity", "p_velocity", "step"),
+        Calc("pressure", lambda z, v, w: z * v * w, "z_f", "rate_velocity", "weight"), Calc("stress", np.multiply, "z_f", "a_z_oi"),
+        AtTime("last", f_rate="rate", f_z_f="z_f", f_pressure="pressure", f_stress="stress"),
+    ]
+    made = ["weight", "rate", "funding_flag", "flag_mean", "z_f", "rate_change", "rate_velocity", "rate_acceleration", "pressure", "stress", "f_rate", "f_z_f", "f_pressure", "f_stress"]
+    t = along(t, parts, [*raw, "oi", "oi_change", "z_oi", "gap", "a_oi", "a_z_oi", "a_velocity", "at_flow", "at_aggr", "execs", "exec_size", *made])
+    return t.withColumns({"funding_flag": F.col("funding_flag").cast("int"), "funding_extreme": F.abs("z_f") > 2.5})
 
 
 def positioning(t: DataFrame) -> DataFrame:
-    w = U()
     oe = F.tanh(35 * F.col("oi_change") + 0.55 * F.col("z_oi"))
     dp = F.tanh(2400 * F.col("rate") + 0.42 * F.col("z_f"))
     sig = 0.40 * dp + 0.30 * dp * oe + 0.18 * clip(F.col("flag_mean"), -1.0, 1.0) + 0.12 * F.tanh(1.4 * F.col("stress")) * F.signum(dp)
     t = t.withColumn("ratio", clip(F.exp(clip(sig, -0.693147, 0.693147)), 0.5, 2.0))
     t = t.withColumns({"long_proxy": F.col("oi") * F.col("ratio") / (1 + F.col("ratio")), "short_proxy": F.col("oi") / (1 + F.col("ratio"))})
     t = t.withColumn("skew", F.ln((F.col("long_proxy") + 1e-6) / (F.col("short_proxy") + 1e-6)))
-    return t.withColumns({"ratio_change": zero(F.col("ratio") - lag("ratio", 1, w)), "skew_velocity": zero(F.col("skew") - lag("skew", 1, w))})
-
-
-def on_trades(t: DataFrame) -> DataFrame:
-    """The trades of the union, with funding and flow as of their time (``f_``)."""
-    here = Window.partitionBy("symbol", "ts")
-    t = as_of_time(t, ["rate", "z_f", "pressure", "stress"], "f_")
-    t = t.withColumns({"at_flow": F.avg("flow30").over(here), "at_aggr": F.avg(F.when(F.col("feed") == 1, F.col("flow"))).over(here)})
-    t = t.withColumns({"execs": F.max("execs").over(here), "exec_size": F.max("exec_size").over(here)})
-    t = t.where("feed = 0").withColumns({"i": F.row_number().over(W()), "ret": zero(F.col("price") / F.nullif(lag("price"), F.lit(0.0)) - 1), "step": step_of()})
-    before = lag("a_oi")
-    first = F.first("at_flow", ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    up = lambda c: F.greatest(F.coalesce(F.col(c) - lag(c), F.col(c)), F.lit(0.0))
-    t = t.withColumns({
-        "impulse": F.col("size") * F.col("aggressor"), "sell_n": F.when(F.col("aggressor") < 0, F.col("notional")).otherwise(0.0), "buy_n": F.when(F.col("aggressor") > 0, F.col("notional")).otherwise(0.0),
-        "abs_ret": F.abs("ret"), "build": zero(F.greatest(F.col("a_oi") - before, F.lit(0.0))), "lag_z": zero(lag("f_z_f")), "lag_s": zero(lag("f_stress")), "d_execs": up("execs"), "d_exec_size": up("exec_size"),
-        "oi_pct": F.when(before > 0, F.col("a_oi") / before - 1).when((before == 0) & (F.col("a_oi") > 0), 1e9).otherwise(0.0), "flow_mean": F.coalesce(ffill("at_flow", W()), first, F.lit(0.0)),
-    })
-    return t.withColumns({"apart": F.abs(F.col("buy_n") - F.col("sell_n")), "both": F.col("buy_n") + F.col("sell_n")})
+    parts = [Lag("p_ratio", "ratio"), Calc("ratio_change", change, "ratio", "p_ratio"), Lag("p_skew", "skew"), Calc("skew_velocity", change, "skew", "p_skew")]
+    return along(t, parts, ["symbol", "seq", "feed", "ratio", "ratio_change", "long_proxy", "short_proxy", "skew", "skew_velocity"])
+
+
+def first_flow(trades: DataFrame, flow: DataFrame) -> DataFrame:
+    """By symbol, the mean flow at the first trade's time that has any: it stands for the times before."""
+    at = flow.withColumnRenamed("inventory_pressure", "inventory").groupBy("symbol", "ts").agg(F.avg(impulse(0.30)).alias("first_flow")).where(F.col("first_flow").isNotNull())
+    met = joined(at, trades.select("symbol", "ts").distinct(), ["symbol", "ts"], "left_semi")
+    return met.groupBy("symbol").agg(F.min_by("first_flow", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 62)))).alias("first_flow"))
 
 
 #: What each step needs of the trades' past.
-BASIS_ROLLS = [k.Roll("r_not240", "sum", "notional", 240, 5), k.Roll("r_size240", "sum", "size", 240, 5), k.Roll("r_flow120", "mean", "flow_mean", 120, 3), k.Roll("med_notional", "median", "notional", 180, 5)]
+BASIS_ROLLS = [
+    So("flow_so", "last", "at_flow"), Calc("flow_mean", lambda so, first: filled(np.where(np.isnan(so), first, so)), "flow_so", "first_flow"), Moments("notional", 240, 5, total="r_not240"),
+    Moments("size", 240, 5, total="r_size240"), Moments("flow_mean", 120, 3, mean="r_flow120"), Quantile("med_notional", "notional", 180, least=5),
+    Calc("vwap0", share_of, "r_not240", "r_size240"), From("vwap", "vwap0", 5),
+]
 LIQUIDATION_ROLLS = [
-    k.Roll("med_ret", "median", "abs_ret", 240, 10), k.Roll("calm", "median", "abs_ret", 90, 5), k.Roll("med_sell", "median", "sell_n", 180, 5), k.Roll("med_buy", "median", "buy_n", 180, 5),
-    k.Roll("r_build", "sum", "build", 180, 5), k.Roll("r_oi180", "mean", "a_oi", 180, 5), k.Roll("r_apart", "sum", "apart", 120, 5), k.Roll("r_both", "sum", "both", 120, 5),
+    Lag("p_price", "price"), Calc("ret", growth, "price", "p_price"), Calc("abs_ret", np.abs, "ret"), Lag("p_a_oi", "a_oi"), Calc("build", lambda x, p: filled(np.fmax(x - p, np.where(np.isnan(x - p), np.nan, 0.0))), "a_oi", "p_a_oi"),
+    Calc("oi_pct", lambda x, p: np.where(p > 0, x / np.where(p > 0, p, 1.0) - 1, np.where((p == 0) & (x > 0), 1e9, 0.0)), "a_oi", "p_a_oi"), Lag("p_z", "f_z_f"), Calc("lag_z", filled, "p_z"),
+    Lag("p_s", "f_stress"), Calc("lag_s", filled, "p_s"), Quantile("med_ret", "abs_ret", 240, least=10), Quantile("calm", "abs_ret", 90, least=5), Quantile("med_sell", "sell_n", 180, least=5),
+    Quantile("med_buy", "buy_n", 180, least=5), Moments("build", 180, 5, total="r_build"), Moments("a_oi", 180, 5, mean="r_oi180"), Moments("apart", 120, 5, total="r_apart"), Moments("both", 120, 5, total="r_both"),
 ]
-VOLUME_ROLLS = [k.Roll("p95", 0.95, "size", 200), k.Roll("r_execs", "sum", "d_execs", 25, 5), k.Roll("r_exec_size", "sum", "d_exec_size", 25, 5), k.Roll("r_size25", "sum", "size", 25, 5)]
 
 
-def rolled(*groups: list) -> object:
-    """A step that adds the rolls of several steps in one pass."""
-    return lambda t: scan(t, rolls=[r for g in groups for r in g])
+def rise(x: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Of a running sum, the row's own value where there is none before."""
+    return np.fmax(np.where(np.isnan(before), x, x - before), 0.0)
 
 
-def basis(t: DataFrame) -> DataFrame:
-    """Spot proxy, basis, its z-score and reversion."""
-    t = t.withColumn("vwap", over(F.col("r_not240"), F.col("r_size240")))
+def jump(x: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
+    return np.where(i <= 1, 0.0, np.where(i == 2, np.abs(x), np.abs(x - before)))
+
+
+VOLUME_ROLLS = [
+    Quantile("p95", "size", 200, 0.95), From("bar0", "p95", 50), Calc("bar", lambda b, p: np.where(np.isnan(b), p, b), "bar0", "p95"), Lag("p_execs", "execs"), Calc("d_execs", rise, "execs", "p_execs"),
+    Lag("p_exec_size", "exec_size"), Calc("d_exec_size", rise, "exec_size", "p_exec_size"), Moments("d_execs", 25, 5, total="r_execs"), Moments("d_exec_size", 25, 5, total="r_exec_size"),
+    Moments("size", 25, 5, total="r_size25"), So("trade_volume", "sum", "size"), So("volume_delta", "sum", "impulse"), Lag("p_impulse", "impulse"), So("i", "sum", "one"), Calc("accel", jump, "impulse", "p_impulse", "i"),
+    # The gap is that of the union, in microseconds: a trade at the time of the row before it has gap 0.
+    Opening("gap0", "gap"), Calc("freq", lambda g: 1.0 / np.fmax(np.where(np.isnan(g), 1e-3, g), 1e-6), "gap0"),
+    Calc("large", lambda x, b: np.where(x >= b, x, 0.0), "size", "bar"), So("large_volume", "sum", "large"), Moments("large", 25, total="r_large25"),
+    Calc("share", lambda a, b: filled(share_of(a, b)), "r_large25", "r_size25"), Calc("execution", lambda n, x, y: n / 25 + filled(share_of(x, y)), "r_execs", "r_exec_size", "r_size25"),
+    *[p for c in ("freq", "share", "accel", "execution") for p in (moments(c, 250, 50), zs(c))],
+    Calc("burst", lambda a, b, c, d: np.fmax(0.30 * a + 0.30 * b + 0.20 * c + 0.20 * d, 0.0), "z_freq", "z_share", "z_accel", "z_execution"),
+]
+STEP = [Lag("p_seq", "seq"), Calc("step", steps, "seq", "p_seq")]
+TRADE = ["symbol", "ts", "seq", "price", "size", "notional", "oi", "z_oi", "a_oi", "a_z_oi", "a_velocity", "at_flow", "at_aggr", "z_f", "stress", "f_rate", "f_z_f", "f_pressure", "f_stress"]
+MADE = {
+    "basis": ["step", "r_not240", "vwap", "r_flow120", "med_notional"],
+    "liquidation": ["sell_n", "buy_n", "ret", "oi_pct", "lag_z", "lag_s", "med_ret", "calm", "med_sell", "med_buy", "r_build", "r_oi180", "r_apart", "r_both"],
+    "volume": ["trade_volume", "volume_delta", "large_volume", "burst"],
+}
+PARTS = {"basis": [*STEP, *BASIS_ROLLS], "liquidation": LIQUIDATION_ROLLS, "volume": VOLUME_ROLLS}
+
+
+def on_trades(t: DataFrame, groups: list[str], first: DataFrame | None) -> DataFrame:
+    """The trades of the union with what the steps ``groups`` need of their past."""
+    t = t.where("feed = 0").withColumns({
+        "impulse": F.col("size") * F.col("aggressor"), "sell_n": F.when(F.col("aggressor") < 0, F.col("notional")).otherwise(0.0), "one": F.lit(1.0),
+        "buy_n": F.when(F.col("aggressor") > 0, F.col("notional")).otherwise(0.0),
+    })
+    t = t.withColumns({"apart": F.abs(F.col("buy_n") - F.col("sell_n")), "both": F.col("buy_n") + F.col("sell_n")})
+    if first is not None:
+        t = joined(t, F.broadcast(first), ["symbol"], "left")
+    return along(t, [p for g in groups for p in PARTS[g]], [*TRADE, *[c for g in groups for c in MADE[g]]])
+
+
+def basis_formulas(t: DataFrame) -> DataFrame:
+    """Spot proxy and basis."""
     fb = F.tanh(zero(F.col("r_flow120")))
     fund = F.tanh(0.7 * F.col("f_pressure") + 0.2 * F.col("f_z_f") + 0.1 * F.col("f_stress"))
-    t = t.withColumns({"fb": fb, "fund": fund, "spot": F.coalesce("vwap", at_row("vwap", 5), "price")})
+    t = t.withColumns({"fb": fb, "fund": fund, "spot": F.coalesce("vwap", "price")})
     spot = F.col("spot") * (1 - clip(0.0015 * F.col("fb") + 0.0018 * F.col("fund"), -0.0075, 0.0075))
     t = t.withColumns({"raw": over(F.col("price") - spot, spot), "light": F.tanh(zero(over(F.col("notional"), F.col("med_notional"))))})
     lean = F.signum(zero(F.col("raw"))) * F.tanh(F.abs("fund") + F.abs("fb"))
     t = t.withColumn("basis", zero(clip(F.col("raw") * (0.65 + 0.35 * F.col("light")) * (1 + 0.25 * lean), -0.25, 0.25)))
-    t = t.withColumns({"_u": F.unix_micros(F.col("ts").cast("timestamp")), "_b": F.abs("basis")})
-    seven = 7 * 86_400 * 1_000_000
-    t = scan(t, ["_u", "_b"], "_m double", lambda: k.TimeMean(seven, 64), lambda s, u, b: (s(u, b),), rolls=moments("basis", 512, 32, True)).drop("_u", "_b")
-    t = t.withColumn("basis_change", zero(F.col("basis") - lag("basis"))).withColumns({"z_b": zscore("basis", 8.0), "basis_velocity": F.col("basis_change") / F.col("step")})
+    return t.withColumns({"_u": F.unix_micros(F.col("ts").cast("timestamp")), "_b": F.abs("basis")})
+
+
+SEVEN = 7 * 86_400 * 1_000_000
+BASIS = [
+    Each("m7", ["_u", "_b"], lambda: k.TimeMean(SEVEN, 64), lambda s, u, b: (s(u, b),)), AtTime("last", _m7="m7"), Lag("_m", "_m7"), moments("basis", 512, 32, True), zs("basis", 8.0, "z_b"),
+    Lag("p_basis", "basis"), Calc("basis_change", change, "basis", "p_basis"), Calc("basis_velocity", np.divide, "basis_change", "step"),
+]
+
+
+def basis(t: DataFrame) -> DataFrame:
+    """Z-score and reversion of the basis."""
     left = (28800 - F.unix_seconds(F.col("ts").cast("timestamp")) % 28800) % 28800
     side, urgency = F.signum("basis"), F.exp(-left / 7200.0)
     aligned = F.tanh(side * (5.0 * F.col("f_rate") + 0.7 * F.col("f_pressure") + 0.4 * side * F.col("fund")))
     going = F.tanh(0.65 * aligned + 0.35 * F.tanh(side * F.abs("basis_velocity") / 0.0015))
     score = side * F.tanh(F.abs("z_b") / 2) * urgency * (0.6 + 0.4 * F.tanh(2 * F.abs("f_stress"))) - going * (1 - 0.45 * urgency)
-    return t.withColumns(
-        {"basis_flag": F.abs("z_b") >= 2, "compression": F.coalesce(clip(over(F.abs("basis"), lag("_m")), 0.0, 10.0), F.lit(1.0)), "reversion": clip(score, -1.0, 1.0)}
-    ).drop("_m")
+    return t.withColumns({"basis_flag": F.abs("z_b") >= 2, "compression": F.coalesce(clip(over(F.abs("basis"), F.col("_m")), 0.0, 10.0), F.lit(1.0)), "reversion": clip(score, -1.0, 1.0)})
 
 
-def liquidation(t: DataFrame) -> DataFrame:
+def liquidation_formulas(t: DataFrame) -> DataFrame:
     t = t.withColumns({"calm": zero(F.col("calm")), "density": zero(over(F.col("r_build"), F.col("r_oi180"))), "toxicity": zero(over(F.col("r_apart"), F.col("r_both")))})
     collapse = F.tanh(7.5 * F.greatest(-F.col("a_velocity"), F.lit(0.0)))
 
@@ -233,24 +272,23 @@ def liquidation(t: DataFrame) -> DataFrame:
         return F.col(side) * clip(spike * push * collapse * gate, 0.0, 1.0)
 
     t = t.withColumns({"liq_long": volume("sell_n", "med_sell", -F.col("ret"), 1.0), "liq_short": volume("buy_n", "med_buy", F.col("ret"), -1.0)})
-    t = t.withColumn("liq", F.col("liq_long") + F.col("liq_short"))
-    t = t.withColumn("liq_imbalance", (F.col("liq_long") - F.col("liq_short")) / (F.col("liq") + 1e-9))
     width = F.tanh(4.5 * F.abs("density") + 0.35 * F.abs("a_z_oi") + 0.20 * F.abs("f_z_f"))
-    t = t.withColumn("zone", width / (1 + 40 * F.col("calm"))).withColumn("zone_p", F.col("price") * F.col("zone"))
-    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    t = t.withColumns({"liq": F.col("liq_long") + F.col("liq_short"), "zone": width / (1 + 40 * F.col("calm")), "one": F.lit(1.0)})
+    return t.withColumns({"zone_p": F.col("price") * F.col("zone"), "_t": F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, "_x": 0.5 * F.col("z_oi") + 0.5 * F.col("stress")})
 
-    rolls = [k.Roll("r_zone_p", "sum", "zone_p", 180, 10), k.Roll("r_zone", "sum", "zone", 180, 10), k.Roll("med_liq", "median", "liq", 180, 5)]
 
-    def start():
-        return [k.span(90), k.Heat(60.0), k.Hysteresis(1.0, 0.35, strict=True)]
+LIQUIDATION = [
+    Each("liq_mean heat leverage_flag", ["liq", "_t", "_x"], lambda: [k.span(90), k.Heat(60.0), k.Hysteresis(1.0, 0.35, strict=True)], lambda s, x, u, y: (s[0](x), s[1](u, x), s[2](y))),
+    Moments("zone_p", 180, 10, total="r_zone_p"), Moments("zone", 180, 10, total="r_zone"), Quantile("med_liq", "liq", 180, least=5), Calc("near0", share_of, "r_zone_p", "r_zone"), From("near1", "near0", 10),
+    So("near", "last", "near1"), Lag("p_liq", "liq"), So("at", "sum", "one"),
+    Calc("liq_velocity", lambda x, p, m, i: np.clip(filled(np.divide(change(x, p), m, out=np.full(len(x), np.nan), where=(i >= 5) & (m != 0))), -5.0, 5.0), "liq", "p_liq", "liq_mean", "at"),
+]
+
 
-    t = t.withColumns({"_t": at, "_x": 0.5 * F.col("z_oi") + 0.5 * F.col("stress")})
-    t = scan(t, ["liq", "_t", "_x"], "liq_mean double, heat double, leverage_flag int", start, lambda s, x, u, y: (s[0](x), s[1](u, x), s[2](y)), rolls=rolls).drop("_t", "_x")
-    t = t.withColumn("near", over(F.col("r_zone_p"), F.col("r_zone")))
-    t = t.withColumn("near", F.coalesce(ffill("near", W()), at_row("near", 10), "price"))
+def liquidation(t: DataFrame) -> DataFrame:
+    t = t.withColumns({"liq_imbalance": (F.col("liq_long") - F.col("liq_short")) / (F.col("liq") + 1e-9), "near": F.coalesce("near", "price"), "leverage_flag": F.col("leverage_flag").cast("int")})
     squeeze = clip(1 + F.tanh(1.5 * F.col("zone") + 8 * F.col("oi_pct")), 0.35, 2.0)
     t = t.withColumn("cluster", F.abs(F.col("price") - F.col("near")) / F.col("price") / squeeze)
-    t = t.withColumn("liq_velocity", clip(zero(zero(F.col("liq") - lag("liq")) / F.when((F.col("i") >= 5) & (F.col("liq_mean") != 0), F.col("liq_mean"))), -5.0, 5.0))
     fear, fall = F.greatest("f_stress", F.lit(0.0)), F.greatest(-F.col("a_velocity"), F.lit(0.0))
     index = (
         0.30 * zero(F.tanh(over(F.col("liq"), F.col("med_liq")))) + 0.18 * clip(F.abs("liq_imbalance"), 0.0, 1.0) + 0.18 / (1 + 120 * F.col("cluster"))
@@ -261,50 +299,66 @@ def liquidation(t: DataFrame) -> DataFrame:
 
 
 def volume_flow(t: DataFrame) -> DataFrame:
-    run = so_far(W())
-    bar = F.coalesce(F.when(F.col("i") >= 50, F.col("p95")), at_row("p95", 50), "p95")
-    t = t.withColumns({"trade_volume": F.sum("size").over(run), "volume_delta": F.sum("impulse").over(run), "bar": bar})
-    t = t.withColumns({"large": F.when(F.col("size") >= F.col("bar"), F.col("size")).otherwise(0.0), "delta_ratio": clip(sdiv("volume_delta", "trade_volume"), -1.0, 1.0)})
-    t = t.withColumns({
-        "large_volume": F.sum("large").over(run), "share": zero(over(F.sum("large").over(last_n(W(), 25)), F.col("r_size25"))),
-        "accel": F.when(F.col("i") <= 1, 0.0).when(F.col("i") == 2, F.abs("impulse")).otherwise(F.abs(F.col("impulse") - lag("impulse"))),
-    })
-    # The gap is that of the union, in microseconds: a trade at the time of the row before it has gap 0, not the next one's.
-    later = Window.partitionBy("symbol").orderBy(F.desc("ts"), F.desc("seq"))
-    t = t.withColumn("freq", 1.0 / F.greatest(F.coalesce(ffill("gap", later), F.lit(1e-3)), F.lit(1e-6)))
-    t = t.withColumn("execution", F.col("r_execs") / 25 + zero(over(F.col("r_exec_size"), F.col("r_size25"))))
-    t = scan(t, rolls=[r for c in ("freq", "share", "accel", "execution") for r in moments(c, 250, 50)])
-    return t.withColumn("burst", F.greatest(0.30 * zscore("freq") + 0.30 * zscore("share") + 0.20 * zscore("accel") + 0.20 * zscore("execution"), F.lit(0.0)))
+    return t.withColumn("delta_ratio", clip(sdiv("volume_delta", "trade_volume"), -1.0, 1.0))
+
+
+#: By step: the formulas before its pass, what the pass makes and must keep of them, and those after it.
+FORMULAS = {
+    "basis": (basis_formulas, BASIS, ["fund", "basis", "z_b", "basis_change", "basis_velocity", "_m"], basis),
+    "liquidation": (
+        liquidation_formulas, LIQUIDATION, ["zone", "oi_pct", "liq", "liq_long", "liq_short", "toxicity", "med_liq", "heat", "leverage_flag", "near", "liq_velocity"], liquidation,
+    ),
+    "volume": (lambda t: t, [], MADE["volume"], volume_flow),
+}
+
+
+def with_whole(t: DataFrame, whole: dict) -> DataFrame:
+    """``t`` with aggregates of each symbol's whole history."""
+    return joined(t, F.broadcast(t.groupBy("symbol").agg(*[v.alias(c) for c, v in whole.items()])), ["symbol"], "left")
 
 
 def leverage(t: DataFrame) -> DataFrame:
     """Products of states, and the mean of their parts at unit variance over
     the whole history of a symbol (a full-sample statistic)."""
-    t = t.withColumns({"x_volume": F.col("z_oi") * F.col("delta_ratio"), "x_funding": F.col("z_f") * F.col("z_oi"), "x_basis": F.col("z_b") * F.col("z_oi")})
-    whole = Window.partitionBy("symbol")
-    parts = [zero(over(F.col(c), F.stddev_pop(c).over(whole))) for c in ("x_volume", "x_funding", "x_basis")]
+    products = {"x_volume": F.col("z_oi") * F.col("delta_ratio"), "x_funding": F.col("z_f") * F.col("z_oi"), "x_basis": F.col("z_b") * F.col("z_oi")}
+    kept = [c for c in ("stress", "liq_pressure", "leverage_flag", "z_b", "basis_flag") if c in t.columns]
+    t = written(t.select("symbol", "seq", *kept, *[v.alias(c) for c, v in products.items()]))
+    t = with_whole(t, {f"s_{c}": F.stddev_pop(c) for c in products})
+    parts = [zero(over(F.col(c), F.col(f"s_{c}"))) for c in products]
     return t.withColumn("leverage_pressure", (parts[0] + parts[1] + parts[2]) / 3)
 
 
 def regime(t: DataFrame) -> DataFrame:
-    whole = Window.partitionBy("symbol")
-    norm = lambda c: zero(over(F.col(c) - F.avg(c).over(whole), F.stddev_pop(c).over(whole)))
+    names = ("stress", "liq_pressure", "leverage_pressure")
+    t = with_whole(t, {f"{how}_{c}": f(c) for c in names for how, f in (("w", F.avg), ("d", F.stddev_pop))})
+    norm = lambda c: zero(over(F.col(c) - F.col(f"w_{c}"), F.col(f"d_{c}")))
     return t.withColumns({"basis_extreme": (F.abs("z_b") > 2.5) & F.col("basis_flag"), "derivatives_stress": (norm("stress") + norm("liq_pressure") + norm("leverage_pressure")) / 3})
 
 
-#: Each step and those it needs.
+#: Each step on the trades, what it needs of the others, and what comes after them.
 NEEDS = {
-    "funding": [], "positioning": [positioning], "basis": [on_trades, rolled(BASIS_ROLLS), basis], "liquidation": [on_trades, rolled(LIQUIDATION_ROLLS), liquidation],
-    "volume": [on_trades, rolled(VOLUME_ROLLS), volume_flow], "leverage": [on_trades, rolled(BASIS_ROLLS, VOLUME_ROLLS), basis, volume_flow, leverage],
-    "regime": [on_trades, rolled(BASIS_ROLLS, LIQUIDATION_ROLLS, VOLUME_ROLLS), basis, liquidation, volume_flow, leverage, regime],
+    "basis": (["basis"], []), "liquidation": (["liquidation"], []), "volume": (["volume"], []), "leverage": (["basis", "volume"], [leverage]),
+    "regime": (["basis", "liquidation", "volume"], [leverage, regime]),
 }
 
 
 def upto(spark, sf_dir: str, last: str) -> DataFrame:
     """The timeline after the step ``last``."""
-    t = funding(open_interest(feeds.trades(spark, sf_dir), feeds.orderflow(spark, sf_dir)))
-    for step in NEEDS[last]:
-        t = step(t)
+    trades, flow = feeds.trades(spark, sf_dir), feeds.orderflow(spark, sf_dir)
+    t = funding(trades, flow)
+    if last == "funding":
+        return t
+    if last == "positioning":
+        return positioning(t)
+    groups, after = NEEDS[last]
+    t = on_trades(t, groups, first_flow(trades, flow) if "basis" in groups else None)
+    before, parts, kept, behind = zip(*[FORMULAS[g] for g in groups], strict=True)
+    for formulas in before:
+        t = formulas(t)
+    if any(parts):
+        t = along(t, [p for ps in parts for p in ps], [*TRADE, *dict.fromkeys(c for cs in kept for c in cs)])
+    for formulas in (*behind, *after):
+        t = formulas(t)
     return t
 
 
