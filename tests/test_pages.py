@@ -71,3 +71,23 @@ def test_what_is_recorded_is_read_again(spark, tmp_path):
     got = pages.klines(spark, path, "1m", 50_000, 200_000)
     assert got.count() == 150 and got.agg(F.sum("volume")).first()[0] == 300.0
     assert pages.klines(spark, path, "5m", 0, 250_000).isEmpty()
+
+
+def test_pages_lie_together_in_few_files(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    df = spark.range(1000).select(F.lit("s").alias("symbol"), (F.col("id") * 10).alias("open_time"))
+    pages.record(df.repartition(4), path, F.concat(F.lit("["), F.col("open_time"), F.lit(',"1","1","1","1","2"]')), "1m", size=10, overlap=3, together=40)
+    files = [f for _, _, names in os.walk(path) for f in names if f.endswith(".txt")]
+    assert len(files) == 3
+    found = pages.pages(spark, path, "1m", 0, 10_000).collect()
+    assert sorted((r.cursor, r.until) for r in found) == [(k * 100, k * 100 + 91) for k in range(100)]
+    assert sorted({len(json.loads(r.value)) for r in found}) == [10, 13]
+    # Only the pages that reach into the range are left of a file.
+    assert sorted(r.cursor for r in pages.pages(spark, path, "1m", 500, 700).collect()) == [500, 600]
+
+
+def test_a_page_of_several_lines_is_one_page(spark, tmp_path):
+    path = str(tmp_path)
+    put(path, "x", "1h", 0, 2 * HOUR, json.dumps([bar(0), bar(1)], indent=1))
+    assert pages.pages(spark, path, "1h", 0, HOUR).count() == 1
+    assert pages.klines(spark, path, "1h", 0, 2 * HOUR).count() == 2

@@ -1,10 +1,13 @@
 """Recorded pages of an exchange: bars, option candles and option trades.
 
-A page is one file with the JSON that a call returned, in
+A page is the JSON that a call returned, in a folder
 ``<path>/symbol=<s>/interval=<i>/cursor=<ms>/until=<ms>``: the call asked from
-``cursor`` and the next one asks from ``until``.  A read of [start, end) prunes
-the folders, so a page outside the range is never opened, and each page is a row
-of its own until its array is taken apart.  Pages may overlap, within a
+``cursor`` and the next one asks from ``until``.  A file holds one page, or several
+successive ones, each behind a record separator (which JSON never holds) and
+its own ``cursor,until`` line; the folder then names the range of all.  So the number of files
+grows with the pages by ``together``, and a store is not asked for a file by page.  A read of
+[start, end) prunes the folders, so a file outside the range is never opened,
+and each page is a row of its own until its array is taken apart.  Pages may overlap, within a
 recording or from several: a bar counts once, as the page asked last has it.
 Any store that Spark reads will do.
 """
@@ -29,26 +32,42 @@ CANDLE = {
 TRADE = {"open_time": (("timestamp", "t", "time"), "long"), "price": (("price", "p"), "double"), "size": (("size", "qty", "q"), "double"), "side": (("side", "s"), "string"), "trade_id": (("id", "trade_id"), "string")}
 
 
-def record(df: DataFrame, path: str, item: Column, interval: str, size: int = 1000, overlap: int = 0, envelope: Column | None = None) -> None:
+#: Between the pages of a file, and what a page's own range looks like.
+SEPARATOR, RANGE = "\x1e", "^(-?[0-9]+),(-?[0-9]+)\n"
+
+
+def record(df: DataFrame, path: str, item: Column, interval: str, size: int = 1000, overlap: int = 0, envelope: Column | None = None, together: int = 64) -> None:
     """Write the rows (symbol, open_time and what ``item`` names) as pages of ``size``, each
-    with ``overlap`` rows of the next one.  ``item`` is the JSON of a row, ``envelope``
+    with ``overlap`` rows of the next one, ``together`` of them in a file.  ``item`` is the JSON of a row, ``envelope``
     (of ``{items}``, by symbol) what stands around the page's array."""
-    rows = df.select("symbol", "open_time", item.alias("item"))
-    made = blocks(rows, ("symbol",), ("open_time", "item"), ahead=min(overlap, size), rows=size)
-    own = F.filter("_items", lambda r: r["_pos"] < (F.col("_block") + 1) * size)
-    body = F.concat(F.lit("["), F.array_join(F.transform("_items", lambda r: r["item"]), ","), F.lit("]"))
-    text = body if envelope is None else F.replace(envelope, F.lit("{items}"), body)
+    rows, overlap = df.select("symbol", "open_time", item.alias("item")), min(overlap, size)
+    whole = size * together
+    made = blocks(rows, ("symbol",), ("open_time", "item"), ahead=overlap, rows=whole)
+    made = made.withColumn("own", F.filter("_items", lambda r: r["_pos"] < (F.col("_block") + 1) * whole))
+    times = lambda part: F.transform(part, lambda r: r["open_time"])
+
+    def page(k):
+        own = times(F.slice("own", k * size + 1, F.lit(size)))
+        items = F.slice("_items", k * size + 1, F.lit(size + overlap))
+        body = F.concat(F.lit("["), F.array_join(F.transform(items, lambda r: r["item"]), ","), F.lit("]"))
+        text = body if envelope is None else F.replace(envelope, F.lit("{items}"), body)
+        return F.concat(F.lit(SEPARATOR), F.array_min(own), F.lit(","), F.array_max(own) + 1, F.lit("\n"), text)
+
+    several = F.transform(F.sequence(F.lit(0), F.expr(f"cast((size(own) - 1) div {size} as int)")), page)
     pages = made.select(
-        text.alias("value"), "symbol", F.lit(interval).alias("interval"), F.array_min(F.transform(own, lambda r: r["open_time"])).alias("cursor"),
-        (F.array_max(F.transform(own, lambda r: r["open_time"])) + 1).alias("until"),
-    )
+        F.array_join(several, "").alias("value"), "symbol", F.lit(interval).alias("interval"), F.array_min(times("own")).alias("cursor"), (F.array_max(times("own")) + 1).alias("until")
+    )
     pages.write.partitionBy("symbol", "interval", "cursor", "until").text(path)
 
 
 def pages(spark: SparkSession, path: str, interval: str, start: int, end: int) -> DataFrame:
     """The pages that may hold rows of [start, end), in milliseconds."""
-    found = spark.read.schema(PAGE).option("wholetext", True).text(path)
-    return found.where((F.col("interval") == interval) & (F.col("until") > start) & (F.col("cursor") < end))
+    near = (F.col("until") > start) & (F.col("cursor") < end)
+    found = spark.read.schema(PAGE).text(path, wholetext=True).where((F.col("interval") == interval) & near)
+    each = found.withColumn("value", F.explode(F.filter(F.split("value", SEPARATOR), lambda v: v != "")))
+    own = [F.regexp_extract("value", RANGE, k).try_cast("long") for k in (1, 2)]
+    asked = each.withColumns({"cursor": F.coalesce(own[0], "cursor"), "until": F.coalesce(own[1], "until"), "value": F.regexp_replace("value", RANGE, "")})
+    return asked.where(near)
 
 
 def once(rows: DataFrame, keys: list[str], start: int, end: int) -> DataFrame:
