@@ -81,7 +81,8 @@ def positioned(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[
     laid = laid.withColumn("_part", F.shiftright("_at", 33))
     sizes = laid.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # Written, so that its size is known: a small one is broadcast and the rows are not shuffled to meet it.
+    starts = written(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
     met = joined(laid, starts, [*keys, "_part"])
     return met.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_pos"))
 

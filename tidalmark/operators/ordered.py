@@ -66,7 +66,20 @@ def window_ranks(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     row's own rank among them as a share of their number (ties: the mean of
     their ranks).  NaN values do not count, and have no rank."""
     low, high, share = (np.full(len(x), np.nan) for _ in range(3))
-    held, values = Ordered(), x.tolist()
+    values = x.tolist()
+    if n <= LOAD:  # a window of one bucket is a list
+        one: list[float] = []
+        for i, v in enumerate(values):
+            if i >= n and (old := values[i - n]) == old:
+                del one[bisect_left(one, old)]
+            if v == v:
+                less, upto = bisect_left(one, v), bisect_right(one, v) + 1
+                one.insert(less, v)
+                share[i] = (less + (upto - less + 1) / 2) / len(one)
+            if one:
+                low[i], high[i] = one[0], one[-1]
+        return low, high, share
+    held = Ordered()
     for i, v in enumerate(values):
         if i >= n and (old := values[i - n]) == old:
             held.drop(old)
@@ -83,7 +96,21 @@ def window_quantile(x: np.ndarray, n: int, share: float, least: int = 1) -> np.n
     """The quantile of the last ``n`` values, between two by their distance; NaN
     under ``least`` values that are not NaN."""
     out = np.full(len(x), np.nan)
-    held, values = Ordered(), x.tolist()
+    values, least = x.tolist(), max(1, least)
+    if n <= LOAD:  # a window of one bucket is a list
+        one: list[float] = []
+        for i, v in enumerate(values):
+            if i >= n and (old := values[i - n]) == old:
+                del one[bisect_left(one, old)]
+            if v == v:
+                insort(one, v)
+            if len(one) >= least:
+                at = (len(one) - 1) * share
+                below = int(at)
+                a = one[below]
+                out[i] = a if at == below else a + (one[below + 1] - a) * (at - below)
+        return out
+    held = Ordered()
     for i, v in enumerate(values):
         if i >= n and (old := values[i - n]) == old:
             held.drop(old)

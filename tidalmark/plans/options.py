@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql, rnd, sdiv
-from ..operators.blocks import ROWS, joined, windowed
+from ..operators.blocks import ROWS, joined, windowed, written
 from ..operators.ordered import window_ranks
 from ..sources import feeds
 from ..sources.feeds import CHAIN_SQL
@@ -85,23 +85,30 @@ def option_features(quotes: DataFrame, lookbacks: tuple[int, ...] = LOOKBACKS, n
     # The crush is compared with those of 30 rows, each of which looks back 30 rows.
     back = max(60, max(lookbacks) - 1)
     made = windowed(q, ["iv", "ratio", "oi", "seconds"], schema, option_windows(lookbacks), order=ORDER, back=back, rows=max(rows, back))
-    d1, root, t = d1_of(made)
-    made = made.withColumns({"root": root, "d1": d1, "t": t})
-    made = made.withColumns({"nd": norm_cdf(F.col("d1")), "pdf": norm_pdf(F.col("d1"))})
-    made = made.withColumns({
-        "delta": F.when(F.col("kind") == "call", F.col("nd")).otherwise(F.col("nd") - 1.0), "gamma": F.col("pdf") / (F.col("spot") * F.col("root")),
-        "vega": F.col("spot") * F.col("pdf") * F.sqrt("t"), "theta": -F.col("spot") * F.col("pdf") * F.col("iv") / (2 * F.sqrt("t")),
-    })
-    made = made.withColumn("gex", F.col("gamma") * F.col("spot")).drop("root", "d1", "nd", "pdf", "t", "seconds")
     call = F.col("kind") == "call"
+    made = with_greeks(made).drop("seconds")
     by_expiry = quotes.groupBy("symbol", "ts", "tte").agg(F.avg("iv").alias("iv"))
     first = F.sort_array(F.collect_list(F.struct("tte", "iv")))
     slope = by_expiry.groupBy("symbol", "ts").agg(first.alias("e")).select("symbol", "ts", F.when(F.size("e") > 1, F.col("e")[1]["iv"] - F.col("e")[0]["iv"]).alias("term_slope"))
-    at_time = made.groupBy("symbol", "ts").agg(
+    # Of the quotes themselves: their greeks need no windows, which would run a second time for this.
+    at_time = with_greeks(quotes).groupBy("symbol", "ts").agg(
         (F.avg(F.when(call, F.col("iv"))) - F.avg(F.when(~call, F.col("iv")))).alias("skew_index"), F.sum(F.col("gex") * F.col("oi")).alias("gex_total")
     )
     both = joined(at_time, slope, ["symbol", "ts"]).withColumn("gex_norm", F.col("gex_total") / notional)
-    return joined(made, both, ["symbol", "ts"])
+    # Written, so that its size is known: a small one is broadcast and the rows are not shuffled to meet it.
+    return joined(made, written(both), ["symbol", "ts"])
+
+
+def with_greeks(quotes: DataFrame) -> DataFrame:
+    """``quotes`` with the greeks of each row and its gamma exposure for an interest of one."""
+    d1, root, t = d1_of(quotes)
+    made = quotes.withColumns({"root": root, "d1": d1, "t": t})
+    made = made.withColumns({"nd": norm_cdf(F.col("d1")), "pdf": norm_pdf(F.col("d1"))})
+    made = made.withColumns({
+        "delta": F.when(F.col("kind") == "call", F.col("nd")).otherwise(F.col("nd") - 1.0), "gamma": F.col("pdf") / (F.col("spot") * F.col("root")),
+        "vega": F.col("spot") * F.col("pdf") * F.sqrt("t"), "theta": -F.col("spot") * F.col("pdf") * F.col("iv") / (2 * F.sqrt("t")),
+    })
+    return made.withColumn("gex", F.col("gamma") * F.col("spot")).drop("root", "d1", "nd", "pdf", "t")
 
 
 def _ranks_sql() -> str:
