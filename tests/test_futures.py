@@ -40,3 +40,9 @@ def test_volume_with_events_of_one_time(spark, tied):
 def test_steps_with_events_of_one_time(spark, tied, name):
     union = name in ("open_interest", "funding", "positioning")
     same_as_sql(spark, tied, f"fut_{name}", ["symbol", "seq", "feed"][: 3 if union else 2])
+
+
+@pytest.mark.parametrize("name", ["fut_volume", "fut_open_interest"])
+def test_rows_are_shuffled_once(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window [" not in plan
