@@ -98,6 +98,52 @@ def test_lm_share_is_fitted_on_other_documents(spark, monkeypatch):
     assert all(len(x) > 2 for x in fitted)
 
 
+def test_lm_learns_from_every_training_document(spark, monkeypatch):
+    """Other places of the same words in one document that no sample holds leave
+    all counts as they are, and still change the scores of other documents."""
+    rows = [(i, words(i, 60)) for i in range(60)]
+    met, learned = [], lm.learned
+    monkeypatch.setattr(lm, "learned", lambda learn, text_col, subwords, *a: met.append((learned(learn, text_col, subwords, *a), subwords)))
+
+    def scored(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        learn = df.where(lm.id_hash("doc_id", 10) != 0)
+        sample = lm.sampled(learn, "doc_id", "text", learn.count(), 6, 2)
+        return sample, {r["doc_id"]: r for r in lm.score(df, steps=10, sample_docs=6, share_docs=2).collect()}
+
+    sample, one = scored(rows)
+    k = next(i for i, t in rows if not one[i]["held_out"] and t.encode() not in sample[0] + sample[1])
+    again, two = scored([(i, " ".join(reversed(t.split())) if i == k else t) for i, t in rows])
+    assert 0 < len(sample[0]) + len(sample[1]) < 20 and again == sample
+    assert all(one[i]["base_score"] == pytest.approx(two[i]["base_score"]) for i in one)
+    assert all(one[i]["score"] != two[i]["score"] for i in one if i != k)
+    ids = lm.Seen(met[0][1], {}, {}).documents([t.encode() for i, t in rows if not one[i]["held_out"]])[1]
+    assert met[0][0] == met[1][0] == sum(map(len, ids))
+
+
+def test_attention_gradients_are_those_of_its_loss():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    starts = np.arange(lm.IDS) < 3 * lm.SIZE
+    model = lm.Attention(np.log(r.dirichlet(np.ones(lm.IDS), lm.IDS)).astype(np.float32), np.arange(lm.IDS), starts)
+    for name in "mc":
+        model.p[name] += r.normal(0, 0.3, model.p[name].shape).astype(np.float32)
+    model.ready()
+    x, y, _ = lm.windows([r.integers(0, lm.IDS, n).astype(np.uint16) for n in (37, 5, 64)])
+    x, y = model.renumbered(x), np.where(y >= 0, model.place[y], -1)
+    each, start, g = model.gradients(x, y)
+    assert np.allclose([each, start], model.log_probs(x, y), atol=1e-5)
+    for name, old in model.apart().p.items():
+        d, losses = r.normal(0, 1, old.shape).astype(np.float32), []
+        for way in (0.01, -0.01):
+            model.p[name] = old + np.float32(way) * d
+            model.ready()
+            losses.append(-model.log_probs(x, y)[0].astype(float).sum() / (y >= 0).sum())
+        model.p[name] = old
+        assert (losses[0] - losses[1]) / 0.02 == pytest.approx(float((g[name] * d).sum()), rel=0.02, abs=2e-4)
+
+
 def test_attention_is_a_distribution_and_causal():
     import numpy as np
 

@@ -13,16 +13,19 @@ is encoded once and its pairs weigh as often as the word stands.  They make the
 prior of the next subword.
 
 *Model.*  One layer of causal self-attention with learned relative positions,
-trained in numpy with Adam on a bounded sample of training documents
-(``sample_docs`` whole texts); its output shifts the prior's logits.  The softmax
+trained in numpy with Adam; its output shifts the prior's logits.  Training
+starts on ``sample_docs`` whole texts on the driver and then goes once over all
+training documents: each task goes on from the same weights over its own
+documents, and the tasks' weights are averaged by the ids they met (``learned``).  The softmax
 is factored into ``CLASSES`` classes of ``IDS / CLASSES`` ids; starts have classes
 of their own, so the chance that a word ends is a sum over classes.
 
 *Words.*  The attention's chance of a word is that of its first id among the
 starts, of its other ids, and of a start after them: over all words and the end
 these add up to 1 at most.  It is mixed with the words' frequencies in training,
-whose weight is fitted on ``share_docs`` other documents, drawn by a hash of the
-id.  The score is the sum of the mixture's log10 over the words and the end.
+whose weight is fitted on all training documents, by the chances that the
+attention gave their words before it learned from them (it starts from
+``share_docs`` documents, drawn by a hash of the id).  The score is the sum of the mixture's log10 over the words and the end.
 
 *Scoring.*  A document's ids are cut into windows of ``CONTEXT + STRIDE`` ids that
 overlap by ``CONTEXT``; each window scores its last ``STRIDE`` ids, so each id is
@@ -44,15 +47,17 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
+from copy import copy
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_hash, quoted, slices
+from .common import cut, id_hash, quoted, raw, slices
 
 IDS, CLASSES = 1024, 32
 SIZE = IDS // CLASSES
@@ -61,6 +66,8 @@ SPAN = CONTEXT + STRIDE
 KEY, HIDDEN = 12, 16
 END, SPACE = 256, 32
 MEMO = 250_000
+HEAPS = 16
+GAP, GAPS = 30, 100  # log10 of the second part over the first: bounds, and cells a unit
 _tokenizers: dict[str, object] = {}
 
 
@@ -205,6 +212,17 @@ def windows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.where(ok, inputs[place], -2), np.where(ok, targets[place], -1)[:, CONTEXT:], owner
 
 
+def summed(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Sums of the rows (the last axis) of each id."""
+    at, rows = at.ravel().astype(np.uint16), rows.reshape(-1, rows.shape[-1])
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.diff(at, prepend=np.uint16(IDS + 1)))
+    out = np.zeros((IDS + 1, rows.shape[1]), np.float32)
+    out[at[first]] = np.add.reduceat(rows[order], first, axis=0)
+    return out
+
+
 class Attention:
     """Tables by id (one row more for 'none'): key, query, value, own; bias by
     distance; class and member weights."""
@@ -219,8 +237,8 @@ class Attention:
         members = prior.reshape(IDS, CLASSES, SIZE)
         top = members.max(2, keepdims=True)
         group = np.log(np.exp(members - top).sum(2)) + top[:, :, 0]
-        self.prior_class = group.astype(np.float32)
-        self.prior_member = (members - group[:, :, None]).astype(np.float32)
+        self.prior_class = np.ascontiguousarray(group, np.float32)
+        self.prior_flat = np.ascontiguousarray(members - group[:, :, None], np.float32).reshape(IDS * CLASSES, SIZE)
         shape = {"k": (IDS + 1, KEY), "q": (IDS + 1, KEY), "v": (IDS + 1, HIDDEN), "u": (IDS + 1, HIDDEN)}
         self.p = {k: r.normal(0, 0.3, s) for k, s in shape.items()}
         self.p |= {"b": np.zeros(SPAN), "c": np.zeros((HIDDEN, CLASSES)), "m": np.zeros((IDS, HIDDEN))}
@@ -231,7 +249,6 @@ class Attention:
 
     def ready(self) -> None:
         """Weights as scoring reads them."""
-        self.prior_flat = self.prior_member.reshape(IDS * CLASSES, SIZE)
         self.member_t = np.ascontiguousarray(self.p["m"].reshape(CLASSES, SIZE, HIDDEN).transpose(0, 2, 1))
 
     def renumbered(self, ids: np.ndarray) -> np.ndarray:
@@ -283,39 +300,70 @@ class Attention:
         full[1, keep] = start
         return full[0].reshape(-1, STRIDE), full[1].reshape(-1, STRIDE)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict]:
+        """Both results of ``log_probs``, and the mean loss's gradients."""
         own, q, k, v, s, h3 = self.forward(x)
-        keep = np.flatnonzero(y.ravel() >= 0)
-        h, t = h3.reshape(-1, HIDDEN)[keep], y.ravel()[keep]
-        o, rows = own.ravel()[keep], np.arange(len(keep))
-        cls, mem = t // SIZE, t % SIZE
-        z = self.prior_class[o] + h @ self.p["c"]
-        z = np.exp(z - z.max(1, keepdims=True))
-        z /= z.sum(1, keepdims=True)
-        loss = -np.log(z[rows, cls]).sum()
-        z[rows, cls] -= 1
-        weights = self.p["m"].reshape(CLASSES, SIZE, HIDDEN)[cls]
-        w = self.prior_member[o, cls] + np.einsum("nmh,nh->nm", weights, h)
-        w = np.exp(w - w.max(1, keepdims=True))
-        w /= w.sum(1, keepdims=True)
-        loss -= np.log(w[rows, mem]).sum()
-        w[rows, mem] -= 1
-        n = max(1, len(keep))
-        z, w = z / n, w / n
-        g = {name: np.zeros_like(a) for name, a in self.p.items()}
-        g["c"] = h.T @ z
-        np.add.at(g["m"].reshape(CLASSES, SIZE, HIDDEN), cls, w[:, :, None] * h[:, None, :])
-        dh = np.zeros((x.shape[0] * STRIDE, HIDDEN), np.float32)
-        dh[keep] = (z @ self.p["c"].T + np.einsum("nm,nmh->nh", w, weights)) * (1 - h * h)
+        y = y.ravel()
+        group = np.where(y >= 0, y // SIZE, CLASSES).astype(np.uint8)
+        keep = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[keep], np.arange(CLASSES + 1))
+        keep = keep[: cuts[CLASSES]]
+        h, o, t = h3.reshape(-1, HIDDEN)[keep], own.ravel()[keep], y[keep]
+        n, rows = np.float32(max(1, len(t))), np.arange(len(t))
+        z = h @ self.p["c"]
+        z += self.prior_class[o]
+        picked = z[rows, t // SIZE]
+        np.exp(z, out=z)
+        total = z.sum(1)
+        full = np.zeros((2, len(y)), np.float32)
+        full[1, keep] = np.log(z[:, : self.opening].sum(1) / total)
+        z /= total[:, None]
+        w = np.empty((len(t), SIZE), np.float32)
+        parts = [slice(cuts[c], cuts[c + 1]) for c in range(CLASSES)]
+        for c, part in enumerate(parts):
+            np.matmul(h[part], self.member_t[c], out=w[part])
+        w += self.prior_flat[o * CLASSES + t // SIZE]
+        picked += w[rows, t % SIZE]
+        inside = np.exp(w, out=w).sum(1)
+        full[0, keep] = picked - np.log(total * inside)
+        w /= inside[:, None]
+        z[rows, t // SIZE] -= 1
+        w[rows, t % SIZE] -= 1
+        z /= n
+        w /= n
+        g = {"c": h.T @ z, "m": np.empty((IDS, HIDDEN), np.float32)}
+        dt = z @ self.p["c"].T
+        for c, part in enumerate(parts):
+            np.matmul(w[part].T, h[part], out=g["m"][c * SIZE : (c + 1) * SIZE])
+            dt[part] += w[part] @ self.member_t[c].T
+        dt *= 1 - h * h
+        dh = np.zeros((len(y), HIDDEN), np.float32)
+        dh[keep] = dt
         dh = dh.reshape(h3.shape)
-        np.add.at(g["u"], own, dh)
-        np.add.at(g["v"], x, np.matmul(s.transpose(0, 2, 1), dh))
-        ds = np.matmul(dh, v.transpose(0, 2, 1))
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
-        np.add.at(g["b"], self.gap, ds.sum(0))
-        np.add.at(g["q"], own, np.matmul(ds, k)[:, :, :KEY])
-        np.add.at(g["k"], x, np.matmul(ds.transpose(0, 2, 1), q)[:, :, :KEY])
-        return float(loss), g
+        dv = np.matmul(s.transpose(0, 2, 1), dh)
+        ds = np.matmul(dh, np.ascontiguousarray(v.transpose(0, 2, 1)))
+        ds -= (ds * s).sum(2, keepdims=True)
+        ds *= s
+        g["b"] = np.bincount(self.gap.ravel(), ds.sum(0).ravel(), SPAN).astype(np.float32)
+        dq, dk = np.matmul(ds, k)[:, :, :KEY], np.matmul(ds.transpose(0, 2, 1), q)[:, :, :KEY]
+        g["q"], g["u"] = np.split(summed(own, np.concatenate([dq, dh], 2)), [KEY], axis=1)
+        g["k"], g["v"] = np.split(summed(x, np.concatenate([dk, dv], 2)), [KEY], axis=1)
+        return full[0].reshape(-1, STRIDE), full[1].reshape(-1, STRIDE), g
+
+    def step(self, g: dict, held: dict, t: int, rate: float) -> None:
+        """The ``t``-th step of Adam (from 1), whose means are in ``held``."""
+        for name, d in g.items():
+            m, v = held.setdefault(name, (np.zeros_like(d), np.zeros_like(d)))
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * d
+            v *= np.float32(0.99)
+            v += np.float32(0.01) * d * d
+            move = np.sqrt(v / np.float32(1 - 0.99**t))
+            move += np.float32(1e-7)
+            np.divide(m, move, out=move)
+            move *= np.float32(rate / (1 - 0.9**t))
+            self.p[name] -= move
+        self.ready()
 
     def train(self, docs: list[np.ndarray], steps: int, batch: int, seed: int = 1) -> None:
         if not docs:
@@ -323,17 +371,17 @@ class Attention:
         r = np.random.default_rng(seed)
         x, y, _ = windows(docs)
         x, y = self.renumbered(x), np.where(y >= 0, self.place[y], -1)
-        m: dict = {}
-        v: dict = {}
+        held: dict = {}
         for t in range(1, steps + 1):
             pick = r.integers(0, len(x), batch)
-            _, g = self.gradients(x[pick], y[pick])
-            rate = 0.02 * (1 - t / (steps + 1))
-            for name, d in g.items():
-                m[name] = 0.9 * m.get(name, 0) + 0.1 * d
-                v[name] = 0.99 * v.get(name, 0) + 0.01 * d * d
-                self.p[name] -= (rate * (m[name] / (1 - 0.9**t)) / (np.sqrt(v[name] / (1 - 0.99**t)) + 1e-7)).astype(np.float32)
-        self.ready()
+            self.step(self.gradients(x[pick], y[pick])[2], held, t, 0.02 * (1 - t / (steps + 1)))
+
+    def apart(self) -> "Attention":
+        """The same model with weights of its own."""
+        other = copy(self)
+        other.p = {k: v.copy() for k, v in self.p.items()}
+        other.ready()
+        return other
 
     def log_ids(self, docs: list[np.ndarray], batch: int = 192) -> tuple[np.ndarray, np.ndarray]:
         """log P of each id of the documents, one after another, and of a start in its place."""
@@ -391,9 +439,12 @@ class Mixture:
     def parts(self, docs: list[np.ndarray], ids: list[np.ndarray], seen: Seen) -> tuple[np.ndarray, np.ndarray]:
         """log10 P of every word (a document's end last) in either part; NaN in
         the second where ``seen`` has no term."""
+        return self.of_ids(docs, seen, *self.model.log_ids(ids))
+
+    def of_ids(self, docs: list[np.ndarray], seen: Seen, each: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from what ``log_ids`` gives for the documents."""
         lengths = np.concatenate([x for d in docs for x in (seen.sizes[d], [1])])
         other = np.concatenate([x for d in docs for x in (seen.terms[d], [self.terms[b""]])])
-        each, start = self.model.log_ids(ids)
         first = np.cumsum(lengths) - lengths
         words, start = np.add.reduceat(each.astype(np.float64), first), start[first]
         words -= start
@@ -412,6 +463,13 @@ class Mixture:
             q = self.share * one
             self.share = float(np.clip((q / (q + (1 - self.share) * two + 1e-300)).mean(), 0.05, 0.98))
 
+    def fit_gaps(self, counts: np.ndarray, rounds: int = 50) -> None:
+        """The share from the numbers of words by ``gaps`` of their two parts."""
+        odds = 10.0 ** ((np.arange(len(counts)) + 0.5) / GAPS - GAP)
+        for _ in range(rounds if counts.any() else 0):
+            q = self.share / (self.share + (1 - self.share) * odds)
+            self.share = float(np.clip((q * counts).sum() / counts.sum(), 0.05, 0.98))
+
     def mixed(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """log10 P of words from both parts."""
         one, two = one + np.log10(self.share), two + np.log10(1 - self.share)
@@ -534,6 +592,78 @@ def sampled(learn: DataFrame, id_col: str, text_col: str, n: int, sample_docs: i
     return own, [t for a, t in texts if a and t not in copies]
 
 
+def learned(learn: DataFrame, text_col: str, subwords: Subwords, mixture: Mixture, rare: float, batch: int, rate: float) -> int:
+    """Trains ``mixture`` on every text of ``learn``; returns the number of ids met.
+
+    A task starts with the weights it is given, takes its texts a MB at a time,
+    their windows in mixed order, and makes a step of Adam each ``batch`` windows,
+    so that each id is a target once.  Before a step its windows are scored;
+    these scores say how the attention does on words it has not learned from.
+    ``rare`` is the log10 frequency of the words without a term of their own.
+    Tasks' weights are summed by as many tasks as there are ``HEAPS``, in
+    the order of partitions, so the driver gets that many rows at most.
+    """
+    spark = learn.sparkSession
+    shared = spark.sparkContext.broadcast((subwords, mixture))
+    names = list(mixture.model.p)
+    cells = 2 * GAP * GAPS
+
+    def run(batches):
+        subwords, given = shared.value
+        ours = Mixture(given.model.apart(), given.terms)
+        model, seen, r = ours.model, Seen(subwords, ours.terms, {}), np.random.default_rng(0)
+        held: dict = {}
+        met, step, gaps = 0, 0, np.zeros(cells, np.int64)
+        for whole in batches:
+            for part in slices(whole, 0, 1 << 20):
+                docs, ids = seen.documents(raw(part.column(0)))
+                x, y, _ = windows(ids)
+                x, y = model.renumbered(x), np.where(y >= 0, model.place[y], -1)
+                each, start = np.empty((2, *y.shape), np.float32)
+                order = r.permutation(len(x))
+                for at in range(0, len(x), batch):
+                    pick, step = order[at : at + batch], step + 1
+                    each[pick], start[pick], g = model.gradients(x[pick], y[pick])
+                    model.step(g, held, step, rate * min(1, len(pick) / batch) / (1 + step / 200) ** 0.5)
+                one, two = ours.of_ids(docs, seen, each[y >= 0], start[y >= 0])
+                gap = (np.nan_to_num(two, nan=rare) - one + GAP) * GAPS
+                gaps += np.bincount(np.clip(gap, 0, cells - 1).astype(np.int64), minlength=cells)
+                met += sum(map(len, ids))
+        if met:
+            flat = np.concatenate([model.p[k].ravel() for k in names]).astype(np.float64) * met
+            yield row(TaskContext.get().partitionId(), met, flat, gaps)
+
+    def row(part, met, flat, gaps):
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((part, met, flat.tobytes(), gaps.tobytes()), kinds, strict=True)], ["part", "met", "flat", "gaps"])
+
+    def added(batches):
+        whole = None
+        for batch in batches:
+            for met, flat, gaps in zip(*[batch.column(k).to_pylist() for k in (1, 2, 3)], strict=True):
+                new = [met, np.frombuffer(flat), np.frombuffer(gaps, np.int64)]
+                whole = new if whole is None else [a + b for a, b in zip(whole, new, strict=True)]
+        if whole:
+            yield row(TaskContext.get().partitionId(), *whole)
+
+    schema = "part int, met long, flat binary, gaps binary"
+    made = learn.select(quoted(text_col)).mapInArrow(run, schema)
+    heaps = made.repartition(HEAPS, "part").sortWithinPartitions("part").mapInArrow(added, schema).collect()
+    heaps.sort(key=lambda x: x["part"])
+    met = sum(h["met"] for h in heaps)
+    if met:
+        flat = sum(np.frombuffer(h["flat"]) for h in heaps) / met
+        at = 0
+        for k in names:
+            old = mixture.model.p[k]
+            mixture.model.p[k] = flat[at : at + old.size].reshape(old.shape).astype(np.float32)
+            at += old.size
+        mixture.model.ready()
+        mixture.fit_gaps(sum(np.frombuffer(h["gaps"], np.int64) for h in heaps))
+    shared.unpersist()
+    return met
+
+
 def score(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -546,6 +676,7 @@ def score(
     share_docs: int = 300,
     steps: int = 700,
     batch: int = 96,
+    rate: float = 0.02,
 ) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     path = path or default_vocabulary()
@@ -572,6 +703,8 @@ def score(
     model.train(ids, steps, batch)
     mixture = Mixture(model, terms)
     mixture.fit(*seen.documents(apart or texts), seen)
+    far = counts.where(F.col("n") < min(top.values(), default=1 << 62)).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("s")).first()
+    learned(learn, text_col, subwords, mixture, float(np.log10((far["s"] or 1) / (far["n"] or 1) / max(total, 1))), 2 * batch, rate)
     shared = spark.sparkContext.broadcast((subwords, mixture, top))
     scale = float(np.log10(total + 0.1 * (kinds + 1)))
     end_term = float(np.log10(train_docs + 0.1)) - scale
