@@ -248,3 +248,30 @@ def test_dominant_period_of_a_wave(spark):
     x = 100 + 5 * np.sin(2 * np.pi * np.arange(300) / 16)
     got = by_key(cycle_features(frame(spark, {"a": x}).withColumnRenamed("x", "close"), rows=150), "a")
     assert (got["period"][127:] == 16).all() and np.allclose(got["smooth"][1], x[:2].mean())
+
+
+def test_previous_values_over_partitions(spark):
+    from tidalmark.operators.blocks import previous
+
+    rows = [(k, i, None if i % 7 == 3 else float(i * i)) for k in ("a", None, "b") for i in range(40)] + [("c", 1, 5.0)]
+    df = spark.createDataFrame(rows, "symbol string, seq long, x double").repartition(5)
+    got = {(r["symbol"], r["seq"]): r["x_1"] for r in previous(df, ["x"], order=("seq",)).collect()}
+    value = {(k, i): x for k, i, x in rows}
+    assert len(got) == len(rows) and got == {(k, i): value.get((k, i - 1)) for k, i, _ in rows}
+    assert previous(df.where("seq < 0"), ["x"], order=("seq",)).count() == 0
+
+
+def test_lines_of_a_book_are_shuffled_once_and_of_a_chain_not(spark, monkeypatch):
+    from tidalmark.operators import blocks
+    from tidalmark.plans import families
+
+    plans = []
+    keep = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df)
+    written = blocks.written
+    monkeypatch.setattr(blocks, "written", keep)
+    monkeypatch.setattr(families, "written", keep)
+    families.fam_book(spark, "/root/testdata/sf0.001")
+    assert [p.count("Exchange") for p in plans] == [1]
+    chain = families.fam_chain(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = chain[: chain.index("Scan parquet")]
+    assert below.rindex("HashAggregate") > below.rindex("Sort ")

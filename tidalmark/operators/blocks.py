@@ -25,6 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +88,53 @@ def positioned(df: DataFrame, keys: tuple[str, ...] = ("symbol",), order: tuple[
     return met.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias("_pos"))
 
 
+def previous(df: DataFrame, columns: list[str], keys: tuple[str, ...] = ("symbol",), order: tuple[str, ...] = ("ts", "seq"), laid: bool = False) -> DataFrame:
+    """``df`` with ``{c}_1`` for each of ``columns``: its value in the key's row before.
+
+    Rows are range-partitioned by key and order once, unless they are ``laid`` so,
+    and stay where they lie; a task holds a batch and the row before it.  A partition's first row gets its
+    values from the last row of the partition before, a table of one row each.
+    """
+    by = [F.col(c) for c in (*keys, *order)]
+    ends = [*keys, *columns]
+    kinds = {c: to_arrow_type(df.schema[c].dataType) for c in ends}
+    added = T.StructType([*[T.StructField(f"_{c}_1", df.schema[c].dataType) for c in ends], *T.StructType.fromDDL("_part int, _head boolean, _last boolean")])
+    out = T.StructType([*df.schema, *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held = None
+
+        def flagged(batch: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+            flags = np.zeros(batch.num_rows, bool)
+            flags[-1] = last
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags)], out.names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, before = batch.num_rows, []
+            for c in ends:
+                first = pa.nulls(1, kinds[c]) if held is None else held.column(c).slice(held.num_rows - 1)
+                before.append(pa.concat_arrays([first.cast(kinds[c]), batch.column(c).slice(0, n - 1).cast(kinds[c])]))
+            head = np.zeros(n, bool)
+            head[0] = held is None
+            if held is not None:
+                yield flagged(held, False)
+            held = pa.RecordBatch.from_arrays([*batch.columns, *before, pa.array(np.full(n, part, np.int32)), pa.array(head)], out.names[:-1])
+        if held is not None:
+            yield flagged(held, True)
+
+    dealt = df if laid else df.repartitionByRange(*by)
+    kept = written(dealt.sortWithinPartitions(*by).mapInArrow(run, out))
+    tails = kept.where("_last").select(F.lead("_part").over(Window.orderBy("_part")).alias("_next"), *[F.col(c).alias(f"_{c}_0") for c in ends])
+    met = kept.join(F.broadcast(tails.where("_next IS NOT NULL")), F.col("_head") & (F.col("_part") == F.col("_next")), "left")
+    behind = {c: F.when(F.col("_head"), F.col(f"_{c}_0")).otherwise(F.col(f"_{c}_1")) for c in ends}
+    any_row = ~F.col("_head") | F.col("_next").isNotNull()
+    same = functools.reduce(Column.__and__, [behind[k].eqNullSafe(F.col(k)) for k in keys], any_row)
+    return met.select(*df.columns, *[F.when(same, behind[c]).alias(f"{c}_1") for c in columns])
+
+
 def blocks(
     df: DataFrame,
     keys: tuple[str, ...] = ("symbol",),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clip, corr, ffill, gated, last_n, norm_cdf, norm_cdf_sql, norm_pdf, norm_pdf_sql, ordered, rnd, sdiv, so_far
-from ..operators.blocks import windowed, written
+from ..operators.blocks import previous, written
 from ..sources import feeds
 from ..sources.feeds import BARS_SQL, CHAIN_SQL, LEVELS, TRADES_SQL
 from .registry import query
@@ -68,10 +68,11 @@ def fam_price(spark, sf_dir):
     return price_features(quotes(spark, sf_dir))
 
 
-def book_features(book: DataFrame, order=("seq",), key: str | None = None, levels: int = LEVELS) -> DataFrame:
+def book_features(book: DataFrame, order=("seq",), key: str | None = None, levels: int = LEVELS, laid: bool = False) -> DataFrame:
     """Depth, imbalance, slopes, entropy and changes from level arrays.
 
-    Without a key the table is one series; it lies in blocks either way.
+    Without a key the table is one series; it is range-partitioned either way,
+    unless it is ``laid`` so by key and order.
     """
     series = key or "_book"
     book = book if key else book.withColumn(series, F.lit(0))
@@ -90,15 +91,15 @@ def book_features(book: DataFrame, order=("seq",), key: str | None = None, level
     entropy = F.when(F.col("depth") > 0, -F.aggregate(share, F.lit(0.0), lambda s, p: s + F.when(p > 0, p * F.ln(p)).otherwise(0.0))).otherwise(0.0)
     bid_slope, ask_slope = dot("_b", [s / norm for s in steps]), dot("_a", [s / norm for s in steps])
     top3 = lambda c: total(F.slice(c, 1, 3))
-    # What a row needs of itself comes first, so that only results go through the blocks.
+    # What a row needs of itself comes first, so that only results are written.
     own = b.select(
         *dict.fromkeys([series, *order, "seq"]), "top_bid", "top_ask", "imbalance", F.col("bids").alias("depth_bid"), F.col("asks").alias("depth_ask"),
         sdiv(near_b - near_a, near_b + near_a).alias("near_imbalance"), bid_slope.alias("bid_slope"), ask_slope.alias("ask_slope"), (bid_slope - ask_slope).alias("curvature"),
         sdiv(top3("_b") - top3("_a"), "depth").alias("depth_skew"), entropy.alias("entropy"),
     )
     last = ["top_bid", "top_ask", "imbalance"]
-    # Numbering the rows reads them twice: once for the borders, once to deal them.
-    made = windowed(written(own), last, ", ".join(f"{c}_1 double" for c in last), lambda x, pos, own: tuple(np.append(np.nan, x[c][:-1])[own] for c in last), (series,), order, back=1)
+    # Laying the rows reads them twice: once for the borders, once to deal them.
+    made = previous(own if laid else written(own), last, (series,), order, laid)
     d = lambda c: F.col(c) - F.coalesce(f"{c}_1", F.lit(0.0))
     before = F.col("top_bid_1") + F.col("top_ask_1")
     turnover = F.try_divide(F.abs(F.col("top_bid") - F.col("top_bid_1")) + F.abs(F.col("top_ask") - F.col("top_ask_1")), F.nullif(before, F.lit(0.0)))
@@ -133,8 +134,9 @@ SELECT seq, round(bids, 6) AS depth_bid, round(asks, 6) AS depth_ask, round(imb,
 FROM i WINDOW w AS (ORDER BY seq)"""
 )
 def fam_book(spark, sf_dir):
-    """One book by order key."""
-    return book_features(feeds.book(spark, sf_dir))
+    """One book by order key.  The lines are range-partitioned by it, which serves both
+    their sums by order and the order of the rows."""
+    return book_features(feeds.book(spark, sf_dir, laid=True), laid=True)
 
 
 @query(
@@ -177,16 +179,30 @@ SELECT symbol, ts, oc AS oi_calls, op AS oi_puts, round(coalesce(oc / nullif(oc
   round(vol_of_vol, 6) AS vol_of_vol, round(skew, 6) AS skew_index FROM g WINDOW w AS (PARTITION BY symbol ORDER BY ts)"""
 )
 def fam_chain(spark, sf_dir):
-    """One aggregation by (symbol, ts), changes by symbol after it."""
-    c = feeds.chain(spark, sf_dir).withColumn("near", F.col("tte") == F.min("tte").over(Window.partitionBy("symbol", "ts")))
+    """Sums by (symbol, ts, tte), of which (symbol, ts) is made, so that no rows are
+    sorted to find the nearest expiry; changes by symbol after it."""
+    c = feeds.chain(spark, sf_dir)
     call = F.col("kind") == "call"
-    g = c.groupBy("symbol", "ts").agg(
-        F.sum(F.when(call, F.col("oi")).otherwise(0.0)).alias("oc"), F.sum(F.when(~call, F.col("oi")).otherwise(0.0)).alias("op"), F.sum("oi").alias("oi"),
-        F.max(F.when(F.col("near"), F.col("bid_iv"))).alias("bb"), F.min(F.when(F.col("near"), F.col("ask_iv"))).alias("ba"), F.avg("iv").alias("iv"),
-        F.sum(F.col("volume") * F.abs(F.col("strike") - F.col("spot")) / F.col("spot")).alias("money"),
-        F.sum(F.when(call, F.col("volume") * F.col("spot")).otherwise(-F.col("volume") * F.col("spot"))).alias("flow"), F.stddev_pop("iv").alias("vv"),
-        (F.avg(F.when(call, F.col("iv"))) - F.avg(F.when(~call, F.col("iv")))).alias("skew"),
+    sums = {
+        "oc": F.when(call, F.col("oi")).otherwise(0.0), "op": F.when(~call, F.col("oi")).otherwise(0.0), "oi": F.col("oi"),
+        "money": F.col("volume") * F.abs(F.col("strike") - F.col("spot")) / F.col("spot"),
+        "flow": F.when(call, F.col("volume") * F.col("spot")).otherwise(-F.col("volume") * F.col("spot")),
+        "ivs": F.col("iv"), "ivc": F.when(call, F.col("iv")), "ivp": F.when(~call, F.col("iv")),
+    }
+    counted = ("ivs", "ivc", "ivp")
+    part = c.groupBy("symbol", "ts", "tte").agg(
+        *[F.sum(x).alias(k) for k, x in sums.items()], *[F.count(sums[k]).alias(f"n_{k}") for k in counted], F.var_pop("iv").alias("var"),
+        F.max("bid_iv").alias("bb"), F.min("ask_iv").alias("ba"),
+    )
+    part = part.withColumn("near", F.col("tte") == F.min("tte").over(Window.partitionBy("symbol", "ts")))
+    part = part.withColumn("squares", F.col("n_ivs") * F.col("var") + F.col("ivs") * F.col("ivs") / F.nullif(F.col("n_ivs"), F.lit(0)))
+    g = part.groupBy("symbol", "ts").agg(
+        *[F.sum(k).alias(k) for k in (*sums, *[f"n_{k}" for k in counted], "squares")],
+        F.max(F.when(F.col("near"), F.col("bb"))).alias("bb"), F.min(F.when(F.col("near"), F.col("ba"))).alias("ba"),
     )
+    mean = {k: F.col(k) / F.nullif(F.col(f"n_{k}"), F.lit(0)) for k in counted}
+    spread = F.col("squares") / F.nullif(F.col("n_ivs"), F.lit(0)) - mean["ivs"] * mean["ivs"]
+    g = g.withColumns({"iv": mean["ivs"], "vv": F.when(spread < 0, 0.0).otherwise(F.sqrt(spread)), "skew": mean["ivc"] - mean["ivp"]})
     w = Window.partitionBy("symbol").orderBy("ts")
     return g.select(
         "symbol", "ts", F.col("oc").alias("oi_calls"), F.col("op").alias("oi_puts"), rnd(sdiv("oc", F.col("oc") + F.col("op"), 0.5)).alias("call_ratio"),

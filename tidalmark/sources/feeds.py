@@ -77,9 +77,12 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row an order: seq, and by level bid_price_i, bid_size_i, ask_price_i, ask_size_i (0 where absent)."""
+def book(spark: SparkSession, sf_dir: str, laid: bool = False) -> DataFrame:
+    """One row an order: seq, and by level bid_price_i, bid_size_i, ask_price_i, ask_size_i (0 where absent);
+    range-partitioned by seq if ``laid``."""
     li = table(spark, sf_dir, "lineitem")
+    if laid:
+        li = li.repartitionByRange("l_orderkey")
     price = F.col("l_extendedprice") / F.col("l_quantity")
     aggs = []
     for k in range(LEVELS):
@@ -96,8 +99,6 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     item = F.struct(
         "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
         F.when(F.col("l_linestatus") == "O", 1).otherwise(-1).alias("side"),
