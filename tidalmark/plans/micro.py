@@ -34,9 +34,10 @@ def over(top: Column, bottom: Column) -> Column:
     return sdiv(top, bottom, None)
 
 
-def depth_features(book: DataFrame, levels: int = LEVELS, memory: int = 60, rows: int = ROWS) -> DataFrame:
+def depth_features(book: DataFrame, levels: int = LEVELS, memory: int = 60, rows: int = ROWS, bar: int = 1) -> DataFrame:
     """Imbalance by level and in all, pressure of all levels and of the first, slope
-    over the levels, and by rows before: change and decay of the first bid."""
+    over the levels, and by rows before: change and decay of the first bid.
+    ``closes`` says which row is the symbol's last up to some start of ``bar`` seconds."""
     bid = [F.coalesce(f"bid_{i}_size", F.lit(0.0)) for i in range(1, levels + 1)]
     ask = [F.coalesce(f"ask_{i}_size", F.lit(0.0)) for i in range(1, levels + 1)]
     add = lambda cols: sum(cols[1:], cols[0])
@@ -52,14 +53,17 @@ def depth_features(book: DataFrame, levels: int = LEVELS, memory: int = 60, rows
         top = np.nan_to_num(x["top"])
         highest = np.nanmax(frames(top, memory), 1)
         decay = np.divide(highest - top, highest, out=np.zeros(len(top)), where=highest != 0)
-        return np.nan_to_num(np.diff(top, prepend=top[:1]))[own], decay[own]
+        due = x["due"]  # its first start at or after it; another one than the next row's
+        return np.nan_to_num(np.diff(top, prepend=top[:1]))[own], decay[own], (due != np.append(due[1:], np.nan))[own]
 
+    due = F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(bar * 1e6))
     made = book.select(
-        "symbol", "ts", "seq", bid[0].alias("top"), *[over(b - a, b + a).alias(f"imb_level_{i}") for i, (b, a) in enumerate(zip(bid, ask, strict=True), 1)],
+        "symbol", "ts", "seq", due.alias("due"), bid[0].alias("top"), *[over(b - a, b + a).alias(f"imb_level_{i}") for i, (b, a) in enumerate(zip(bid, ask, strict=True), 1)],
         over(add(bid) - add(ask), add(bid) + add(ask)).alias("vol_imb_sum5"), over(worth(bids) - worth(asks), worth(bids) + worth(asks)).alias("book_pressure_delta"),
         over(bids[0] - asks[0], bids[0] + asks[0]).alias("top_book_pressure"), slope.alias("heat_slope"),
     )
-    return windowed(made, ["top"], "step double, liq_decay double", first_bid, back=memory, rows=max(rows, memory))
+    found = windowed(made, ["top", "due"], "step double, liq_decay double, closes boolean", first_bid, back=memory, ahead=1, rows=max(rows, memory))
+    return found.drop("due")
 
 
 def micro_features(
@@ -84,14 +88,15 @@ def micro_features(
     z = grid_zscore(small.select("symbol", "g", F.col("signed").alias("v")), rows=rows)
     sweeps = z.groupBy("symbol", F.expr(f"g div {bar // fine}").alias("b")).agg(F.max((F.coalesce(F.abs("z"), F.lit(0.0)) > burst).cast("int")).alias("sweep"))
 
-    d = depth_features(book, rows=rows).withColumn("c", bucket(coarse))
+    d = depth_features(book, rows=rows, bar=bar).withColumn("c", bucket(coarse))
     flows = d.groupBy("symbol", "c").agg(F.sum(F.greatest(-F.col("step"), F.lit(0.0))).alias("pull"), F.sum(F.greatest("step", F.lit(0.0))).alias("stack"))
     flows = flows.select("symbol", "c", F.coalesce(over(F.col("pull"), F.col("stack")), F.lit(0.0)).alias("pull_stack"))
     usual = time_mean(t, "size", span, "usual")
     outsized = F.col("size") > large * F.when(F.col("usual") == 0, 1.0).otherwise(F.col("usual"))
     absorbed = usual.groupBy("symbol", bucket(coarse).alias("c")).agg(F.max(outsized.cast("int")).alias("absorbed"))
     ends = absorbed.groupBy("symbol").agg(F.max("c").alias("last"))
-    d = joined(joined(d, flows, ["symbol", "c"], "left"), ends, ["symbol"], "left").withColumn("c", F.least("c", "last"))
+    # A bar's start meets no other rows of the depth than those.
+    d = joined(joined(d.where("closes"), flows, ["symbol", "c"], "left"), ends, ["symbol"], "left").withColumn("c", F.least("c", "last"))
     d = joined(d, absorbed, ["symbol", "c"], "left")
 
     levels = [f"imb_level_{i}" for i in range(1, LEVELS + 1)]
