@@ -1,11 +1,13 @@
 """Similarity join and nearest neighbours against brute force."""
 
+import os
 import random
 
 import numpy as np
 import pytest
 
 from tidalmark.llm import ann, simjoin
+from tidalmark.llm.common import cut, discard
 
 from llm_words import words
 
@@ -151,3 +153,22 @@ def test_bit_map_reaches_the_driver_in_few_rows(spark, monkeypatch):
     assert len(bits) == common.MAP_BITS and np.array_equal(np.flatnonzero(bits), np.sort(spots))
     assert 0 < sum(sizes) <= common.MAP_BITS // 64 // common.MAP_WORDS
     assert not common.bit_map(ids.limit(0), "id").value.any()
+
+
+def test_signatures_of_the_same_rows_are_one_bucket(spark):
+    text = words(3, 300).split()
+    near = [*text[:150], "changed", *text[151:]]
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(text)), (4, words(9, 300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps, copies = docs.where("doc_id <> 3").selectExpr("doc_id AS id"), docs.where("doc_id = 3").selectExpr("doc_id AS id")
+    kept = simjoin.signed(docs, reps, copies, "doc_id", "text", 4, 85)
+    assert sorted(r["id"] for r in kept.collect()) == [1, 2, 4]
+    live = simjoin.bucketed(simjoin.shared(kept, 2, 0).union(simjoin.shared(kept, 2, 1))).collect()
+    assert sorted((r["id"], r["n"]) for r in live) == [(1, 2), (2, 2)]
+    assert live[0]["weight"] == live[1]["weight"] > 1
+
+
+def test_discard_of_a_union(spark, docs):
+    one, two = cut(docs.select("doc_id")), cut(docs.select("doc_id"))
+    discard(one.union(two))
+    assert not [f for t in (one, two) for f in t.inputFiles() if os.path.exists(f.removeprefix("file://"))]

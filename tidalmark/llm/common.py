@@ -56,22 +56,25 @@ def parts(df: DataFrame) -> int:
 
 
 @contextmanager
-def dealt(df: DataFrame, key: str) -> Iterator[DataFrame]:
-    """``cut`` into buckets of ``key``, while the block lasts: joins on the key
-    read the table where it lies, and only their other side moves.
+def dealt(frames: list[DataFrame], key: str) -> Iterator[DataFrame]:
+    """``cut`` of the frames' union into buckets of ``key``, while the block lasts: joins on
+    the key read the table where it lies, and only their other side moves.
 
-    ``df`` should lie by ``key`` in ``parts`` partitions, or each task writes a
-    file for each bucket.
+    Each frame should lie by ``key`` in ``parts`` partitions, or each task writes a
+    file for each bucket.  Frames are written one after another, and the shuffle
+    files of each can go before the next one begins.
     """
-    spark = df.sparkSession
+    spark = frames[0].sparkSession
     path, name = _fresh(spark), f"dealt_{uuid.uuid4().hex}"
-    df.write.format("parquet").bucketBy(parts(df), key).option("path", path).saveAsTable(name)
+    for df in frames:
+        df.write.format("parquet").bucketBy(parts(df), key).mode("append").option("path", path).saveAsTable(name)
+        spark._jvm.System.gc()
     table = spark.table(name)
     try:
         yield table
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        discard(spark.read.schema(df.schema).parquet(path))
+        discard(spark.read.schema(table.schema).parquet(path))
 
 
 def freed(df: DataFrame) -> DataFrame:
@@ -84,10 +87,9 @@ def freed(df: DataFrame) -> DataFrame:
 
 
 def discard(table: DataFrame) -> None:
-    """Delete the files of a ``cut`` table that nothing reads any more."""
-    files = table.inputFiles()
-    if files:
-        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+    """Delete the files of a ``cut`` table, or a union of some, that nothing reads any more."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
         place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 

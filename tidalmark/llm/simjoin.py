@@ -53,11 +53,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import append, bit_map, cut, dealt, discard, freed, parts, quoted, raw, spot, unused
+from .common import append, bit_map, bits_at, cut, dealt, discard, freed, parts, quoted, raw, spot, unused
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 PARITIES = 8
+#: Bits of the map of ids that are copies.
+COPY_BITS = 1 << 24
 
 
 class Hashes(dict):
@@ -183,19 +185,36 @@ def described(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     return append(src, ["text"], "n_shingles long, class binary", kernel, ["id"])
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id and signatures of each row.
+def signed(docs: DataFrame, reps: DataFrame, copies: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id and signatures of the rows whose id is in ``reps``, and so not in ``copies``.
 
     Texts are read once more for them: to keep the signatures of all rows beside
-    their digests would take more disk than the reading takes time.
+    their digests would take more disk than the reading takes time.  A bit map of
+    fixed size says of most rows that they are no copies: they stay where
+    they lie, and only the others meet ``reps`` in a join, which decides.
     """
+    shared = bits_at(copies, place_of("id"), COPY_BITS)
 
     def kernel():
-        memo, bands = Hashes(), Bands(percent)
-        return lambda texts: ([signatures(shingles(t, n, memo), bands).view(np.int64) for t in raw(texts)],)
+        memo, bands, have = Hashes(), Bands(percent), shared.value
 
-    src = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    return append(src, ["text"], "sigs array<long>", kernel, ["id"])
+        def run(places, texts):
+            found = [signatures(shingles(t, n, memo), bands).view(np.int64) for t in raw(texts)]
+            at = places.to_numpy()
+            return found, pa.array((have[at >> 3] << (at & 7)) & 128 == 0)
+
+        return run
+
+    src = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("text"), place_of(id_col).alias("place"))
+    made = append(src.where("id IS NOT NULL AND text IS NOT NULL"), ["place", "text"], "sigs array<long>, alone boolean", kernel, ["id"])
+    rows = cut(made)
+    met = freed(rows.where("NOT alone").join(reps, "id", "left_semi"))
+    return rows.where("alone").union(met).select("id", "sigs")
+
+
+def place_of(id_col: str) -> Column:
+    """An id's place in the bit map of copies."""
+    return F.pmod(F.xxhash64(quoted(id_col)), F.lit(COPY_BITS)).cast("int")
 
 
 def sketch(found: np.ndarray) -> bytes:
@@ -225,9 +244,9 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, deals: int) -> list[DataFrame]:
     """id, size, sketch, parities and packed set of the rows whose id is in ``wanted``
-    (distinct ids).
+    (distinct ids), in ``deals`` parts by id.
 
     A bit map of fixed size drops most other rows before the shuffle; the
     join decides.  The rows lie by id in as many partitions as the session has
@@ -257,8 +276,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: i
                 ["id", "size", "sketch", "parity", "set"],
             )
 
-    made = src.mapInArrow(run, f"id {kind}, size long, sketch binary, parity array<long>, set binary")
-    return made.repartition(parts(docs), "id").join(wanted, "id", "left_semi")
+    def made(deal: int) -> DataFrame:
+        rows = src.where(F.col("spot") % deals == deal).mapInArrow(run, f"id {kind}, size long, sketch binary, parity array<long>, set binary")
+        return rows.repartition(parts(docs), "id").join(wanted, "id", "left_semi")
+
+    return [made(k) for k in range(deals)]
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -385,15 +407,28 @@ def rarest(sets: DataFrame, percent: int, cells: int) -> DataFrame:
 
 
 def shared(kept: DataFrame, deals: int, deal: int) -> DataFrame:
-    """sig and id of the signatures that several rows have, of one of ``deals``
+    """sig, id, n and weight of the buckets of several rows, from one of ``deals``
     parts of all signatures: so the shuffle files of one part are on disk at once.
 
-    Neighbours in order, not a count, tell shared signatures: no group is held.
+    Signatures that the same rows have make one bucket: linked texts share many
+    of theirs, and each would be carried through every later join.  ``sig`` is then
+    a hash of the bucket's rows, ``n`` the number of them and ``weight`` that of
+    its signatures.  Two buckets of equal hashes become one that holds the rows of
+    both, so no pair is lost.
     """
-    order = Window.partitionBy("sig").orderBy("id")
+    whole = Window.partitionBy("sig")
     rows = kept.select(F.explode("sigs").alias("sig"), "id").where(F.pmod("sig", F.lit(deals)) == deal)
-    met = rows.withColumn("x", F.lag("id").over(order)).withColumn("y", F.lead("id").over(order))
-    return met.where("x IS NOT NULL OR y IS NOT NULL").select("sig", "id")
+    met = rows.select(
+        "id",
+        F.count("*").over(whole).alias("n"),
+        F.xxhash64(F.bit_xor(F.xxhash64("id")).over(whole), F.min("id").over(whole), F.max("id").over(whole)).alias("sig"),
+    )
+    return bucketed(met.where("n > 1").withColumn("weight", F.lit(1).cast("long")))
+
+
+def bucketed(rows: DataFrame) -> DataFrame:
+    """``rows`` (sig, id, n, weight) with one row for each sig and id."""
+    return rows.groupBy("sig", "id").agg(F.max("n").alias("n"), F.sum("weight").alias("weight"))
 
 
 def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
@@ -410,7 +445,7 @@ def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
     )
 
 
-def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, small: int, cells: int) -> DataFrame:
+def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, small: int, cells: int, deals: int) -> DataFrame:
     """Pairs (a, b) across labels that may link."""
     tagged = live.select("sig", "id", "size").join(labels.select("id", "label"), "id")
     several = (
@@ -432,13 +467,18 @@ def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     open_pair = first & (F.col("label_a") != F.col("label_b")) & fits & near
     one, two = ends(rest.where(F.col("n") <= small).join(sets.select("id", "parity"), "id"), "sig")
     few = one.join(two, "sig").where(open_pair)
-    one, two = ends(cut(rarest(sets.join(crowded, "id"), percent, cells)), "token", "place")
+    tokens = cut(rarest(sets.join(crowded, "id"), percent, cells))
     # Two sets that share so many shingles have one among the first of either that
     # leave so many in it.  Told of the pair, not of a side, it lets one exchange serve both.
     need = F.lit(percent) * (F.col("size_a") + F.col("size_b"))
     leading = [(F.col(f"size_{k}") - F.col(f"place_{k}")) * (100 + percent) >= need for k in "ab"]
-    many = one.join(two, "token").where(open_pair & leading[0] & leading[1])
-    return few.select("id_a", "id_b").union(many.select("id_a", "id_b")).distinct().toDF("a", "b")
+    found = [few.select("id_a", "id_b")]
+    for deal in range(deals):  # so the shuffle files of one part of the tokens are on disk at once
+        one, two = ends(tokens.where(F.pmod("token", F.lit(deals)) == deal), "token", "place")
+        many = one.join(two, "token").where(open_pair & leading[0] & leading[1])
+        found.append(freed(many.select("id_a", "id_b").distinct()))
+    discard(tokens)
+    return reduce(DataFrame.union, found).distinct().toDF("a", "b")
 
 
 def join(
@@ -458,20 +498,20 @@ def join(
         rows.where("class IS NOT NULL AND id IS NOT NULL").groupBy("class").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("size"))
     )
     reps = classes.select(F.col("rep").alias("id")).distinct()
-    kept = freed(signed(docs, id_col, text_col, n, percent).join(reps, "id", "left_semi"))
-    live = reduce(DataFrame.union, [freed(shared(kept, deals, k)) for k in range(deals)])
+    copies = rows.where("class IS NOT NULL AND id IS NOT NULL").select("id").join(reps, "id", "left_anti")
+    kept = signed(docs, reps, copies, id_col, text_col, n, percent)
+    live = freed(bucketed(reduce(DataFrame.union, [freed(shared(kept, deals, k)) for k in range(deals)])))
     discard(kept)
-    several = live.join(live.groupBy("sig").agg(F.count("*").alias("c")), "sig")
-    others = several.groupBy("id").agg(F.sum("c").alias("others"))
+    others = live.groupBy("id").agg(F.sum(F.col("n") * F.col("weight")).alias("others"))
     sizes = classes.groupBy(F.col("rep").alias("id")).agg(F.max("size").alias("size"))
     labels = cut(others.join(sizes, "id").select("id", "size", F.col("id").alias("label"), "others"))
-    live = live.join(labels.select("id", "size", "others"), "id")
+    live = freed(live.select("sig", "id").join(labels.select("id", "size", "others"), "id"))
     best = freed(connected(live, percent, hubs))
-    with dealt(sets_of(docs, labels.select("id"), id_col, text_col, n), "id") as sets:
+    with dealt(sets_of(docs, labels.select("id"), id_col, text_col, n, deals), "id") as sets:
         for place in range(hubs):
             found = verified(across(best.where(F.col("place") == place), labels), sets, percent)
             labels = relabelled(labels, freed(found))
-        left = remaining(live, labels, sets, percent, small, cells)
+        left = remaining(live, labels, sets, percent, small, cells, deals)
         labels = relabelled(labels, cut(verified(left, sets, percent)))
     # A label is some class's representative; the component's id is the smallest.
     small = labels.groupBy("label").agg(F.min("id").alias("component_id"))
