@@ -241,3 +241,11 @@ def test_wrapper_is_union_free():
     b = htmlwrap.shape_of(htmlwrap.stream("<ul><li>a</li></ul><h2>t</h2><p>x</p>")[0])
     expression = htmlwrap.Wrapper([a, b]).expression()
     assert expression == "<ul> ( <li> # </li> )+ </ul> (<h2>)? (#)? (</h2>)? <p> # </p>"
+
+
+def test_scores_remember_a_bounded_number_of_words():
+    lexicons = toxicity.Lexicons({}, (1, 1))
+    model = toxicity.Model(lexicons, [{"one"}, {"two"}], [[0] * 4, [0] * 4], rounds=1)
+    for k in range(70_000):
+        model.known(f"w{k}")
+    assert len(model.cache) <= toxicity.MEMO + 1 < 70_000

@@ -42,6 +42,8 @@ STEMS = (3, 4, 5, 6, 7, 8)
 BUCKETS = 1 << 15
 VOTERS, STRONG = 6, 4
 THRESHOLD = 0.3
+#: Words that a task remembers, the first it meets (a few hundred bytes each).
+MEMO = 60_000
 
 UPPER = re.compile(r"[A-Z]{4}")
 #: Patterns of the pattern voters, and words of which a text must
@@ -215,9 +217,9 @@ class Model:
         return np.hstack([*parts, votes]).astype(float)
 
     def known(self, word: str) -> tuple[int, tuple[int, ...]]:
-        if len(self.cache) > 300_000:
-            self.cache.clear()
-        got = self.cache[word] = (self.lexicons.of(word), tuple(bucket(s) for s in stems_of(word) if is_feature(s)))
+        got = (self.lexicons.of(word), tuple(bucket(s) for s in stems_of(word) if is_feature(s)))
+        if len(self.cache) < MEMO:
+            self.cache[word] = got
         return got
 
     def score(self, text: str) -> float:
@@ -281,9 +283,9 @@ def fit(
         have, memo = np.unpackbits(shared.value), {}
 
         def of(word: str) -> tuple[int, ...]:
-            if len(memo) > 300_000:
-                memo.clear()
-            got = memo[word] = tuple(number[s] for s in stems_of(word) if s in number)
+            got = tuple(number[s] for s in stems_of(word) if s in number)
+            if len(memo) < MEMO:
+                memo[word] = got
             return got
 
         def run(spots, ts):
