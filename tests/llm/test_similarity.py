@@ -172,3 +172,15 @@ def test_discard_of_a_union(spark, docs):
     one, two = cut(docs.select("doc_id")), cut(docs.select("doc_id"))
     discard(one.union(two))
     assert not [f for t in (one, two) for f in t.inputFiles() if os.path.exists(f.removeprefix("file://"))]
+
+
+def test_only_shingles_of_several_labels_meet_parities(spark):
+    """Rare shingles travel without parities; those of one label go before the join of pairs."""
+    rows = [(7, 0, 1, 1), (7, 0, 2, 1), (8, 0, 1, 1), (8, 1, 3, 3), (9, 2, 3, 3)]
+    tokens = spark.createDataFrame(rows, "token long, place int, id long, label long")
+    assert sorted(tuple(r) for r in simjoin.several(tokens, "token").collect()) == [(8, 0, 1, 1), (8, 1, 3, 3)]
+    found = np.arange(1, 41, dtype=np.uint64)
+    sets = spark.createDataFrame([(1, 1, 40, [0] * 8, bytearray(found.tobytes()))], "id long, label long, size long, parity array<long>, set binary")
+    made = simjoin.rarest(sets, 80, 64)
+    assert made.columns == ["id", "label", "place", "token"]
+    assert made.count() == 40 - simjoin.overlap(40, 32, 80) + 1

@@ -25,8 +25,9 @@ one of two exact ways.  Up to ``small`` classes are paired across labels.  In a
 larger bucket two linked sets must also share one of their rarest shingles: by
 any fixed order of shingles the first ``|A| - overlap + 1`` of either set meet,
 and in an order that puts shingles of many sets last, sets that only share a
-passage, or are copies of one text too far apart, mostly do not; parities
-of the sets, carried along, drop most of the rest inside the join.  So no pair inside a
+passage, or are copies of one text too far apart, mostly do not.  Shingles that
+only sets of one label have are dropped first, and to the few others parities
+of the sets are joined, which drop most of the rest inside the join of pairs.  So no pair inside a
 linked group is made, no group is paired out, and no link is lost.
 
 Sets are verified as 64-bit hashes of shingles (two shingles of a pair fall
@@ -383,8 +384,8 @@ def cells_of(sets: DataFrame, cells: int) -> np.ndarray:
 
 
 def rarest(sets: DataFrame, percent: int, cells: int) -> DataFrame:
-    """token, place and the other columns but the set, for the shingles of each
-    set of which a linked set has one: first those of the emptiest cells."""
+    """token, place, id and label for the shingles of each set of which a
+    linked set has one: first those of the emptiest cells."""
     shared = sets.sparkSession.sparkContext.broadcast(cells_of(sets, cells))
 
     def kernel():
@@ -402,8 +403,15 @@ def rarest(sets: DataFrame, percent: int, cells: int) -> DataFrame:
 
         return run
 
-    made = append(sets, ["set"], "tokens array<long>", kernel, [c for c in sets.columns if c not in ("set", "sketch")])
-    return made.select("id", "size", "label", "parity", F.posexplode("tokens").alias("place", "token"))
+    made = append(sets, ["set"], "tokens array<long>", kernel, ["id", "label"])
+    return made.select("id", "label", F.posexplode("tokens").alias("place", "token"))
+
+
+def several(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` has rows of more than one label."""
+    whole = Window.partitionBy(key)
+    low, high = F.min("label").over(whole), F.max("label").over(whole)
+    return rows.withColumns({"l0": low, "l1": high}).where("l0 <> l1").drop("l0", "l1")
 
 
 def shared(kept: DataFrame, deals: int, deal: int) -> DataFrame:
@@ -448,13 +456,13 @@ def connected(live: DataFrame, percent: int, hubs: int) -> DataFrame:
 def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, small: int, cells: int, deals: int) -> DataFrame:
     """Pairs (a, b) across labels that may link."""
     tagged = live.select("sig", "id", "size").join(labels.select("id", "label"), "id")
-    several = (
+    labelled = (
         tagged.groupBy("sig")
         .agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n"))
         .where("l0 <> l1")
         .select("sig", "n")
     )
-    rest = cut(tagged.join(several, "sig"))
+    rest = cut(tagged.join(labelled, "sig"))
     crowded = cut(rest.where(F.col("n") > small).groupBy("id").agg(F.first("label").alias("label")))
 
     def ends(rows: DataFrame, key: str, *more: str) -> tuple[DataFrame, DataFrame]:
@@ -474,7 +482,9 @@ def remaining(live: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     leading = [(F.col(f"size_{k}") - F.col(f"place_{k}")) * (100 + percent) >= need for k in "ab"]
     found = [few.select("id_a", "id_b")]
     for deal in range(deals):  # so the shuffle files of one part of the tokens are on disk at once
-        one, two = ends(tokens.where(F.pmod("token", F.lit(deals)) == deal), "token", "place")
+        # Most tokens are of one set or one label: only the others' rows carry parities.
+        met = freed(several(tokens.where(F.pmod("token", F.lit(deals)) == deal), "token"))
+        one, two = ends(met.join(sets.select("id", "size", "parity"), "id"), "token", "place")
         many = one.join(two, "token").where(open_pair & leading[0] & leading[1])
         found.append(freed(many.select("id_a", "id_b").distinct()))
     discard(tokens)
