@@ -249,3 +249,21 @@ def test_scores_remember_a_bounded_number_of_words():
     for k in range(70_000):
         model.known(f"w{k}")
     assert len(model.cache) <= toxicity.MEMO + 1 < 70_000
+
+
+def test_sample_of_toxicity_is_kept_as_numbers():
+    """The same stems and weights as from sets of words, which are not held all at once."""
+    import numpy as np
+    import pyarrow as pa
+
+    lists = [sorted({f"word{(i * k) % 37}" for k in range(1, 9)} | ({"grumbolt"} if i % 3 == 0 else set())) for i in range(60)]
+    vocabulary, codes = toxicity.coded(pa.chunked_array([pa.array(lists[:25]), pa.array(lists[25:])]))
+    assert vocabulary == sorted(vocabulary) and all(c.dtype == np.int32 for c in codes)
+    bags, ys = toxicity.Bags(vocabulary, codes), [int(i % 3 == 0) for i in range(60)]
+    assert list(bags) == [set(x) for x in lists] and len(bags) == 60
+    pairs = toxicity.Bags(vocabulary, codes, ys)
+    stems = toxicity.candidates(pairs)
+    assert "grumbolt" in stems and stems == toxicity.candidates([(set(x), y) for x, y in zip(lists, ys, strict=True)])
+    lexicons = toxicity.Lexicons({"grumbolt": (0, 20)}, (40, 20))
+    one, two = (toxicity.Model(lexicons, words, [[0] * 4] * 60) for words in (bags, [set(x) for x in lists]))
+    assert np.array_equal(one.w, two.w) and np.array_equal(one.u, two.u)

@@ -28,10 +28,13 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,9 @@ THRESHOLD = 0.3
 #: Words that a task remembers, the first it meets (a few hundred bytes each).
 MEMO = 60_000
 
+#: Features of the sample that a step of the fit works on at once.
+PART = 1 << 17
+
 UPPER = re.compile(r"[A-Z]{4}")
 #: Patterns of the pattern voters, and words of which a text must
 #: have one for the pattern to be tried.
@@ -73,19 +79,52 @@ def digest(words: set[str]) -> bytes:
     return blake2b("\n".join(sorted(words)).encode(), digest_size=16).digest()
 
 
-def candidates(rows: list[tuple[set[str], int]], floor: float = 2.0) -> list[str]:
-    """Stems that the sample's toxic texts have more often."""
-    once: dict[tuple[int, bytes], set[str]] = {}
-    for words, y in rows:  # texts of the same words count once
-        once.setdefault((y, digest(words)), words)
-    n = [sum(1 for y, _ in once if not y), sum(1 for y, _ in once if y)]
+class Bags:
+    """Texts' sets of words, kept as numbers of the words: a set is made when it is
+    asked for, as the sets of a whole sample would fill the driver.  With
+    ``beside``, each comes in a pair with its value there."""
+
+    def __init__(self, vocabulary: list[str], codes: list[np.ndarray], beside: list | None = None):
+        self.vocabulary, self.codes, self.beside = vocabulary, codes, beside
+
+    def __len__(self) -> int:
+        return len(self.codes)
+
+    def __iter__(self) -> Iterator:
+        for k, c in enumerate(self.codes):
+            words = {self.vocabulary[i] for i in c.tolist()}
+            yield words if self.beside is None else (words, self.beside[k])
+
+
+def coded(lists: pa.ChunkedArray) -> tuple[list[str], list[np.ndarray]]:
+    """The words of all lists in order, and each list as numbers of its words."""
+    whole = lists.combine_chunks()
+    flat = whole.flatten().dictionary_encode()
+    found = flat.dictionary.to_pylist()
+    order = np.array(sorted(range(len(found)), key=found.__getitem__), np.int64)
+    rank = np.empty(len(found), np.int32)
+    rank[order] = np.arange(len(found))
+    ends = np.cumsum(pc.list_value_length(whole).to_numpy())
+    return [found[i] for i in order], np.split(rank[flat.indices.to_numpy()], ends[:-1])
+
+
+def candidates(rows: Iterable[tuple[set[str], int]], floor: float = 2.0) -> list[str]:
+    """Stems that the sample's toxic texts have more often; ``rows`` are gone
+    through more than once."""
+    met: set[tuple[int, bytes]] = set()
+    once: dict[int, int] = {}
+    for k, (words, y) in enumerate(rows):  # texts of the same words count once
+        if (key := (y, digest(words))) not in met:
+            met.add(key)
+            once[k] = y
+    n = [sum(1 for y in once.values() if not y), sum(1 for y in once.values() if y)]
     positive, negative = Counter(), Counter()
-    for (y, _), words in once.items():
-        if y:
+    for k, (words, y) in enumerate(rows):
+        if k in once and y:
             positive.update({s for w in words for s in stems_of(w)})
     often: dict[str, tuple[str, ...]] = {}
-    for (y, _), words in once.items():
-        if not y:  # only stems that may be found are counted
+    for k, (words, y) in enumerate(rows):
+        if k in once and not y:  # only stems that may be found are counted
             for w in words:
                 if w not in often:
                     often[w] = tuple(s for s in stems_of(w) if positive.get(s, 0) >= 4)
@@ -174,7 +213,7 @@ def bucket(stem: str) -> int:
 class Model:
     """The linear classifier; ``known`` maps a word to its lexicon and weight."""
 
-    def __init__(self, lexicons: Lexicons, words: list[set[str]], marks: list[list[int]], rounds: int = 60):
+    def __init__(self, lexicons: Lexicons, words: Bags | list[set[str]], marks: list[list[int]], rounds: int = 60):
         self.lexicons = lexicons
         self.cache: dict[str, tuple[int, float]] = {}
         hits = np.array([self.hits(w) for w in words])
@@ -183,15 +222,24 @@ class Model:
         posterior = self.label_model.posterior(votes)
         cells = [np.unique([bucket(s) for w in ws for s in stems_of(w) if is_feature(s)] or [0]).astype(np.int32) for ws in words]
         row = np.repeat(np.arange(len(words), dtype=np.int32), [len(c) for c in cells])
+        size = 1 / np.sqrt(np.array([len(c) for c in cells]))
         col = np.concatenate(cells)
-        size = 1 / np.sqrt(np.array([len(c) for c in cells]))[row]
+        del cells
+        parts = [slice(at, at + PART) for at in range(0, len(col), PART)]
         dense = self.dense(hits, votes)
         self.w, self.u = np.zeros(BUCKETS), np.zeros(dense.shape[1])
         gw, gu = np.full(BUCKETS, 1e-2), np.full(dense.shape[1], 1e-2)
         for _ in range(rounds):  # full-batch AdaGrad
-            z = np.bincount(row, self.w[col] * size, len(words)) + dense @ self.u
+            z, dw = np.zeros(len(words)), np.zeros(BUCKETS)
+            for p in parts:  # each entry is added in its turn, as over all at once
+                r, c = row[p].astype(np.intp), col[p].astype(np.intp)
+                np.add.at(z, r, self.w[c] * size[r])
+            z += dense @ self.u
             d = (1 / (1 + np.exp(-z)) - posterior) / len(words)
-            dw = np.bincount(col, d[row] * size, BUCKETS) + 1e-5 * self.w
+            for p in parts:
+                r, c = row[p].astype(np.intp), col[p].astype(np.intp)
+                np.add.at(dw, c, d[r] * size[r])
+            dw += 1e-5 * self.w
             du = dense.T @ d + 1e-5 * self.u
             gw += dw * dw
             gu += du * du
@@ -267,14 +315,15 @@ def fit(
     rows = append(sampled, ["_t"], "_w array<string>, _m array<int>", read, ["_i", "_y"]).limit(2 * most_rows).toArrow()
     if not rows.num_rows:
         return None
-    one: dict[str, str] = {}  # equal words are one object
+    vocabulary, codes = coded(rows["_w"])
     read_rows = sorted(
-        zip(rows["_i"].to_pylist(), ([one.setdefault(w, w) for w in r.as_py()] for r in rows["_w"]), rows["_m"].to_pylist(), rows["_y"].to_pylist(), strict=True),
-        key=lambda r: (str(r[0]), r[1]),
+        zip(rows["_i"].to_pylist(), codes, rows["_m"].to_pylist(), rows["_y"].to_pylist(), strict=True),
+        key=lambda r: (str(r[0]), r[1].astype(">i4").tobytes()),  # words as lists of strings compare
     )
-    del rows, one
-    words, marks = [set(r[1]) for r in read_rows], [r[2] for r in read_rows]
-    stems = candidates(list(zip(words, [int(r[3] > 0) for r in read_rows], strict=True)))
+    del rows, codes
+    pa.default_memory_pool().release_unused()
+    words, marks = Bags(vocabulary, [r[1] for r in read_rows]), [r[2] for r in read_rows]
+    stems = candidates(Bags(vocabulary, words.codes, [int(r[3] > 0) for r in read_rows]))
     del read_rows
     number = {s: k for k, s in enumerate(stems)}
     shared = bit_map(wanted, "_i")
